@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, sharding, urls, warc
+from . import bpe, jaccard, langid, quality, sharding, urls, warc
 from .common import read_table
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(read_table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(read_table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op4_quality_rules, op6_sharding, op7_bpe, op8_url_filter, op9_language_id, op10_warc]
+    named = [op1_jaccard_join, op4_quality_rules, op6_sharding, op7_bpe, op8_url_filter, op9_language_id, op10_warc]
     return {f.__name__: f for f in named}
 
 
