@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, quality, sharding, urls, warc
+from . import bpe, decontaminate, jaccard, langid, quality, sharding, suffixes, urls, warc
 from .common import read_table
 
 
@@ -15,10 +15,18 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(read_table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(read_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(read_table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.assign_shards(read_table(spark, sf_dir, "documents"), n_shards=40)
     law, grown = F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard")
@@ -45,10 +53,30 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_jaccard_join, op4_quality_rules, op6_sharding, op7_bpe, op8_url_filter, op9_language_id, op10_warc]
+    named = [op1_jaccard_join, op2_suffix_dedup, op4_quality_rules, op5_decontamination, op6_sharding, op7_bpe, op8_url_filter, op9_language_id, op10_warc]
     return {f.__name__: f for f in named}
 
 
+_MASK_ROWS = ", ".join(f"({m}, [{', '.join(map(str, places))}])" for m, places in enumerate(decontaminate.MASKS))
+
+#: Over the tables' items, none of which is shorter than a mask.
+OP5_SQL = f"""
+WITH masks(mask, places) AS (VALUES {_MASK_ROWS}),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS v FROM benchmark),
+p AS (SELECT doc_id, w, unnest(range(len(w) - {decontaminate.SPAN - 1})) AS i FROM d WHERE len(w) >= {decontaminate.SPAN}),
+q AS (SELECT item_id, v, unnest(range(len(v) - {decontaminate.SPAN - 1})) AS j FROM b WHERE len(v) >= {decontaminate.SPAN}),
+s AS (SELECT doc_id, w, i, mask, list_transform(places, lambda x: w[i + x + 1]) AS seed FROM p, masks),
+t AS (SELECT item_id, v, j, mask, list_transform(places, lambda x: v[j + x + 1]) AS seed FROM q, masks),
+h AS (SELECT DISTINCT doc_id, item_id, w, v, i, j, least(len(v), {decontaminate.WINDOW}) AS win FROM s JOIN t USING (mask, seed)),
+c AS (SELECT *, greatest(0, j + {decontaminate.SPAN} - win, j - i) AS lo, least(len(v), j + win, len(w) - i + j) AS hi FROM h),
+e AS (SELECT doc_id, item_id, win, list_transform(range(lo, hi), lambda x: CASE WHEN w[x + i - j + 1] = v[x + 1] THEN 1 ELSE 0 END) AS eq
+      FROM c WHERE hi - lo >= win),
+m AS (SELECT doc_id, item_id, win, list_max(list_transform(range(len(eq) - win + 1), lambda x: list_sum(eq[x + 1:x + win]))) AS matched FROM e)
+SELECT doc_id, item_id, CAST(max(matched) AS BIGINT) AS matched_words, CAST(max(win) AS BIGINT) AS window_words
+FROM m WHERE 100 * matched >= {decontaminate.NEED} * win GROUP BY doc_id, item_id
+"""
+
 OP6_SQL = """
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, coalesce('s' || source, 'n') AS stratum,
@@ -120,4 +148,4 @@ FROM w
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_sharding": OP6_SQL, "op8_url_filter": OP8_SQL, "op10_warc": OP10_SQL}
+    return {"op5_decontamination": OP5_SQL, "op6_sharding": OP6_SQL, "op8_url_filter": OP8_SQL, "op10_warc": OP10_SQL}
