@@ -49,7 +49,7 @@ def _seeded(rows: DataFrame, keep: list[str], masks: list[tuple[int, ...]]) -> D
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
-    """A row for each verified hit: the columns in keep, item_id, doc_word, item_word, matched, window."""
+    """A row for each text and item that overlap: the columns in keep, item_id, words matched in the best window, its length."""
     items = benchmark.select(F.col(item_column).alias("item_id"), word_hashes(text_or_empty(item_text)).alias("h")).where(F.size("h") >= SHORTEST)
     lengths = items.groupBy(F.size("h").alias("n")).count().collect()
     short = sorted(r["n"] for r in lengths if r["n"] < SPAN)
@@ -71,7 +71,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_column
     high = F.least(n, F.col("item_at") + window, F.size("h") - shift)
     near = out.withColumn("window", window).withColumn("_low", low).withColumn("_n", high - F.col("_low")).where("_n >= window")
     near = near.select(
-        *keep, "item_id", F.col("at").alias("doc_word"), F.col("item_at").alias("item_word"), "window",
+        *keep, "item_id", "window",
         F.slice("h", F.col("_low") + F.col("at") - F.col("item_at") + 1, F.col("_n")).alias("_doc"),
         F.slice("item_h", F.col("_low") + 1, F.col("_n")).alias("_item"),
     )
@@ -79,14 +79,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_column
     near = near.withColumn("_agree", agree)
     starts = F.sequence(F.lit(1), F.size("_agree") - F.col("window") + 1)
     best = F.array_max(F.transform(starts, lambda s: F.aggregate(F.slice("_agree", s, F.col("window")), F.lit(0), lambda a, x: a + x)))
-    return near.withColumn("matched", best).where(100 * F.col("matched") >= NEED * F.col("window")).select(*keep, "item_id", "doc_word", "item_word", "matched", "window")
+    # Judged after the aggregate: as a join condition the lambdas would bar code generation, and each place's row would carry its text's words.
+    pairs = near.withColumn("matched", best).groupBy(*keep, "item_id").agg(F.max("matched").alias("matched"), F.max("window").alias("window"))
+    return pairs.where(100 * F.col("matched") >= NEED * F.col("window"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """A row for each document and item that overlap: doc_id, item_id, most words matched in a window, the window's length."""
     own = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    pairs = overlaps(own, benchmark, ["doc_id"]).groupBy("doc_id", "item_id")
-    return pairs.agg(F.max("matched").cast("long").alias("matched_words"), F.max("window").cast("long").alias("window_words"))
+    pairs = overlaps(own, benchmark, ["doc_id"])
+    return pairs.select("doc_id", "item_id", F.col("matched").cast("long").alias("matched_words"), F.col("window").cast("long").alias("window_words"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
