@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, langid, quality, sharding, suffixes, urls, warc
+from . import bpe, decontaminate, htmltext, jaccard, langid, quality, sharding, suffixes, urls, warc
 from .common import read_table
 
 
@@ -19,6 +19,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(read_table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extracted(read_table(spark, sf_dir, "pages"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(read_table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_jaccard_join, op2_suffix_dedup, op4_quality_rules, op5_decontamination, op6_sharding, op7_bpe, op8_url_filter, op9_language_id, op10_warc]
+    named = [op1_jaccard_join, op2_suffix_dedup, op3_html_text, op4_quality_rules, op5_decontamination, op6_sharding, op7_bpe, op8_url_filter, op9_language_id, op10_warc]
     return {f.__name__: f for f in named}
 
 
