@@ -23,9 +23,12 @@ _POWERS: list[np.ndarray] = []
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
-    x = (x ^ (x >> U(33))) * U(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> U(33))) * U(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> U(33))
+    x = x ^ (x >> U(33))
+    x *= U(0xFF51AFD7ED558CCD)
+    x ^= x >> U(33)
+    x *= U(0xC4CEB9FE1A85EC53)
+    x ^= x >> U(33)
+    return x
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,7 +48,16 @@ class Rolling:
     def __init__(self, data: np.ndarray):
         up, self.down = powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(BYTE[data] * up[:-1], out=self.sums[1:])
+        terms = BYTE[data]
+        terms *= up[:-1]
+        np.cumsum(terms, out=self.sums[1:])
+
+    def all(self, length: int) -> np.ndarray:
+        """The hashes of all substrings of a length, in order."""
+        h = self.sums[length:] - self.sums[:-length]
+        h *= self.down[: len(h)]
+        h += U(length)
+        return mix(h)
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return mix((self.sums[stop] - self.sums[start]) * self.down[start] + (stop - start).astype(np.uint64))

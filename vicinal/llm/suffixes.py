@@ -38,7 +38,7 @@ LENGTH, ANCHOR = 50, 16
 PLACES = LENGTH - ANCHOR + 1
 WIDTH = LENGTH + PLACES - 1
 #: Bytes of text cut into pieces at once, and bytes of text aimed at in a bucket.
-CHUNK, BUCKET = 3 << 20, 10 << 20
+CHUNK, BUCKET = 2 << 20, 10 << 20
 POSITION = U((1 << 28) - 1)
 LAST = (1 << 63) - 1
 
@@ -47,8 +47,9 @@ def _anchored(data: np.ndarray, offsets: np.ndarray):
     """All strings of LENGTH bytes as runs that share an anchor: first and last start, anchor's place, anchor's hash, text."""
     n = len(data)
     rolling = scan.Rolling(data)
-    at = np.arange(n - ANCHOR + 1)
-    key = (rolling.of(at, at + ANCHOR) & ~POSITION) | at.astype(np.uint64)
+    key = rolling.all(ANCHOR)
+    key &= ~POSITION
+    key |= np.arange(len(key), dtype=np.uint64)
     size, least = 1, key
     while 2 * size <= PLACES:
         least = np.minimum(least[: len(least) - size], least[size:])
@@ -77,7 +78,7 @@ def _owner(ids: np.ndarray, crcs: np.ndarray, count: int) -> np.ndarray:
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(a.tobytes() for a in arrays))
 
 
 def _spans_blob(ids, crcs, starts, sizes) -> bytes:
@@ -198,23 +199,22 @@ def _removed(buckets: int):
 
 def _sorted_bucket(blobs: list[bytes]):
     """ids, crcs, start and length of every span to remove that a bucket's pieces show."""
-    parts = []
-    for blob in blobs:
-        raw = zstandard.ZstdDecompressor().decompress(blob)
-        docs, n = np.frombuffer(raw, dtype=np.int64, count=2)
-        at, cols = 16, []
+    column, parts, rows, done = np.arange(WIDTH + 4, dtype=np.int16), [], None, 0
+    sizes = [int(np.frombuffer(zstandard.ZstdDecompressor().decompressobj().decompress(b)[:16], dtype=np.int64)[1]) for b in blobs]
+    rows = np.zeros((sum(sizes), WIDTH + 4), dtype=np.uint8)  # to whole words of 8 bytes
+    for k, n in enumerate(sizes):
+        raw, blobs[k] = zstandard.ZstdDecompressor().decompress(blobs[k]), None
+        docs, at, cols = int(np.frombuffer(raw, dtype=np.int64, count=1)[0]), 16, []
         for kind, count in ((np.int64, docs), (np.uint32, docs), (np.int32, docs), (np.uint32, n), (np.uint8, n), (np.uint8, n)):
             cols.append(np.frombuffer(raw, dtype=kind, count=count, offset=at))
             at += count * np.dtype(kind).itemsize
         ids, crcs, counts, start, left, spread = cols
-        parts.append((np.repeat(ids, counts), np.repeat(crcs, counts), start.astype(np.int64), left.astype(np.int16), spread.astype(np.int16), np.frombuffer(raw, dtype=np.uint8, offset=at)))
-    ids, crcs, start, left, spread, body = (np.concatenate(x) for x in zip(*parts, strict=True))
+        low, spread = PLACES - 1 - left.astype(np.int16), spread.astype(np.int16)
+        rows[done : done + n][(column >= low[:, None]) & (column < (low + spread + LENGTH)[:, None])] = np.frombuffer(raw, dtype=np.uint8, offset=at)
+        parts.append((np.repeat(ids, counts), np.repeat(crcs, counts), start.astype(np.int64), low, spread))
+        done += n
+    ids, crcs, start, low, spread = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
-    low = PLACES - 1 - left
-    rows = np.zeros((len(ids), WIDTH + 4), dtype=np.uint8)  # to whole words of 8 bytes
-    column = np.arange(WIDTH + 4)
-    rows[(column >= low[:, None]) & (column < (low + spread + LENGTH)[:, None])] = body
-    del body
     a = np.ascontiguousarray(rows[:, PLACES - 1 : PLACES - 1 + ANCHOR]).view(np.uint64)
     anchor = scan.mix(scan.mix(a[:, 0]) * U(3) + a[:, 1])
     order = np.argsort(anchor, kind="stable")
