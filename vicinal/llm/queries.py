@@ -61,6 +61,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in named}
 
 
+OP1_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [w]
+         ELSE list_distinct([w[i + 1:i + 4] FOR i IN range(len(w) - 3)]) END AS grams FROM d
+), g AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS m FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM met WHERE 100 * m >= 85 * (na + nb - m)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(doc_id, other) AS (SELECT a, b FROM edge UNION SELECT r.doc_id, e.b FROM reach r JOIN edge e ON r.other = e.a)
+SELECT s.doc_id, CAST(len(grams) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(min(other), s.doc_id)) AS component_id
+FROM s LEFT JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, grams
+"""
+
+OP2_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, i, substr(h, CAST(2 * i + 1 AS BIGINT), 100) AS s FROM (SELECT doc_id, h, unnest(range(len(h) // 2 - 49)) AS i FROM d WHERE len(h) >= 100)),
+f AS (SELECT s, min(doc_id) AS first_id FROM p GROUP BY s),
+hit AS (SELECT doc_id, i FROM p JOIN f USING (s) WHERE first_id < doc_id),
+mark AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM hit),
+run AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM mark),
+span AS (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS b FROM run GROUP BY ALL),
+piece AS (SELECT doc_id, k, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY k), 0) AS c FROM span),
+cut AS (SELECT p.doc_id, sum(b - a) AS removed, count(*) AS spans, string_agg(substr(h, CAST(2 * c + 1 AS BIGINT), CAST(2 * (a - c) AS BIGINT)), '' ORDER BY k)
+  || substr(any_value(h), CAST(2 * max(b) + 1 AS BIGINT)) AS kept FROM piece p JOIN d USING (doc_id) GROUP BY p.doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id)
+"""
+
 _MASK_ROWS = ", ".join(f"({m}, [{', '.join(map(str, places))}])" for m, places in enumerate(decontaminate.MASKS))
 
 #: Over the tables' items, none of which is shorter than a mask.
@@ -152,4 +182,4 @@ FROM w
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": OP5_SQL, "op6_sharding": OP6_SQL, "op8_url_filter": OP8_SQL, "op10_warc": OP10_SQL}
+    return {"op1_jaccard_join": OP1_SQL, "op2_suffix_dedup": OP2_SQL, "op5_decontamination": OP5_SQL, "op6_sharding": OP6_SQL, "op8_url_filter": OP8_SQL, "op10_warc": OP10_SQL}
