@@ -156,7 +156,7 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0, id_column: str = "page_i
     groups = narrow.groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(groups, ["sha1", "salt"], "left")
+    joined = salted.join(groups.hint("merge"), ["sha1", "salt"], "left")
     revisit = (F.col("payload_bytes") >= min_bytes) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     refers = F.when(revisit, F.col("first_id"))
     return joined.select("page_id", "url", F.when(refers.isNull(), F.col("payload")).alias("payload"), "payload_bytes", "sha1", refers.alias("refers_to"))
