@@ -11,6 +11,7 @@ from .config import RunConfig, check_radii, with_radius
 from .operators import controls, distances, events
 from .plans import analysis
 from .sources import sinks, transcripts
+from .workers import provide
 
 
 def session(name: str = "vicinal") -> SparkSession:
@@ -160,7 +161,9 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
-    args.call(args, session())
+    spark = session()
+    provide(spark)
+    args.call(args, spark)
 
 
 if __name__ == "__main__":

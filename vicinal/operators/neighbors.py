@@ -1,8 +1,8 @@
 """Distance-bounded self-join as an equi-join of grid buckets, and the counts drawn from it.
 
-Points lie in square buckets a little wider than the reach; a centre is copied to the 9 (in 3-D 27) buckets around its
-own, so equal bucket keys find every pair in reach and the distance is a residual condition. Equal points are counted
-once with their number first, which keeps the row-identity and value-identity counts in one plan. The grouping by point
+Points lie in square buckets of a cell (and z layer); a centre is copied to every bucket that its reach touches, so equal
+bucket keys find every pair in reach and the distance is a residual condition. Wide buckets make few copies and many
+comparisons, narrow ones the reverse; their width follows from the density of the points. Equal points are counted once with their number first, which keeps the row-identity and value-identity counts in one plan. The grouping by point
 keeps the join's keys, so it needs no shuffle of its own.
 """
 
@@ -11,8 +11,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Buckets are wider than the reach by this part, lest rounding puts two points at exactly the reach two buckets apart.
+#: A centre's reach is taken as longer by this part when it is copied, lest rounding misses a point at exactly the reach.
 SLACK = 1e-9
+#: Widths of buckets in units of the reach, and what a copied row costs in comparisons (measured on the test tables).
+WIDTHS, COPY = (1, 2, 4, 8, 16, 32), 100.0
+
+
+def bucket_width(points: DataFrame, reach: float, z_mode: str = "discrete") -> float:
+    """The cheapest width: (1 + 2 / m) ** d copies of a centre against (m + 2) ** d reaches' worth of points to compare
+    it with. One aggregate over the points tells how many lie in a square (or cube) of the reach."""
+    if reach <= 0:
+        return 1.0
+    axes = _axes(z_mode)
+    keys = ["cell"] if z_mode == "continuous" else ["cell", "z"]
+    spans = points.groupBy(*keys).agg(F.count("*").alias("n"), *[(F.max(a) - F.min(a)).alias(a) for a in axes])
+    room = F.lit(1.0)
+    for a in axes:
+        room = room * F.greatest(F.col(a), F.lit(reach))
+    # Weighted by points, so that a few crowded cells count as what they cost.
+    row = spans.agg((F.sum(F.col("n") * F.col("n") / room) / F.sum("n")).alias("density")).first()
+    held = (row["density"] or 0.0) * reach ** len(axes)
+    cost = lambda m: COPY * (1 + 2 / m) ** len(axes) + held * (m + 2) ** len(axes)
+    return reach * min(WIDTHS, key=cost)
 
 
 def _bucket(axis: str, width: float) -> Column:
@@ -40,13 +60,12 @@ def matched(points: DataFrame, centres: DataFrame, reach: float, metric: str = "
 
     Columns: cell, z, bucket keys, x, y, geneID and keep of the point; A and keep_centre of the centre.
     """
-    width = reach * (1 + SLACK) if reach > 0 else 1.0
-    axes = _axes(z_mode)
+    axes, width, far = _axes(z_mode), bucket_width(points, reach, z_mode), reach * (1 + SLACK)
     keys = ["cell", *(f"g{a}" for a in axes)] + ([] if z_mode == "continuous" else ["z"])
     own = points.select("cell", "x", "y", "z", "geneID", *keep, *[_bucket(a, width).alias(f"g{a}") for a in axes])
-    other = centres.select("cell", "z", *[F.col(a).alias(f"a_{a}") for a in axes], F.col("geneID").alias("A"), *keep_centre, *[_bucket(a, width).alias(f"g{a}") for a in axes])
+    other = centres.select("cell", "z", *[F.col(a).alias(f"a_{a}") for a in axes], F.col("geneID").alias("A"), *keep_centre)
     for a in axes:
-        other = other.withColumn(f"g{a}", F.explode(F.array(*[F.col(f"g{a}") + d for d in (-1, 0, 1)])))
+        other = other.withColumn(f"g{a}", F.explode(F.sequence(F.floor((F.col(f"a_{a}") - far) / width), F.floor((F.col(f"a_{a}") + far) / width))))
     if z_mode == "continuous":
         other = other.drop("z")
     joined = own.join(other, keys).withColumn("near", measure(metric, z_mode))
