@@ -197,7 +197,7 @@ def test_decontamination(spark, docs):
         (1, "intro " + " ".join(item).upper() + " outro"), (2, " ".join(swapped)), (3, " ".join(item[:22])), (4, " ".join(item[:12])),
         (5, " ".join(short)), (6, "seven small words stand here left now"), (7, None), (8, ""), (None, " ".join(item)), (1, " ".join(item)),
     ]
-    own = spark.createDataFrame([(i, t, "k", 0) for i, t in table], "doc_id long, text string, item_id string, h int")
+    own = spark.createDataFrame([(i, t, "k", 0) for i, t in table], "doc_id long, text string, item_id string, key int")
     bench = spark.createDataFrame([(10, " ".join(item)), (11, " ".join(short)), (12, "too short"), (13, None)], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(own, bench).collect()}
     assert got == {(1, 10), (2, 10), (3, 10), (5, 11), (None, 10)}
@@ -331,6 +331,26 @@ def test_phrases_are_greedy():
             assert total == n
 
 
+CLASHES = ["_row", "_hit", "_id", "_crc", "starts", "n_words", "symbols", "_salt", "component", "at", "seed", "lang_pred"]
+
+
+def test_clashing_names(spark, docs):
+    """Columns that share names with inner ones pass through untouched."""
+    wide = docs.selectExpr("*", *[f"doc_id + {k} AS `{c}`" for k, c in enumerate(CLASHES)])
+    bench = spark.createDataFrame([(1, "no such words in any of the texts here at all")], "item_id long, text string")
+    for out in (jaccard.one_of_each(wide), suffixes.deduplicated(wide), quality.filtered(wide), decontaminate.clean(wide, bench)):
+        assert out.columns == wide.columns
+        for r in out.where("doc_id IS NOT NULL").collect():
+            assert [r[c] for c in CLASHES] == [r["doc_id"] + k for k in range(len(CLASHES))]
+
+
+def test_write_shards(spark, tmp_path):
+    own = spark.createDataFrame([(i, f"t{i}", f"s{i % 3}") for i in range(50)], "doc_id long, text string, source string")
+    sharding.write_shards(own, str(tmp_path / "shards"), 4)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert {r["shard"]: r["count"] for r in back.groupBy("shard").count().collect()} == {0: 13, 1: 12, 2: 13, 3: 12} and back.select("doc_id").distinct().count() == 50
+
+
 @pytest.mark.parametrize("name", ["jaccard", "suffixes", "quality", "sharding", "bpe", "langid", "one", "cut", "filter"])
 def test_empty(empty, name):
     calls = {

@@ -93,6 +93,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents that overlap with no item, with their columns."""
-    own = docs.select(F.xxhash64(F.col(id_column), text_or_empty(text_column)).alias("_row_key"), F.col(text_column).alias("text"))
-    gone = overlaps(own, benchmark, ["_row_key"]).select("_row_key").distinct()
-    return docs.withColumn("_row_key", F.xxhash64(F.col(id_column), text_or_empty(text_column))).join(gone, "_row_key", "left_anti").drop("_row_key")
+    key = F.xxhash64(F.col(id_column), text_or_empty(text_column)).alias("key")
+    gone = overlaps(docs.select(key, F.col(text_column).alias("text")), benchmark, ["key"]).select("key").distinct()
+    rows = docs.select(key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(gone, "key", "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -90,7 +90,9 @@ def assign_shards(
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 40, seed: str = "0") -> DataFrame:
-    """Write docs as Parquet, one folder a shard, and return what assign_shards() says. Ids must be unique here."""
+    """Write docs as Parquet, one folder a shard, and return what assign_shards() says. Ids must be unique here, and no column named shard or slot."""
+    if {"shard", "slot"} & set(docs.columns):
+        raise ValueError("docs has a column named shard or slot")
     shards = assign_shards(docs, n_shards, seed)
     placed = docs.join(shards.select("doc_id", "shard", "slot"), "doc_id")
     placed.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
