@@ -10,7 +10,8 @@ its rows decides what is removed where. Buckets are small (BUCKET bytes of text)
 where a construction over one whole collection would keep them in sequential external files.
 
 A piece that several texts of one chunk share is sent once, for the smallest doc_id; the others lose it there and
-then. So a passage that a third of all documents share puts a row a chunk into its bucket, not one a document.
+then. A task remembers pieces that many texts of a chunk shared, and sends them again only for a smaller doc_id. So a
+passage that a third of all documents share puts a few rows a task into its bucket, not one a document.
 
 Defined cases: a null text is empty; texts under 50 bytes lose nothing; a document loses nothing to itself or to rows
 with an equal doc_id; a null doc_id counts as larger than any other; repeated rows get equal results; an empty table
@@ -39,6 +40,8 @@ PLACES = LENGTH - ANCHOR + 1
 WIDTH = LENGTH + PLACES - 1
 #: Bytes of text cut into pieces at once, and bytes of text aimed at in a bucket.
 CHUNK, BUCKET = 2 << 20, 10 << 20
+#: Texts of a chunk that make a task remember the piece they share, and pieces it remembers.
+MANY, REMEMBERED = 8, 1 << 20
 POSITION = U((1 << 28) - 1)
 LAST = (1 << 63) - 1
 
@@ -89,7 +92,7 @@ def _spans_blob(ids, crcs, starts, sizes) -> bytes:
 def _pieces(buckets: int):
     """From texts: pieces by bucket of their anchor (kind 0), and what is removed within the chunk (kind 1, by document)."""
 
-    def cut(ids, data, offsets):
+    def cut(ids, data, offsets, known):
         if len(data) < LENGTH:
             return
         first, last, anchor, hashed, text, piece = _anchored(data, offsets)
@@ -98,7 +101,18 @@ def _pieces(buckets: int):
         crcs = np.array([zlib.crc32(data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], dtype=np.uint32)
         order = np.lexsort((ids[text], piece))
         start = np.flatnonzero(np.concatenate(([True], piece[order][1:] != piece[order][:-1])))
-        least = np.repeat(ids[text][order][start], np.diff(np.append(start, len(order))))
+        texts, own = np.diff(np.append(start, len(order))), ids[text][order][start]
+        name = piece[order][start]
+        if len(known[0]):
+            at = np.minimum(np.searchsorted(known[0], name), len(known[0]) - 1)
+            own = np.where(known[0][at] == name, np.minimum(known[1][at], own), own)
+        least = np.repeat(own, texts)
+        many = texts >= MANY
+        if many.any():
+            names, values = np.concatenate((name[many], known[0])), np.concatenate((ids[text][order][start][many], known[1]))
+            by = np.lexsort((values, names))
+            first_of = np.concatenate(([True], names[by][1:] != names[by][:-1]))
+            known[:] = [names[by][first_of][:REMEMBERED], values[by][first_of][:REMEMBERED]]
         copy = np.empty(len(order), dtype=bool)
         copy[order] = ids[text][order] > least
         gone = np.flatnonzero(copy)
@@ -128,10 +142,11 @@ def _pieces(buckets: int):
                 )
 
     def run(batches):
+        known = [np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)]
         for batch in batches:
             every = batch.column(0).fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
             for first, data, offsets in scan.chunks(batch.column(1), CHUNK):
-                for kind, key, blob in cut(every[first : first + len(offsets) - 1], data, offsets):
+                for kind, key, blob in cut(every[first : first + len(offsets) - 1], data, offsets, known):
                     yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([key], pa.int32()), pa.array([blob], pa.binary())], ["kind", "key", "blob"])
 
     return run
