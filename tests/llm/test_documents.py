@@ -75,8 +75,9 @@ def components(sets, percent):
     return [find(i) for i in range(len(sets))]
 
 
-@pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80), (2, 60)])
-def test_jaccard(docs, k, percent):
+@pytest.mark.parametrize(("k", "percent", "often"), [(4, 85, 50), (5, 80, 3), (2, 60, 10)])
+def test_jaccard(docs, monkeypatch, k, percent, often):
+    monkeypatch.setattr(jaccard, "AT_LEAST", often)  # below 50 some n-grams count as frequent here
     sets = []
     for r in ROWS:
         w = words(lowered(r[1]))
@@ -119,6 +120,32 @@ def test_suffixes(docs):
     assert any(0 < w[2] < w[1] for w in want)
 
 
+def test_suffixes_over_many_chunks(monkeypatch):
+    """One task that meets a passage in chunk after chunk, in changing order of ids."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffixes, "CHUNK", 700)
+    monkeypatch.setattr(suffixes, "MANY", 2)
+    rng = random.Random(8)
+    passage = " ".join(rng.choice(WORDS) for _ in range(25))
+    texts = [" ".join(rng.choice(WORDS) for _ in range(12)) + passage + str(i % 5) for i in range(60)]
+    ids = list(range(60))
+    rng.shuffle(ids)
+    sent = collections.defaultdict(list)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([t.encode() for t in texts], pa.binary())], ["id", "text"])
+    for out in suffixes._pieces(1)(iter([batch])):
+        sent[out.column(0)[0].as_py()].append(out.column(2)[0].as_py())
+    blobs = [*sent[1], *suffixes._to_documents(*suffixes._sorted_bucket(list(sent[0])), 1)["blob"].to_pylist()]
+    spans = {r["_id"]: list(zip(r["starts"], r["stops"], strict=True)) for r in suffixes._joined_spans(pa.table({"blob": blobs})).to_pylist()}
+    first = {}
+    for i, t in sorted(zip(ids, texts, strict=True)):
+        raw, mask = t.encode(), bytearray(len(t.encode()))
+        for k in range(len(raw) - 49):
+            if first.setdefault(raw[k : k + 50], i) < i:
+                mask[k : k + 50] = b"\1" * 50
+        assert spans.get(i, []) == [m.span() for m in re.finditer(b"\1+", bytes(mask))]
+
+
 def test_suffix_rounds():
     """The suffix order by rounds against sorted strings."""
     import numpy as np
