@@ -51,7 +51,8 @@ def run(args, spark: SparkSession) -> list[str]:
             written.append((out["shape"], sinks.shape_path(save)))
             if args.intermediate_dir:
                 found = distances.distances(analysis.prepared(points, part), part.r_dist)
-                sinks.retain_distances(found, f"{args.intermediate_dir}/distances" + (f"_r_{part.r_check}" if many else ""))
+                folder = with_radius(args.intermediate_dir, part.r_check) if many else args.intermediate_dir
+                sinks.retain_distances(found, f"{folder}/{part.background}")
         for df, path in written:
             sinks.write_single(df, path) if args.single_file else sinks.write_dataset(df, path)
             paths.append(path)
@@ -78,7 +79,7 @@ def run_distances(args, spark: SparkSession) -> str:
         raise ValueError("max_distance_count is below min_distance_count")
     wanted = pairs.select(F.col("gene_1").alias("gene_A"), F.col("gene_2").alias("gene_B"))
     if args.distances_dir:
-        found = spark.read.parquet(args.distances_dir)
+        found = spark.read.parquet(sinks.retained_layout(spark, args.distances_dir, args.background))
         buckets = [r[0] for r in wanted.select(F.pmod(F.xxhash64("gene_A"), F.lit(64))).distinct().collect()]
         found = found.where(F.col("bucket").isin(buckets)).join(wanted, ["gene_A", "gene_B"], "left_semi").drop("bucket")
     else:
@@ -136,6 +137,7 @@ def parser() -> argparse.ArgumentParser:
     p.set_defaults(call=run_events)
     q = sub.add_parser("distances", help="export distances of gene pairs")
     q.add_argument("--distances_dir")
+    q.add_argument("--background", choices=["auto", "all", "cooccurrence"], default="auto", help="which run's distances to read")
     q.add_argument("--r_dist", type=float)
     q.add_argument("--min_distance_count", type=int, default=1)
     q.add_argument("--max_distance_count", type=int)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import RunConfig
 from ..functions import stats
-from ..operators import background, controls, distances, events, neighbors, prep, results, tiles
+from ..operators import controls, distances, events, figures, neighbors, prep, results, tiles
 from ..sources.transcripts import missing_genes, pair_table
 from . import analysis
 
@@ -257,6 +257,16 @@ def random_reference(spark, d):
     return r.select("distance", stats.random_density(F.col("distance"), 1.0).alias("density"), stats.random_share(F.col("distance"), 1.0).alias("share"))
 
 
+def tissue_map(spark, d):
+    pairs = _requested(spark).where("ordinal = 0")
+    return _rounded(figures.tissue_map(events.cell_events(points(spark, d), pairs, R), flip_x=True), 6)
+
+
+def distance_curves(spark, d):
+    found = _found(spark, d).where("gene_A < 'cold' AND gene_B < 'cold'").select(F.concat_ws("_", "gene_A", "gene_B").alias("pair"), "distance")
+    return _rounded(figures.distance_curves(found, 5.0, 60), 6)
+
+
 def queries() -> dict:
     named = [
         gene_counts, gene_filter, slice_total, slice_total_pixels, pixel_distinct, cell_gene_counts, cell_totals, around_discrete, around_ninegrid,
@@ -264,7 +274,7 @@ def queries() -> dict:
         pair_bg_cooccurrence_ninegrid, hyper_all, hyper_cooccurrence, bh_bonferroni, ratios, dedup_first, dedup_last, bidirectional_retain,
         significant_last, eligible_pairs, final_all, cell_centers, cell_events_discrete, cell_events_continuous, missing_requested, distances_pair,
         distance_summary, distance_export, shape_stats, shape_relative, shape_join, kde_mode, control_baseline, multi_radius, unsegmented_radius,
-        unsegmented_grid, random_reference,
+        unsegmented_grid, random_reference, tissue_map, distance_curves,
     ]
     return {f.__name__: f for f in named}
 
@@ -441,5 +451,15 @@ SELECT res.gene_A, res.gene_B, gene_B_around, {_SHAPE_COLS} FROM res LEFT JOIN b
         "multi_radius": " UNION ALL ".join(f"SELECT *, CAST({r} AS DOUBLE) AS r_check FROM (WITH {_PTS}, {_near('pts', r)} {_k('m')})" for r in R_MORE),
         "unsegmented_radius": f"WITH {_tiled('pix', R, 'radius')} SELECT ag AS gene_A, g AS gene_B, count(*) AS k FROM near WHERE ag <> g GROUP BY ALL",
         "unsegmented_grid": f"WITH {_tiled('pix', GRID, 'grid')} SELECT ag AS gene_A, count(*) AS n FROM (SELECT DISTINCT i, j, x, y, ag FROM near) GROUP BY ag",
+        "tissue_map": f"""WITH e AS ({_events(False)}), one AS (SELECT * FROM e WHERE gene_A = 'blue rod'),
+exact AS (SELECT c, median(x) AS cx, median(y) AS cy FROM ({pts} SELECT * FROM pts) GROUP BY c)
+SELECT one.*, round(-cx - (SELECT min(-cx) FROM exact), 6) AS x_relative, round(cy - (SELECT min(cy) FROM exact), 6) AS y_relative FROM one JOIN exact ON c = cell""",
+        "distance_curves": f"""WITH {_DIST}, own AS (SELECT gene_A || '_' || gene_B AS pair, d FROM dist WHERE gene_A < 'cold' AND gene_B < 'cold'),
+f AS (SELECT pair, count(*) AS n, stddev_samp(d) * pow(count(*), -0.2) AS w FROM own GROUP BY pair HAVING count(*) > 1 AND stddev_samp(d) > 0),
+g AS (SELECT i, i * (5.0::DOUBLE / 59) AS spot FROM range(60) t(i)),
+k AS (SELECT pair, i, spot, sum(exp(-0.5 * pow((spot - d) / w, 2)) / (n * w * sqrt(2 * pi()))) AS y FROM own JOIN f USING (pair) CROSS JOIN g GROUP BY ALL),
+a AS (SELECT *, (y + lead(y) OVER (PARTITION BY pair ORDER BY i)) / 2 * (5.0::DOUBLE / 59) AS part FROM k)
+SELECT pair, round(spot, 6) AS distance, round(y / sum(part) OVER (PARTITION BY pair), 6) AS density FROM a
+UNION ALL SELECT 'Random expectation', round(spot, 6), round(2 * spot / 25.0::DOUBLE, 6) FROM g""",
         "random_reference": "SELECT i / 100.0::DOUBLE AS distance, 2 * (i / 100.0::DOUBLE) / (1.0 * 1.0) AS density, (i / 100.0::DOUBLE) * (i / 100.0::DOUBLE) / (1.0 * 1.0) AS share FROM range(1, 101) t(i)",
     }

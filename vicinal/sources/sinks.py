@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROWS_A_FILE = 250_000
@@ -69,3 +69,14 @@ def retain_distances(distances: DataFrame, path: str, buckets: int = 64) -> None
     """Distances kept for later extraction: Parquet partitioned by a hash of gene_A, so that a request reads few files."""
     bucketed = distances.withColumn("bucket", F.pmod(F.xxhash64("gene_A"), F.lit(buckets)))
     bucketed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def retained_layout(spark: SparkSession, folder: str, background: str = "auto") -> str:
+    """Where a run kept its distances: under the background it was made with; auto needs just one of the two."""
+    names = ["all", "cooccurrence"] if background == "auto" else [background]
+    conf = spark._jsc.hadoopConfiguration()
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}") for n in names]
+    found = [str(p) for p in paths if p.getFileSystem(conf).exists(p)]
+    if len(found) != 1:
+        raise ValueError("distances of both backgrounds are there; name one" if found else "no retained distances were found")
+    return found[0]
