@@ -97,18 +97,10 @@ def test_export_is_reproducible(spark):
 def test_command_line(spark, tmp_path):
     lines = ["x,y,z,geneID,cell"] + [f"{i % 7},{i % 5},0,{'ABC'[i % 3]},c{i % 2}" for i in range(60)]
     data, save = write(tmp_path, "\n".join(lines) + "\n"), str(tmp_path / "r.csv")
-    args = ["run", "--detection_method", "radius", "--background", "cooccurrence", "--r_check", "1", "2", "--data_path", data, "--save_path", save, "--filter_threshold", "2", "--single_file",
-            "--distribution_analysis", "--r_dist", "2", "--around_count_threshold", "5", "--shape_qvalue_threshold", "1", "--intermediate_dir", str(tmp_path / "mid")]
+    args = ["run", "--detection_method", "radius", "--background", "cooccurrence", "--r_check", "1", "2", "--data_path", data, "--save_path", save, "--filter_threshold", "2", "--single_file"]
     parsed = cli.parser().parse_args(args)
     paths = parsed.call(parsed, spark)
-    assert str(tmp_path / "r_r_1_dedup_2.0_post_proc_shape.csv") in paths and all(spark.read.csv(p, header=True).count() for p in paths)
-    for extra in (["--data_path", data, "--r_dist", "2"], ["--distances_dir", str(tmp_path / "mid_r_1")]):
-        parsed = cli.parser().parse_args(["distances", *extra, "--save_path", str(tmp_path / "d.csv.gz"), "--pair", "B", "A", "--max_distance_count", "9"])
-        parsed.call(parsed, spark)
-        assert spark.read.csv(str(tmp_path / "d.csv.gz"), header=True).count() == 9
-    assert sinks.retained_layout(spark, str(tmp_path / "mid_r_2")).endswith("cooccurrence")
-    with pytest.raises(ValueError):
-        sinks.retained_layout(spark, str(tmp_path / "mid_r_2"), "all")
+    assert str(tmp_path / "r_r_1_dedup_2.0_post_proc.csv") in paths and all(spark.read.csv(p, header=True).count() for p in paths)
     parsed = cli.parser().parse_args(["events", "--data_path", data, "--save_path", str(tmp_path / "e.csv"), "--r_check", "1", "--pair", "A", "B"])
     parsed.call(parsed, spark)
     assert spark.read.csv(str(tmp_path / "e.csv"), header=True).count() == 2
