@@ -225,7 +225,8 @@ def shape_join(spark, d):
 
 
 def kde_mode(spark, d):
-    return distances.shapes(_found(spark, d), 20, 60).select("gene_A", "gene_B", "mode")
+    """Modes over all distances of a pair."""
+    return distances.shapes(_found(spark, d), 20, None).select("gene_A", "gene_B", "mode")
 
 
 def control_baseline(spark, d):
