@@ -45,3 +45,22 @@ def test_modes_use_all_distances(spark, tables):
         grid = [low + (high - low) * i / 999 for i in range(1000)]
         density = [math.fsum(math.exp(-0.5 * ((at - v) / width) ** 2) for v in values) for at in grid]
         assert got[pair] == pytest.approx(grid[density.index(max(density))], abs=1e-9), pair
+
+
+def test_curves_of_all_pairs(spark, tables):
+    found = {"_".join(pair): values for pair, values in distances_of(tables[1], 5.0).items()}
+    got = defaultdict(list)
+    for r in own.queries()["distance_curves_all"](spark, tables[0]).collect():
+        got[r["pair"]].append((r["distance"], r["density"]))
+    assert set(got) == set(found) | {"Random expectation"} and len(found) == 10
+    step = 5.0 / 599
+    for pair, rows in got.items():
+        rows.sort()
+        assert [at for at, _ in rows] == pytest.approx([i * step for i in range(600)], abs=1e-6)
+        if pair in found:
+            width = deviation(found[pair]) * len(found[pair]) ** -0.2
+            heights = [math.fsum(math.exp(-0.5 * ((i * step - v) / width) ** 2) for v in found[pair]) for i in range(600)]
+            area = math.fsum((a + b) / 2 * step for a, b in zip(heights, heights[1:], strict=False))
+        else:
+            heights, area = [2 * i * step / 25.0 for i in range(600)], 1.0
+        assert [y for _, y in rows] == pytest.approx([y / area for y in heights], abs=2e-6), pair

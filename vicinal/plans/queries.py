@@ -264,10 +264,17 @@ def tissue_map(spark, d):
 
 
 def distance_curves(spark, d):
+    """The slice of distance_curves_all that the SQL covers, on a coarser grid."""
     found = _found(spark, d).where("gene_A < 'cold' AND gene_B < 'cold'").select(F.concat_ws("_", "gene_A", "gene_B").alias("pair"), "distance")
     return _rounded(figures.distance_curves(found, 5.0, 60), 6)
 
 
+def distance_curves_all(spark, d):
+    """Curves of every pair on the default grid."""
+    found = _found(spark, d).select(F.concat_ws("_", "gene_A", "gene_B").alias("pair"), "distance")
+    return _rounded(figures.distance_curves(found, 5.0), 6)
+
+
 def queries() -> dict:
     named = [
         gene_counts, gene_filter, slice_total, slice_total_pixels, pixel_distinct, cell_gene_counts, cell_totals, around_discrete, around_ninegrid,
@@ -275,7 +282,7 @@ def queries() -> dict:
         pair_bg_cooccurrence_ninegrid, hyper_all, hyper_cooccurrence, bh_bonferroni, ratios, dedup_first, dedup_last, bidirectional_retain,
         significant_last, eligible_pairs, final_all, cell_centers, cell_events_discrete, cell_events_continuous, missing_requested, distances_pair,
         distance_summary, distance_export, shape_stats, shape_relative, shape_join, kde_mode, control_baseline, multi_radius, unsegmented_radius,
-        unsegmented_grid, random_reference, tissue_map, distance_curves,
+        unsegmented_grid, random_reference, tissue_map, distance_curves, distance_curves_all,
     ]
     return {f.__name__: f for f in named}
 
