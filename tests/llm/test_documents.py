@@ -99,6 +99,14 @@ def test_one_of_each(docs):
     assert 5 in ids and 6 not in ids and ids.count(None) == 2 and {0, 1, 2, 3} <= set(ids)
 
 
+def test_one_row_of_each(spark):
+    text = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcd"]
+    table = [(1, text[0]), (1, text[0]), (2, text[0]), (2, text[1]), (3, text[2]), (3, text[2] + " end"), (None, text[3]), (None, text[3]), (None, text[3] + " end"), (4, ""), (4, ""), (None, None)]
+    kept = jaccard.one_of_each(spark.createDataFrame(table, "doc_id long, text string").repartition(3)).collect()
+    got = sorted(((r["doc_id"], (r["text"] or "").removesuffix(" end")) for r in kept), key=str)
+    assert got == sorted([(1, text[0]), (2, text[1]), (3, text[2]), (None, text[3]), (4, ""), (4, ""), (None, "")], key=str)
+
+
 def test_suffixes(docs):
     first = {}
     order = sorted(range(len(ROWS)), key=lambda i: (ROWS[i][0] is None, ROWS[i][0] or 0))
