@@ -64,3 +64,45 @@ def test_curves_of_all_pairs(spark, tables):
         else:
             heights, area = [2 * i * step / 25.0 for i in range(600)], 1.0
         assert [y for _, y in rows] == pytest.approx([y / area for y in heights], abs=2e-6), pair
+
+
+def test_final_rows(spark, tmp_path):
+    """Two genes side by side in each cell, two others on their own."""
+    names = ["a", "b", "c", "d"]
+    lines = []
+    for i in range(40):
+        lines += [(1, 10.0 * i, 0.0, 1, i % 4), (2, 10.0 * i + 1, 0.0, 1, i % 4), (3, 10.0 * i, 50_000.0, 1, i % 4), (4, 10.0 * i, 90_000.0, 1, i % 4)]
+    lines += [(3, 10.0 * i + 1, 0.0, 1, i % 4) for i in range(3)]
+    spark.createDataFrame(lines, "l_partkey long, l_quantity double, l_extendedprice double, l_linenumber int, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(list(enumerate(names, 1)), "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    points = [(x, price / 1000.0, names[part - 1], cell) for part, x, price, _, cell in lines]
+    near = [{q[2] for q in points if q[3] == p[3] and (p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 <= 4.0} for p in points]
+    count = {g: sum(p[2] == g for p in points) for g in names}
+    total, raw = len(points), {}
+    for a in names:
+        around = [p[2] for p, genes in zip(points, near, strict=True) if a in genes]
+        tests = []
+        for b in set(around) - {a}:
+            k, n = around.count(b), len(around)
+            tail = sum(math.comb(count[b], j) * math.comb(total - count[b], n - j) for j in range(k, min(count[b], n) + 1)) / math.comb(total, n)
+            enrichment = (k / n) / (count[b] / total)
+            tests.append((tail, b, k, enrichment))
+        tests.sort()
+        q = 1.0
+        for rank in range(len(tests), 0, -1):
+            p, b, k, enrichment = tests[rank - 1]
+            q = min(q, p * len(tests) / rank)
+            raw[a, b] = (q, -enrichment, k)
+    worst = {}
+    for (a, b), (q, less, _) in raw.items():  # of both directions the worse
+        pair = frozenset((a, b))
+        if pair not in worst or (q, less) > worst[pair][0]:
+            worst[pair] = ((q, less), a, b)
+    want = {(a, b): raw[a, b] for (q, _), a, b in worst.values() if q < 1e-5}
+    got = {(r["gene_A"], r["gene_B"]): r for r in own.queries()["final_rows"](spark, str(tmp_path)).collect()}
+    assert len(raw) > 2 * len(want) > 0
+    assert {frozenset(pair) for pair in got} == {frozenset(pair) for pair in want}
+    for (a, b), r in got.items():
+        q, less, k = raw[a, b]
+        assert (r["gene_B_around"], r["qvalue_BH"], r["enrichment_ratio"]) == pytest.approx((k, q, -less), abs=1e-8)
+        assert (q, less) == pytest.approx(worst[frozenset((a, b))][0], rel=1e-9)

@@ -176,6 +176,12 @@ def final_all(spark, d):
     return analysis.final_result(analysis.raw_result(points(spark, d), ALL), ALL).groupBy().agg(F.count("*").alias("pairs"), F.round(F.sum("support_ratio"), 4).alias("support"))
 
 
+def final_rows(spark, d):
+    """The final result: its rows, with the production threshold."""
+    config = RunConfig(r_check=R)
+    return _rounded(analysis.final_result(analysis.raw_result(points(spark, d), config), config), 9)
+
+
 def cell_centers(spark, d):
     return _rounded(events.cell_centres(points(spark, d)), 6)
 
@@ -280,7 +286,7 @@ def queries() -> dict:
         gene_counts, gene_filter, slice_total, slice_total_pixels, pixel_distinct, cell_gene_counts, cell_totals, around_discrete, around_ninegrid,
         pair_k_discrete, pair_k_continuous, pair_k_ninegrid, pair_k_valuedistinct, pair_k_rowidentity, pair_bg_all, pair_bg_cooccurrence,
         pair_bg_cooccurrence_ninegrid, hyper_all, hyper_cooccurrence, bh_bonferroni, ratios, dedup_first, dedup_last, bidirectional_retain,
-        significant_last, eligible_pairs, final_all, cell_centers, cell_events_discrete, cell_events_continuous, missing_requested, distances_pair,
+        significant_last, eligible_pairs, final_all, final_rows, cell_centers, cell_events_discrete, cell_events_continuous, missing_requested, distances_pair,
         distance_summary, distance_export, shape_stats, shape_relative, shape_join, kde_mode, control_baseline, multi_radius, unsegmented_radius,
         unsegmented_grid, random_reference, tissue_map, distance_curves, distance_curves_all,
     ]
