@@ -366,6 +366,20 @@ def test_phrases_are_greedy():
             assert total == n
 
 
+def test_many_scripts():
+    """Languages whose words have equal lengths, in scripts that more frequent letters of others precede."""
+    rng = random.Random(6)
+    scripts = {"la": range(97, 123), "ru": range(0x430, 0x450), "el": range(0x3B1, 0x3CA), "he": range(0x5D0, 0x5EB), "th": range(0xE01, 0xE2F), "zh": range(0x4E00, 0x4FF4), "ko": range(0xAC00, 0xADF4)}
+    pick = {lang: [[chr(rng.choice(own)) for _ in range(4)] for _ in range(150)] for lang, own in scripts.items()}
+    say = lambda lang, n: " ".join("".join(rng.choice(pick[lang])) for _ in range(n))
+    model = langid.Model({lang: say(lang, 2000 if lang in ("la", "ru") else 300) for lang in scripts})
+    tests = [(lang, say(lang, 12)) for lang in scripts for _ in range(10)]
+    assert [lang for lang, _ in model.predict([text for _, text in tests])] == [lang for lang, _ in tests]
+    text = say("zh", 3) + " " + say("ko", 3)
+    for lang, n in zip(model.langs, model.parse([text])[0][:, 0], strict=True):
+        assert n > len(text) / 2 or lang in ("zh", "ko")
+
+
 CLASHES = ["_row", "_hit", "_id", "_crc", "starts", "n_words", "symbols", "_salt", "component", "at", "seed", "lang_pred"]
 
 

@@ -2,8 +2,9 @@
 
 For each language a suffix automaton is built over a bounded sample of labelled text. A document is parsed greedily
 into the longest strings that occur in the sample; phrases times log2(sample length) over document length is an
-estimate of its entropy relative to that language (Ziv and Merhav). The lowest estimate wins. Automata are dense
-transition tables, and a worker moves through them with many blocks of text at once, one character a step, in NumPy.
+estimate of its entropy relative to that language (Ziv and Merhav). The lowest estimate wins. Automata are transition
+tables, dense for the most frequent letters and sorted lists for all others, and a worker moves through them with many
+blocks of text at once, one character a step, in NumPy.
 Whole texts are parsed, in blocks of BLOCK characters.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0; ties go to the first language in
@@ -21,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters that one lane parses, lanes moved at once, characters that distinguish languages.
+#: Characters that one lane parses, lanes moved at once, letters in the dense tables.
 BLOCK, LANES, ALPHABET = 512, 8192, 60
 
 
-def automaton(codes: list[int], width: int) -> np.ndarray:
-    """The suffix automaton of a string of codes: row = state, column = code, -1 = no such string."""
+def transitions(codes: list[int]) -> list[dict[int, int]]:
+    """The suffix automaton of a string of codes: by state, where each code leads."""
     link, length, moves = [-1], [0], [{}]
     last = 0
     for c in codes:
@@ -48,40 +49,73 @@ def automaton(codes: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
+    return moves
+
+
+def automaton(codes: list[int], width: int) -> np.ndarray:
+    """The suffix automaton of a string of codes: row = state, column = code, -1 = no such string."""
+    return _dense(transitions(codes), width)
+
+
+def _dense(moves: list[dict[int, int]], width: int) -> np.ndarray:
+    """The moves by codes below width."""
     table = np.full((len(moves), width), -1, dtype=np.int32)
     for state, out in enumerate(moves):
         for c, to in out.items():
-            table[state, c] = to
+            if c < width:
+                table[state, c] = to
     return table
 
 
 class Model:
-    """Automata of all languages in one table. Codes: 0 not a letter, 1 a rare letter, then the frequent ones; the last pads."""
+    """Automata of all languages in one table. Codes: 0 not a letter, 1 a letter of no sample, then the frequent ones,
+    one that pads, then all other letters of the samples, whose moves stand in a sorted list."""
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(lang for lang, text in samples.items() if any(c.isalpha() for c in text))
         letters = Counter(c for lang in self.langs for c in samples[lang].lower() if c.isalpha())
-        frequent = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]]
-        code = np.zeros(sys.maxunicode + 1, dtype=np.uint8)
+        ranked = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))]
+        self.pad = min(len(ranked), ALPHABET) + 2
+        self.total = len(ranked) + 3
+        code = np.zeros(sys.maxunicode + 1, dtype=np.min_scalar_type(self.total))
         code[[cp for cp in range(sys.maxunicode + 1) if chr(cp).isalpha()]] = 1
-        for k, c in enumerate(frequent):
-            code[ord(c)] = k + 2
-        self.code, self.pad = code, len(frequent) + 2
-        width, tables, self.bits, roots, states = self.pad + 1, [], [], [], 0
+        for k, c in enumerate(ranked):
+            code[ord(c)] = k + 2 + (k >= ALPHABET)
+        self.code = code
+        width, tables, self.bits, roots, states, keys, values = self.pad + 1, [], [], [], 0, [], []
         for lang in self.langs:
             codes = self.encode(samples[lang]).tolist()
-            table = automaton(codes, width)
+            moves = transitions(codes)
+            table = _dense(moves, width)
             table[table >= 0] += states
             table[:, self.pad] = np.arange(states, states + len(table))
+            for state, out in enumerate(moves):
+                for c, to in out.items():
+                    if c > self.pad:
+                        keys.append((state + states) * self.total + c)
+                        values.append(to + states)
             roots.append(states)
             states += len(table)
             tables.append(table)
             self.bits.append(np.log2(len(codes) + 1))
         self.width = width
+        order = np.argsort(np.array(keys, dtype=np.int64))
+        self.keys, self.values = np.array(keys, dtype=np.int64)[order], np.array(values, dtype=np.int32)[order]
         self.roots = np.array(roots, dtype=np.int32)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, dtype=np.int32)
-        self.restart = self.table.reshape(-1, width)[self.roots] if tables else np.zeros((0, width), dtype=np.int32)
-        self.restart = np.where(self.restart < 0, self.roots[:, None], self.restart).astype(np.int32)
+        restart = np.full((len(self.langs), self.total), -1, dtype=np.int32)
+        if tables:
+            restart[:, :width] = self.table.reshape(-1, width)[self.roots]
+            restart[:, width:] = self._listed(self.roots[:, None], np.arange(width, self.total))
+        self.restart = np.where(restart < 0, self.roots[:, None], restart).astype(np.int32)
+
+    def _listed(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Where codes outside the dense table lead."""
+        wanted = state.astype(np.int64) * self.total + codes
+        if not len(self.keys):
+            return np.full(wanted.shape, -1, dtype=np.int32)
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.values[at], -1).astype(np.int32)
 
     def encode(self, text: str) -> np.ndarray:
         return self.code[np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)]
@@ -92,7 +126,10 @@ class Model:
         state = np.repeat(self.roots[:, None], n, axis=1)
         count = np.ones((len(self.langs), n), dtype=np.int32)
         for codes in lanes:
-            to = self.table[state * np.int32(self.width) + codes]
+            other = np.flatnonzero(codes > self.pad)
+            to = self.table[state * np.int32(self.width) + np.minimum(codes, self.pad)]
+            if len(other):
+                to[:, other] = self._listed(state[:, other], codes[other])
             missed = to < 0
             count += missed
             state = np.where(missed, self.restart[:, codes], to)
@@ -107,7 +144,7 @@ class Model:
         def flush():
             if pieces:
                 pieces.sort(key=lambda x: -len(x[1]))
-                lanes = np.full((len(pieces[0][1]), len(pieces)), self.pad, dtype=np.uint8)
+                lanes = np.full((len(pieces[0][1]), len(pieces)), self.pad, dtype=self.code.dtype)
                 for k, (_, p) in enumerate(pieces):
                     lanes[: len(p), k] = p
                 found = self.phrases(lanes)
