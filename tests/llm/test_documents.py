@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -408,3 +409,20 @@ def test_empty(empty, name):
         "cut": lambda: suffixes.deduplicated(empty), "filter": lambda: quality.filtered(empty),
     }
     assert calls[name]().count() == 0
+
+
+def test_recall_of_seeds():
+    """The figures in the README: placements of substituted words that leave no mask whole."""
+
+    def missed(n, k):
+        found = 0
+        for gone in itertools.combinations(range(n), k):
+            starts = range(n - decontaminate.WINDOW + 1) if n > decontaminate.WINDOW else [0]
+            window = min(n, decontaminate.WINDOW)
+            stands = any(100 * (window - sum(s <= x < s + window for x in gone)) >= decontaminate.NEED * window for s in starts)
+            hit = any(not {at + p for p in mask} & set(gone) for mask in decontaminate.MASKS for at in range(n - decontaminate.SPAN + 1))
+            found += stands and not hit
+        return found
+
+    assert [missed(n, 2) for n in (13, 14, 15, 16, 20, 25, 30)] == [28, 13, 5, 2, 0, 0, 0]
+    assert [missed(n, 1) for n in (12, 13, 14)] == [2, 0, 0]
