@@ -128,12 +128,55 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <footer>&copy; f</footer>"""
 
 
+def text_of(page, shared=()):
+    found = htmltext.lines(page)
+    return [found[k][0] for k in htmltext.main_lines([m for _, m in found], list(shared))]
+
+
 def test_lines():
-    assert htmltext.settled(htmltext.lines(PAGE)) == (["A & B", "One two three.", "Four <5>", "x", "y"], False)
+    assert text_of(PAGE) == ["A & B", "One two three.", "Four <5>", "x", "y"]
     for junk in ("", "<", "<p", "<p class='", "a<b", "</p></div>", "<script>", "<!-- open", "<div hidden>x</div>y", "<p>a</p" * 3, "<" * 1000):
         htmltext.lines(junk)
-    assert [t for t, _ in htmltext.lines("<div hidden>x</div>y<p role=navigation>z</p>")] == ["y"]
-    assert [t for t, _ in htmltext.lines("a < b and c > d")] == ["a < b and c > d"]
+    assert text_of("<div hidden>x</div>y<p role=navigation>z</p>") == ["y"]
+    assert text_of("a < b and c > d") == ["a < b and c > d"]
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<main class="with-sidebar"><p>Real text.</p></main>', ["Real text."]),
+        ('<article class="post has-comments"><p>Real text.</p></article>', ["Real text."]),
+        ('<div class="site header-fixed"><div class="menu">m</div><article><p>Real text.</p></article></div>', ["Real text."]),
+        ('<div class="search-results-page"><p>Real text.</p></div>', ["Real text."]),
+        ('<div class="widget"><p>Real text.</p></div>', ["Real text."]),
+        ('<div class="page-sidebar"><nav>n</nav><main>Real text.</main></div>', ["Real text."]),
+        ('<form action="x"><nav>n</nav><main>Real text.<form>ask</form></main></form>', ["Real text."]),
+        ('<article>Post.</article><div id="comments"><article class="comment">me too</article></div>', ["Post."]),
+        ('<main><article>Post.</article><article class="comment">me too</article></main>', ["Post."]),
+        ('<aside><article>teaser</article></aside><div class="cookie-notice">ok?</div><p>Real text.</p>', ["Real text."]),
+        ('<body class="has-menu login"><p>Real text.</p><p class="ad">buy</p></body>', ["Real text."]),
+        ("<svg><p>Real text.</p>", ["Real text."]),
+        ("<p hidden>x<div>Real text.</div>", ["Real text."]),
+        ("<p>&#" + "1" * 9000 + ";a&#00000000065;</p>", ["\ufffdaA"]),
+    ],
+)
+def test_markup_drops_no_article(page, text):
+    assert text_of(page) == text
+
+
+@pytest.mark.parametrize(
+    "unit",
+    ["<a", "<a ", '<a "', "<a '>", '<a ">" ', "</a", "<!--", "<!-", "<script", "<script>", "</script", "<svg>", "<div>", "<div><b></p>", "<div class=", '<div class="x', "<div a", "<div a=  ", "&#1", "&amp", "<p>x", "<", "a ", "<div hidden>", "<article>", "<div class=ad><article>"],
+)
+def test_a_page_of_one_mb_takes_seconds(unit):
+    import time
+
+    began = time.time()
+    found = htmltext.lines(unit * (1_000_000 // len(unit)))
+    htmltext.lines("<div>" * 100_000 + "</i>" * 100_000 + "<b " + " " * 300_000 + "x" * 300_000)
+    shifted = [(k * 7919) % 50 for k in range(len(found))]
+    htmltext.common_lines(shifted, shifted[1:] + [-1])
+    assert time.time() - began < 20
 
 
 def test_common_lines():
@@ -167,6 +210,72 @@ def test_differencing(spark):
 
 def test_neighbours_across_partitions(spark):
     rows = [(i, f"http://h/{i:02d}", f"<p>{i}</p>") for i in range(23)]
-    got = {r["path"]: (r["path_before"], r["path_after"]) for r in htmltext.neighbours(table(spark, rows).repartition(5).select("page_id", "url", "html")).collect()}
+    got = {r["path"]: (r["path_before"], r["path_after"]) for r in htmltext.neighbours(htmltext.parsed(table(spark, rows).repartition(5))).collect()}
     names = [f"/{i:02d}" for i in range(23)]
     assert got == {n: (names[k - 1] if k else None, names[k + 1] if k < 22 else None) for k, n in enumerate(names)}
+
+
+def common(a, b):
+    """Places in a of the longest common subsequence that takes lines of a as early as it can."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append(i)
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def brute_texts(rows):
+    """page_id -> text by the definition: nearest page of other lines on either side, shared lines, marks."""
+    own = [(*split(u), [t for t, _ in htmltext.lines(h or "")], [m for _, m in htmltext.lines(h or "")], i) for i, u, h in rows]
+    out = {}
+    for host, path, texts, marks, i in own:
+        side = sorted((x for x in own if x[0] == host and x[2] != texts), key=lambda x: x[1]) if host else []
+        before, after = [x for x in side if x[1] < path][-1:], [x for x in side if x[1] > path][:1]
+        prefix = lambda x: next((k for k, (p, q) in enumerate(zip(path, x[1], strict=False)) if p != q), min(len(path), len(x[1])))
+        found = [common(texts, x[2]) for x in sorted(before + after, key=lambda x: -prefix(x))]
+        gone = next((f for f in found if f and len(f) < 0.8 * len(texts)), [])
+        if not gone and len(found) == 2 and found[0] == found[1] and len(found[0]) < len(texts):
+            gone = found[0]
+        kind = 1 if 1 in marks else 0
+        out[i] = "\n".join(t for k, t in enumerate(texts) if marks[k] == kind and (kind or k not in gone))
+    return out
+
+
+def test_whole_query_against_brute_force(spark):
+    """Unmarked templates, short stories in large templates, copies, near copies, articles that share lines, across partitions."""
+    rng = random.Random(8)
+    say = lambda n: " ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(n))
+    rows = []
+    for h in range(4):
+        head, foot = [f"host {h} head {say(2)}" for _ in range(rng.choice([1, 3, 9]))], [f"foot {h}"]
+        for i in range(60):
+            story = [f"story {h} {i} {k} {say(5)}" for k in range(rng.choice([1, 2, 6]))]
+            if i % 10 == 7:
+                story = rows[-1][3] if rows and rows[-1][3] else story  # a copy of the page before
+            body = "".join(f"<div>{x}</div>" for x in head + story + foot)
+            if i % 6 == 0:
+                body = f"<nav>go</nav><article><p>shared opening</p>{''.join(f'<p>{x}</p>' for x in story)}</article>" + "".join(f"<div>{x}</div>" for x in head)
+            rows.append((len(rows), f"http://h{h}.org/{'ab'[i % 2]}/{i:02d}", body, story))
+    rows = [r[:3] for r in rows]
+    rows += [(900, None, "<p>no url</p>"), (901, "http://alone/", "<p>alone</p>"), (902, "no scheme", "<p>no host</p>"), (903, "http://h0.org/zz", None), (904, "http://long/1", "<p>" + "x" * 2_000_000 + "</p><p>t</p>"), (905, "http://long/2", "<p>other</p><p>z</p><p>t</p>")]
+    got = {r["page_id"]: r["text"] for r in htmltext.extracted(table(spark, rows).repartition(7)).collect()}
+    want = brute_texts(rows)
+    assert {i for i in want if got[i] != want[i]} == set()
+    assert got[904] == "x" * 2_000_000 and got[905] == "other\nz" and got[900] == "no url" and got[903] == ""
+
+
+def test_copies_over_many_partitions(spark):
+    """A run of equal pages that fills whole partitions is one copy: both its ends meet the pages around it."""
+    frame = "<div>top</div><div>{}</div><div>end</div>"
+    rows = [(i, f"http://h/{i:03d}", frame.format("one" if i == 0 else "two" if i == 99 else "same")) for i in range(100)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extracted(table(spark, rows).repartition(3)).collect()}
+    assert got == {i: "one" if i == 0 else "two" if i == 99 else "same" for i in range(100)}

@@ -60,13 +60,14 @@ def build(hashes: DataFrame, keys: int, max_bytes: int = 16 << 20, parts: int =
     return empty
 
 
-def passing(df: DataFrame, bloom: BlockedBloom, column: str) -> DataFrame:
-    """The rows whose hash the filter might hold."""
+def passing(df: DataFrame, bloom: BlockedBloom, column: str, negated: bool = False) -> DataFrame:
+    """The rows whose hash the filter might hold; negated: those whose hash it does not hold."""
     shared = df.sparkSession.sparkContext.broadcast(bloom)
     at = df.columns.index(column)
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(shared.value.might_hold(batch.column(at).to_numpy(zero_copy_only=False))))
+            held = shared.value.might_hold(batch.column(at).to_numpy(zero_copy_only=False))
+            yield batch.filter(pa.array(held != negated))
 
     return df.where(F.col(column).isNotNull()).mapInArrow(run, df.schema)
