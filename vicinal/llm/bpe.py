@@ -26,6 +26,15 @@ from pyspark.sql import functions as F
 
 #: Pre-tokens handled at once, and pre-tokens that a worker remembers before it starts afresh.
 BLOCK, REMEMBERED = 1 << 16, 400_000
+#: Letters, numbers and marks that Unicode has had since version 17 or later. The rank files' own splitter follows version
+#: 16, in which they are unassigned. First and last code points.
+LATER = """
+558 58B-58C 5C8-5C9 88F B53-B54 C5C CDC 1ACF-1AF0 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7
+10ECB-10ECF 10ED9-10EEE 10EF0-10EFB 11B0A 11B60-11B67 11DB0-11DDB 11DE0-11DE9 11DF0-11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3
+16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D127-1D128 1D250-1D252 1D25B-1D25C
+1D25F 1D280-1D281 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6F5 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD
+323B0-33479 3D000-3FC3F
+""".split()
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -130,19 +139,35 @@ class _Known(dict):
         return ids
 
 
+_LATER_SET = "[" + "".join("-".join(rf"\U{int(x, 16):08X}" for x in span.split("-")) for span in LATER) + "]"
+_LATER_FOUND = regex.compile(_LATER_SET)
+
+
+def splitters(pattern: str) -> tuple[regex.Pattern, regex.Pattern]:
+    """The pattern as the rank files' own splitter reads it: for texts without LATER code points, and for those with some.
+
+    It takes White_Space, which this library's \\s exceeds by U+001C to U+001F; classes of letters, numbers and marks are
+    those of Unicode 16, in which U+0295 was a small letter.
+    """
+    plain = pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")
+    plain = plain.replace(r"\p{Ll}", r"[\p{Ll}\u0295]").replace(r"\p{Lo}", r"[\p{Lo}--\u0295]")
+    strict = regex.sub(r"\\p\{(?:L|N|M)[a-z]?\}", lambda m: f"[{m[0]}--{_LATER_SET}]", plain)
+    return regex.compile(plain, regex.V1), regex.compile(strict, regex.V1)
+
+
 class Codec:
     """Encodes whole texts and decodes ids."""
 
     def __init__(self, hashed: PerfectHash, pattern: str):
         self.known = _Known(hashed)
-        # The rank files' own splitter takes Unicode White_Space, which this library's \\s exceeds by U+001C to U+001F.
-        self.pattern = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
+        self.plain, self.strict = splitters(pattern)
         self.token = dict(zip(hashed.ranks, hashed.tokens, strict=True))
         self.name = {rank: str(rank) for rank in hashed.ranks}
 
     def blocks(self, text: str) -> Iterator[list[int]]:
         """The ids of a text, block by block."""
-        pieces = iter(self.pattern.findall(text)) if len(text) < 1 << 20 else (m[0] for m in self.pattern.finditer(text))
+        pattern = self.strict if not text.isascii() and _LATER_FOUND.search(text) else self.plain
+        pieces = iter(pattern.findall(text)) if len(text) < 1 << 20 else (m[0] for m in pattern.finditer(text))
         while block := list(islice(pieces, BLOCK)):
             yield list(chain.from_iterable(map(self.known.__getitem__, block)))
 
