@@ -251,6 +251,49 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(own, bench).collect()} == {(100 + i, i) for i in range(12)}
 
 
+def test_decontamination_against_the_definition(spark, monkeypatch):
+    """Every way to change two words of a passage, at random places of items of several lengths, in pieces and blocks."""
+    monkeypatch.setattr(decontaminate, "BLOCK_SEEDS", 400)
+    monkeypatch.setattr(decontaminate, "PIECE", 40)
+    rng = random.Random(4)
+    word = lambda: rng.choice("abcdefghijklmnop") + str(rng.randrange(60))
+    items = [[word() for _ in range(n)] for n in (13, 12, 12, 14, 30, 150)]
+    texts = []
+    for item in items[:3]:
+        for spots in itertools.combinations(range(len(item)), 2):
+            texts.append([word() for _ in range(rng.randrange(4))] + [f"x{k}" if k in spots else w for k, w in enumerate(item)] + [word() for _ in range(rng.randrange(4))])
+    for _ in range(150):
+        item = rng.choice(items)
+        a = rng.randrange(max(1, len(item) - 12))
+        texts.append([word(), *[w if rng.random() < 0.85 else word() for w in item[a : a + rng.choice([9, 13, 14, 20, 40])]], word()])
+    own = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    want = {}
+    for i, t in enumerate(texts):
+        for j, v in enumerate(items):
+            n = min(13, len(v))
+            best = max((sum(x == y for x, y in zip(t[a : a + n], v[b : b + n], strict=True)) for a in range(len(t) - n + 1) for b in range(len(v) - n + 1)), default=0)
+            if 100 * best >= 80 * n:
+                want[i, j] = (best, n)
+    assert len(want) > 250
+    assert {(r["doc_id"], r["item_id"]): (r["matched_words"], r["window_words"]) for r in decontaminate.contaminated(own, bench).collect()} == want
+
+
+def test_masks_leave_no_two_changes_unseen():
+    for n in (12, 13):
+        for spots in itertools.combinations(range(n), 2):
+            assert any(not set(spots) & {p + at for p in m} for m in decontaminate.masks_of(n) for at in range(n - m[-1] if n == 13 else 1)), spots
+
+
+def test_decontamination_with_a_very_long_item_and_text(spark):
+    rng = random.Random(6)
+    item = [str(rng.randrange(10**9)) for _ in range(100_000)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "z " * 30)], "item_id long, text string")
+    own = [(1, " ".join(item[50_000:50_013])), (2, " ".join(item[99_987:])), (3, " ".join(item)), (4, " ".join(item[::2])), (5, "y " * 1_000_000), (6, "z " * 12)]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(spark.createDataFrame(own, "doc_id long, text string"), bench).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1)}
+
+
 @pytest.mark.parametrize("shards", [1, 7, 40])
 def test_sharding(docs, shards):
     got = sharding.assign_shards(docs, shards).collect()
@@ -285,6 +328,15 @@ def test_bpe(docs):
         want.append((r[0], len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r[1] or "").encode()).hexdigest()))
     got = [tuple(r) for r in bpe.digests(docs, VOCABULARY, public_tokenizers.PATTERN).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+    codec = bpe.Codec(bpe.PerfectHash(ranks), public_tokenizers.PATTERN)
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(every), 2000):  # each between a letter and a number, and after a space
+        text = "".join(f"a{c}1 {c}. " for c in every[k : k + 2000])
+        assert codec.encode(text) == plain.encode_ordinary(text), k
+    for text in ("ab" * 150_000, "x y" * 100_000):
+        assert codec.encode(text) == plain.encode_ordinary(text)
+    spaces = " " * 200_000 + "x"  # the library itself fails on these
+    assert codec.decode(codec.encode(spaces)) == spaces.encode()
     ids = bpe.encoded(docs, VOCABULARY, public_tokenizers.PATTERN)
     back = bpe.decoded(ids, VOCABULARY, public_tokenizers.PATTERN)
     assert sorted(bytes(r["bytes"]) for r in back.collect()) == sorted((r[1] or "").encode() for r in ROWS)

@@ -1,29 +1,52 @@
 """Benchmark decontamination with spaced seeds, in DataFrame expressions only.
 
-Words are runs of letters and digits, lower-cased. A mask fixes which of SPAN neighbouring words count; the hash of
-those words is a seed, so that words at the ignored places may differ. Seeds of all texts meet the benchmark's seeds in
-a hash join, and around each hit the words themselves are compared on the hit's diagonal: an item and a text overlap if
-some window of WINDOW words (or the whole item, if shorter) that holds the hit agrees in at least NEED of 100 words.
+Words are runs of letters and digits, lower-cased. A mask fixes which of some neighbouring words count; the hash of those
+words is a seed, so that words at the ignored places may differ. Seeds of all texts meet the benchmark's seeds in a hash
+join, and around each hit the words themselves are compared on the hit's diagonal: an item and a text overlap if some
+window of WINDOW words (or the whole item, if shorter) agrees in at least NEED of 100 words; items of fewer than LENIENT
+words must agree in all, lest common phrases be taken for them.
 
-The benchmark's seeds are broadcast in blocks of at most BLOCK_SEEDS, each block joined to all texts; texts are neither
-shuffled nor exploded into rows that carry them.
+No such overlap goes without a hit: wherever the words that may differ stand in a window, some mask ignores them all
+(``masks_of``). So the result is what comparing every item with every place of every text would give.
+
+The benchmark's seeds are broadcast without its words, the words once for each piece of at most PIECE of an item, in
+blocks of about BLOCK_SEEDS seeds; each block reads the texts once. Texts are neither shuffled nor exploded into rows
+that carry them.
 
 Defined cases: null and empty texts and items overlap with nothing; items of fewer than SHORTEST words are left out;
-those of fewer than SPAN words are matched whole, word by word; null ids are carried along; repeated rows are reported
-once for each id; an empty table gives no rows; other columns are ignored.
+null ids are carried along; repeated rows are reported once for each id; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
-#: Places that count, of SPAN. Some place of each is free, and no two ignore the same places.
-MASKS = [(0, 1, 2, 4, 7, 9, 10, 11), (0, 2, 3, 5, 6, 8, 10, 11), (0, 1, 4, 5, 6, 8, 9, 11)]
-SPAN, WINDOW, NEED, SHORTEST = 12, 13, 80, 5
-BLOCK_SEEDS = 1_000_000
+#: Places that count, of a window of WINDOW words or at one of its later places. Fixed values, found by search: of any
+#: two words of the window, some mask at some place in it ignores both.
+MASKS = [(0, 1, 2, 4, 5, 6, 9), (0, 1, 3, 6, 8, 9, 10), (0, 3, 4, 5, 6, 9, 10)]
+WINDOW, NEED, SHORTEST, LENIENT = 13, 80, 5, 12
+#: Words between the start of a window and the last place that a mask can take in it.
+SLACK = WINDOW - 1 - min(m[-1] for m in MASKS)
+#: Seeds aimed at in one broadcast, words in a piece of an item.
+BLOCK_SEEDS, PIECE = 1_000_000, 20_000
+
+
+def masks_of(n: int) -> list[tuple[int, ...]]:
+    """The masks for windows of n words. Shorter ones than WINDOW: places are dealt into two groups more than words may
+    differ, and each choice of as many groups is ignored by a mask."""
+    if n >= WINDOW:
+        return MASKS
+    if n < LENIENT:
+        return [tuple(range(n))]
+    differ = n - -(-NEED * n // 100)
+    groups = min(n, differ + 2)
+    return [tuple(p for p in range(n) if p % groups not in out) for out in combinations(range(groups), differ)]
 
 
 def word_hashes(text: Column) -> Column:
@@ -31,56 +54,57 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(masks: list[tuple[int, ...]]) -> Column:
-    """At place ``at`` of ``h`` a (mask, seed) for each mask that fits."""
+def _seeds(masks: list[tuple[int, tuple[int, ...]]], own_length: bool) -> Column:
+    """At place ``at`` of ``h`` a seed for each mask that fits; masks: (window, places). With own_length a text takes
+    only the masks of its own length, and those of short windows at its start."""
     each = []
-    for m, places in enumerate(masks):
-        fits = F.col("at") + (max(places) + 1) <= F.size("h")
-        seed = F.xxhash64(F.lit(m), *[F.get(F.col("h"), F.col("at") + p) for p in places])
-        each.append(F.when(fits, seed))
+    for m, (n, places) in enumerate(masks):
+        room = places[-1] + 1 if n >= WINDOW else n
+        fits = F.col("at") + room <= F.size("h")
+        if own_length:
+            fits = fits & (F.size("h") >= WINDOW if n >= WINDOW else F.size("h") == n)
+        each.append(F.when(fits, F.xxhash64(F.lit(m), *[F.get(F.col("h"), F.col("at") + p) for p in places])))
     return F.array(*each)
 
 
-def _seeded(rows: DataFrame, keep: list[str], masks: list[tuple[int, ...]]) -> DataFrame:
-    least = min(max(m) + 1 for m in masks)
-    starts = F.sequence(F.lit(0), F.greatest(F.size("h") - least, F.lit(0)))
-    placed = rows.where(F.size("h") >= least).select(*keep, "h", F.explode(starts).alias("at"))
-    return placed.select(*keep, "h", "at", F.explode(_seeds(masks)).alias("seed"))
+def _seeded(rows: DataFrame, keep: list[str], masks: list[tuple[int, tuple[int, ...]]], own_length: bool) -> DataFrame:
+    least = min(places[-1] + 1 if n >= WINDOW else n for n, places in masks)
+    starts = F.when(F.size("h") >= least, F.sequence(F.lit(0), F.size("h") - least))  # no filter, which would hash the words again
+    placed = rows.select(*keep, "h", F.explode(starts).alias("at"))
+    return placed.select(*keep, "h", "at", F.explode(_seeds(masks, own_length)).alias("seed"))
+
+
+def pieces_of(benchmark: DataFrame, item_column: str = "item_id", item_text: str = "text") -> DataFrame:
+    """piece, item_id, h of the items: long ones in pieces that overlap by a window less a word."""
+    items = benchmark.select(F.col(item_column).alias("item_id"), word_hashes(text_or_empty(item_text)).alias("h")).where(F.size("h") >= SHORTEST).distinct()
+    cut = items.withColumn("from", F.explode(F.sequence(F.lit(0), F.greatest(F.size("h") - WINDOW, F.lit(0)), F.lit(PIECE))))
+    return cut.select(F.xxhash64("item_id", "h", "from").alias("piece"), "item_id", F.slice("h", F.col("from") + 1, F.lit(PIECE + WINDOW - 1)).alias("h"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row for each text and item that overlap: the columns in keep, item_id, words matched in the best window, its length."""
-    items = benchmark.select(F.col(item_column).alias("item_id"), word_hashes(text_or_empty(item_text)).alias("h")).where(F.size("h") >= SHORTEST)
-    lengths = items.groupBy(F.size("h").alias("n")).count().collect()
-    short = sorted(r["n"] for r in lengths if r["n"] < SPAN)
-    masks = MASKS + [tuple(range(n)) for n in short]
-    seeds = sum(r["count"] * max(1, r["n"]) * len(masks) for r in lengths)
-    blocks = max(1, -(-seeds // BLOCK_SEEDS))
+    pieces = pieces_of(benchmark, item_column, item_text)
+    size = F.size("h")
+    found = pieces.agg(F.sum(size).alias("words"), F.collect_set(F.when(size < WINDOW, size)).alias("short")).first()
+    masks = [(n, places) for n in (WINDOW, *sorted(found["short"])) for places in masks_of(n)]
+    blocks = max(1, -(-(found["words"] or 0) * len(MASKS) // BLOCK_SEEDS))
     rows = docs.select(*keep, word_hashes(text_or_empty(text_column)).alias("h"))
+    seeded = _seeded(rows, keep, masks, False)
     out = None
     for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "h"), F.lit(blocks)) == block)
-        listed = _seeded(own, ["item_id"], masks).where("seed IS NOT NULL").select("seed", "item_id", F.col("h").alias("item_h"), F.col("at").alias("item_at"))
-        listed = listed.groupBy("seed", "item_id", "item_at").agg(F.first("item_h").alias("item_h"))
-        found = _seeded(rows, keep, masks).join(F.broadcast(listed), "seed")
-        out = found if out is None else out.union(found)
+        own = pieces.where(F.pmod(F.col("piece"), F.lit(blocks)) == block)
+        listed = _seeded(own, ["piece"], masks, True).where("seed IS NOT NULL").select("seed", "piece", F.col("at").alias("item_at"))
+        words = own.select("piece", "item_id", F.col("h").alias("item_h"))
+        met = seeded.join(F.broadcast(listed), "seed").join(F.broadcast(words), "piece")
+        out = met if out is None else out.union(met)
+    # Which of the words around a hit agree (null: none there), as generated code that passes no text's words on.
     n = F.size("item_h")
-    window = F.least(n, F.lit(WINDOW))
-    shift = F.col("at") - F.col("item_at")
-    low = F.greatest(F.lit(0), F.col("item_at") + F.least(n, F.lit(SPAN)) - window, -shift)
-    high = F.least(n, F.col("item_at") + window, F.size("h") - shift)
-    near = out.withColumn("window", window).withColumn("_low", low).withColumn("_n", high - F.col("_low")).where("_n >= window")
-    near = near.select(
-        *keep, "item_id", "window",
-        F.slice("h", F.col("_low") + F.col("at") - F.col("item_at") + 1, F.col("_n")).alias("_doc"),
-        F.slice("item_h", F.col("_low") + 1, F.col("_n")).alias("_item"),
-    )
-    agree = F.zip_with("_doc", "_item", lambda a, b: (a == b).cast("int"))
-    near = near.withColumn("_agree", agree)
-    starts = F.sequence(F.lit(1), F.size("_agree") - F.col("window") + 1)
+    agree = [(F.get("h", F.col("at") + k) == F.get("item_h", F.col("item_at") + k)).cast("int") for k in range(-SLACK, WINDOW)]
+    near = out.select(*keep, "item_id", F.least(n, F.lit(WINDOW)).alias("window"), F.array(*agree).alias("_agree"))
+    starts = F.sequence(F.lit(1), F.size("_agree") - F.lit(WINDOW - 1))
     best = F.array_max(F.transform(starts, lambda s: F.aggregate(F.slice("_agree", s, F.col("window")), F.lit(0), lambda a, x: a + x)))
-    # Judged after the aggregate: as a join condition the lambdas would bar code generation, and each place's row would carry its text's words.
     pairs = near.withColumn("matched", best).groupBy(*keep, "item_id").agg(F.max("matched").alias("matched"), F.max("window").alias("window"))
+    # Judged after the aggregate: as a join condition the lambdas would bar code generation.
     return pairs.where(100 * F.col("matched") >= NEED * F.col("window"))
 
 

@@ -91,24 +91,20 @@ SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0)
   sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id)
 """
 
-_MASK_ROWS = ", ".join(f"({m}, [{', '.join(map(str, places))}])" for m, places in enumerate(decontaminate.MASKS))
-
-#: Over the tables' items, none of which is shorter than a mask.
+#: Without seeds: two differing words leave four equal ones in a row in any window, so runs of four find every overlap.
+#: Over the tables' items, none of which is shorter than a window.
 OP5_SQL = f"""
-WITH masks(mask, places) AS (VALUES {_MASK_ROWS}),
-d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM documents),
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS v FROM benchmark),
-p AS (SELECT doc_id, w, unnest(range(len(w) - {decontaminate.SPAN - 1})) AS i FROM d WHERE len(w) >= {decontaminate.SPAN}),
-q AS (SELECT item_id, v, unnest(range(len(v) - {decontaminate.SPAN - 1})) AS j FROM b WHERE len(v) >= {decontaminate.SPAN}),
-s AS (SELECT doc_id, w, i, mask, list_transform(places, lambda x: w[i + x + 1]) AS seed FROM p, masks),
-t AS (SELECT item_id, v, j, mask, list_transform(places, lambda x: v[j + x + 1]) AS seed FROM q, masks),
-h AS (SELECT DISTINCT doc_id, item_id, w, v, i, j, least(len(v), {decontaminate.WINDOW}) AS win FROM s JOIN t USING (mask, seed)),
-c AS (SELECT *, greatest(0, j + {decontaminate.SPAN} - win, j - i) AS lo, least(len(v), j + win, len(w) - i + j) AS hi FROM h),
-e AS (SELECT doc_id, item_id, win, list_transform(range(lo, hi), lambda x: CASE WHEN w[x + i - j + 1] = v[x + 1] THEN 1 ELSE 0 END) AS eq
-      FROM c WHERE hi - lo >= win),
-m AS (SELECT doc_id, item_id, win, list_max(list_transform(range(len(eq) - win + 1), lambda x: list_sum(eq[x + 1:x + win]))) AS matched FROM e)
-SELECT doc_id, item_id, CAST(max(matched) AS BIGINT) AS matched_words, CAST(max(win) AS BIGINT) AS window_words
-FROM m WHERE 100 * matched >= {decontaminate.NEED} * win GROUP BY doc_id, item_id
+p AS (SELECT doc_id, i, w[i + 1:i + 4] AS four FROM (SELECT doc_id, w, unnest(range(len(w) - 3)) AS i FROM d WHERE len(w) > 3)),
+q AS (SELECT item_id, j, v[j + 1:j + 4] AS four FROM (SELECT item_id, v, unnest(range(len(v) - 3)) AS j FROM b WHERE len(v) > 3)),
+h AS (SELECT DISTINCT doc_id, item_id, i - j AS shift FROM p JOIN q USING (four)),
+c AS (SELECT doc_id, item_id, w, v, shift, greatest(0, -shift) AS lo, least(len(v), len(w) - shift) AS hi FROM h JOIN d USING (doc_id) JOIN b USING (item_id)),
+e AS (SELECT doc_id, item_id, list_transform(range(lo, hi), lambda x: CASE WHEN w[x + shift + 1] = v[x + 1] THEN 1 ELSE 0 END) AS eq
+      FROM c WHERE hi - lo >= {decontaminate.WINDOW}),
+m AS (SELECT doc_id, item_id, list_max(list_transform(range(len(eq) - {decontaminate.WINDOW - 1}), lambda x: list_sum(eq[x + 1:x + {decontaminate.WINDOW}]))) AS matched FROM e)
+SELECT doc_id, item_id, CAST(max(matched) AS BIGINT) AS matched_words, CAST({decontaminate.WINDOW} AS BIGINT) AS window_words
+FROM m WHERE 100 * matched >= {decontaminate.NEED} * {decontaminate.WINDOW} GROUP BY doc_id, item_id
 """
 
 OP6_SQL = """
