@@ -5,7 +5,14 @@ into the longest strings that occur in the sample; phrases times log2(sample len
 estimate of its entropy relative to that language (Ziv and Merhav). The lowest estimate wins. Automata are transition
 tables, dense for the most frequent letters and sorted lists for all others, and a worker moves through them with many
 blocks of text at once, one character a step, in NumPy.
-Whole texts are parsed, in blocks of BLOCK characters.
+
+Whole texts are parsed, and phrases run across blocks: each block is parsed from its start as if a phrase began there,
+and the block before is parsed TAIL characters into it. From the first place where both begin a phrase they agree, so the
+count is that of one parse from the text's start to its end. Where they don't meet, the parse is carried on alone.
+
+The sample is bounded, whatever the input: of each language at most ``rows`` documents, ``chars`` characters and, so that
+many documents are heard, ``chars_each`` of one, at a place that its id's hash picks. With many languages each
+gets an equal part of ``chars_in_all``; no language is left out.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0; ties go to the first language in
 code-point order; with one language only its score is 1; with nothing labelled every row is ``und``; repeated rows get
@@ -22,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters that one lane parses, lanes moved at once, letters in the dense tables.
-BLOCK, LANES, ALPHABET = 512, 8192, 60
+#: Characters of a block, how far the block before is parsed into it, blocks and languages moved at once, letters in the dense tables.
+BLOCK, TAIL, LANES, LANGUAGES, ALPHABET = 512, 96, 8192, 8, 60
 
 
 def transitions(codes: list[int]) -> list[dict[int, int]]:
@@ -120,45 +127,113 @@ class Model:
     def encode(self, text: str) -> np.ndarray:
         return self.code[np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)]
 
-    def phrases(self, lanes: np.ndarray) -> np.ndarray:
-        """Phrases of each lane by language; lanes: a column for each, padded below."""
-        n = lanes.shape[1]
-        state = np.repeat(self.roots[:, None], n, axis=1)
-        count = np.ones((len(self.langs), n), dtype=np.int32)
-        for codes in lanes:
+    def moved(self, lanes: np.ndarray, langs: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Where a phrase ends before a character (step, language, lane), and the last states; lanes: a column for each, padded below."""
+        roots, restart = self.roots[langs], self.restart[langs]
+        state = np.repeat(roots[:, None], lanes.shape[1], axis=1)
+        ends = np.zeros((len(lanes), len(roots), lanes.shape[1]), dtype=bool)
+        for k, codes in enumerate(lanes):
             other = np.flatnonzero(codes > self.pad)
-            to = self.table[state * np.int32(self.width) + np.minimum(codes, self.pad)]
+            to = self.table[state * np.int64(self.width) + np.minimum(codes, self.pad)]
             if len(other):
                 to[:, other] = self._listed(state[:, other], codes[other])
             missed = to < 0
-            count += missed
-            state = np.where(missed, self.restart[:, codes], to)
-        return count
+            ends[k] = missed
+            state = np.where(missed, restart[:, codes], to)
+        return ends, state
+
+    def _step(self, lang: int, state: int, code: int) -> tuple[bool, int]:
+        """One character alone: whether a phrase ends before it, and the next state."""
+        if code <= self.pad:
+            to = int(self.table[state * self.width + code])
+        else:
+            to = int(self._listed(np.array([state]), np.array([code]))[0])
+        return (True, int(self.restart[lang, code])) if to < 0 else (False, to)
+
+    def _carried(self, lang: int, texts_lanes: list[np.ndarray], ends: np.ndarray, state: np.ndarray, meets: np.ndarray) -> int:
+        """Phrases of one text, block by block; its lanes' ends and states are given, and where each lane meets the one before (-1: not)."""
+        total, now = 1 + int(ends[:BLOCK, 0].sum()), None  # now: the parse's state at the start of the next block, None if it is its lane's
+        for k in range(1, len(texts_lanes)):
+            codes = texts_lanes[k]
+            at = 0
+            if now is None:
+                if meets[k] >= 0:
+                    total += int(ends[BLOCK : BLOCK + meets[k], k - 1].sum()) + int(ends[meets[k] : BLOCK, k].sum()) + (meets[k] == 0 and not ends[0, k])
+                    continue
+                at = min(TAIL, len(codes))
+                total += int(ends[BLOCK : BLOCK + at, k - 1].sum())
+                now = int(state[k - 1])
+            stop = min(BLOCK, len(codes))
+            while at < stop:
+                missed, now = self._step(lang, now, int(codes[at]))
+                total += missed
+                at += 1
+                if missed and (at == 1 or ends[at - 1, k]):
+                    total += int(ends[at:BLOCK, k].sum())
+                    now = None
+                    break
+        return total
 
     def parse(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Phrases by language and text, length in characters, whether there is a letter."""
         total = np.zeros((len(self.langs), len(texts)), dtype=np.int64)
         length, lettered = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=bool)
-        pieces: list[tuple[int, np.ndarray]] = []
+        held: list[tuple[int, list[np.ndarray]]] = []  # texts and their lanes: blocks with TAIL characters of the next one
 
         def flush():
-            if pieces:
-                pieces.sort(key=lambda x: -len(x[1]))
-                lanes = np.full((len(pieces[0][1]), len(pieces)), self.pad, dtype=self.code.dtype)
-                for k, (_, p) in enumerate(pieces):
-                    lanes[: len(p), k] = p
-                found = self.phrases(lanes)
-                np.add.at(total.T, [d for d, _ in pieces], found.T)
-                pieces.clear()
-
+            pieces = [p for _, own in held for p in own]
+            if not pieces:
+                return
+            order = np.argsort([-len(p) for p in pieces], kind="stable")
+            lanes = np.full((len(pieces[order[0]]), len(pieces)), self.pad, dtype=self.code.dtype)
+            place = np.empty(len(pieces), dtype=np.int64)
+            for k, i in enumerate(order.tolist()):
+                lanes[: len(pieces[i]), k], place[i] = pieces[i], k
+            first = np.cumsum([0] + [len(own) for _, own in held])
+            follows = np.ones(len(pieces), dtype=bool)
+            follows[first[:-1]] = False
+            for low in range(0, len(self.langs), LANGUAGES):
+                langs = slice(low, min(low + LANGUAGES, len(self.langs)))
+                ends, state = self.moved(lanes, langs)
+                ends, state = ends[:, :, place], state[:, place]  # in order of text
+                inside = ends[:BLOCK].sum(axis=0, dtype=np.int64)
+                meets = np.full((langs.stop - low, len(pieces)), -1, dtype=np.int64)
+                counts = inside + ~follows  # of a text's first lane all, and one phrase more
+                later = np.flatnonzero(follows)
+                if len(later):
+                    tail = np.zeros((TAIL, langs.stop - low, len(later)), dtype=bool)
+                    reach = ends[BLOCK : BLOCK + TAIL, :, later - 1]
+                    tail[: len(reach)] = reach
+                    begins = np.zeros_like(tail)
+                    own = ends[: min(TAIL, BLOCK), :, later]
+                    begins[: len(own)] = own
+                    begins[0] = True
+                    both = tail & begins
+                    meets[:, later] = np.where(both.any(axis=0), both.argmax(axis=0), -1)
+                    before = np.cumsum(np.concatenate((np.zeros((1, *tail.shape[1:]), dtype=np.int64), tail)), axis=0)
+                    skipped = np.cumsum(np.concatenate((np.zeros((1, *begins.shape[1:]), dtype=np.int64), begins)), axis=0)
+                    at = np.maximum(meets[:, later], 0)[None]
+                    took, left = np.take_along_axis(before, at, 0)[0], np.take_along_axis(skipped, at, 0)[0]
+                    counts[:, later] = took + inside[:, later] + ~ends[0][:, later] - left
+                lost = meets < 0
+                lost[:, ~follows] = False
+                summed = np.add.reduceat(counts, first[:-1], axis=1)
+                for lang, t in zip(*np.nonzero(np.add.reduceat(lost, first[:-1], axis=1)), strict=True):
+                    a, b = first[t], first[t + 1]
+                    summed[lang, t] = self._carried(low + lang, held[t][1], ends[:, lang, a:b], state[lang, a:b], meets[lang, a:b])
+                total[langs, [d for d, _ in held]] = summed
+            held.clear()
+
+        waiting = 0
         for d, text in enumerate(texts):
             codes = self.encode(text)
             length[d], lettered[d] = len(codes), bool((codes > 0).any())
-            if lettered[d]:
-                for k in range(0, len(codes), BLOCK):
-                    pieces.append((d, codes[k : k + BLOCK]))
-                    if len(pieces) >= LANES:
-                        flush()
+            if lettered[d] and self.langs:
+                held.append((d, [codes[k : k + BLOCK + TAIL] for k in range(0, len(codes), BLOCK)]))
+                waiting += len(held[-1][1])
+                if waiting >= LANES:
+                    flush()
+                    waiting = 0
         flush()
         return total, length, lettered
 
@@ -178,19 +253,25 @@ def held_out(id_column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(labelled: DataFrame, chars: int = 32_000, rows: int = 200, languages: int = 500) -> Model:
-    """Learn from labelled rows (doc_id, text, lang): for each language a sample of at most ``rows`` documents and
-    ``chars`` characters, taken by hash of the id. The bounds hold whatever the input's size."""
+def fit(labelled: DataFrame, chars: int = 32_000, rows: int = 200, chars_each: int = 1_600, chars_in_all: int = 400_000) -> Model:
+    """Learn from labelled rows (doc_id, text, lang); the module's docstring says from what sample."""
     learn = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    counts = learn.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    counts = learn.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    chars = min(chars, max(1, chars_in_all // max(1, len(counts))))
+    each = min(chars_each, chars)
+    rows = min(rows, 10 * -(-chars // each))
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    picked = F.lit(False)
-    for c in counts:
-        picked = picked | ((F.col("lang") == c["lang"]) & (spot < int((1 << 40) * min(1.0, 2 * rows / c["n"]))))
+    limit = learn.sparkSession.createDataFrame([(c["lang"], int((1 << 40) * min(1.0, 2 * rows / c["n"]))) for c in counts], "lang string, limit long") if counts else None
+    start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.char_length("text") - each, F.lit(0)) + 1).cast("int") + 1
+    part = F.substring(F.col("text"), start, F.lit(each)).alias("text")
     texts: dict[str, list[str]] = {}
-    for r in learn.where(picked).select("lang", F.substring("text", 1, chars // 20).alias("text"), spot.alias("spot"), "doc_id").orderBy("spot", "doc_id").limit(2 * rows * max(1, len(counts))).collect() if counts else []:
-        texts.setdefault(r["lang"], []).append(r["text"])
-    return Model({lang: "\n".join(x[:rows])[:chars] for lang, x in texts.items()})
+    if limit is not None:
+        picked = learn.join(F.broadcast(limit), "lang").where(spot < F.col("limit"))
+        for r in picked.select("lang", part, spot.alias("spot"), "doc_id").orderBy("spot", "doc_id").toLocalIterator():
+            own = texts.setdefault(r["lang"], [])
+            if len(own) < rows:
+                own.append(r["text"])
+    return Model({lang: "\n".join(x)[:chars] for lang, x in texts.items()})
 
 
 def predicted(docs: DataFrame, model: Model, keep: list[str], text_column: str = "text") -> DataFrame:
