@@ -134,7 +134,7 @@ class Model:
         ends = np.zeros((len(lanes), len(roots), lanes.shape[1]), dtype=bool)
         for k, codes in enumerate(lanes):
             other = np.flatnonzero(codes > self.pad)
-            to = self.table[state * np.int64(self.width) + np.minimum(codes, self.pad)]
+            to = self.table[state * np.int32(self.width) + np.minimum(codes, self.pad)]
             if len(other):
                 to[:, other] = self._listed(state[:, other], codes[other])
             missed = to < 0
@@ -196,7 +196,7 @@ class Model:
                 langs = slice(low, min(low + LANGUAGES, len(self.langs)))
                 ends, state = self.moved(lanes, langs)
                 ends, state = ends[:, :, place], state[:, place]  # in order of text
-                inside = ends[:BLOCK].sum(axis=0, dtype=np.int64)
+                inside = ends[:BLOCK].sum(axis=0, dtype=np.int32).astype(np.int64)
                 meets = np.full((langs.stop - low, len(pieces)), -1, dtype=np.int64)
                 counts = inside + ~follows  # of a text's first lane all, and one phrase more
                 later = np.flatnonzero(follows)
@@ -210,8 +210,8 @@ class Model:
                     begins[0] = True
                     both = tail & begins
                     meets[:, later] = np.where(both.any(axis=0), both.argmax(axis=0), -1)
-                    before = np.cumsum(np.concatenate((np.zeros((1, *tail.shape[1:]), dtype=np.int64), tail)), axis=0)
-                    skipped = np.cumsum(np.concatenate((np.zeros((1, *begins.shape[1:]), dtype=np.int64), begins)), axis=0)
+                    before = np.cumsum(np.concatenate((np.zeros((1, *tail.shape[1:]), dtype=bool), tail)), axis=0, dtype=np.int16)
+                    skipped = np.cumsum(np.concatenate((np.zeros((1, *begins.shape[1:]), dtype=bool), begins)), axis=0, dtype=np.int16)
                     at = np.maximum(meets[:, later], 0)[None]
                     took, left = np.take_along_axis(before, at, 0)[0], np.take_along_axis(skipped, at, 0)[0]
                     counts[:, later] = took + inside[:, later] + ~ends[0][:, later] - left
