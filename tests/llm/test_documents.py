@@ -11,7 +11,7 @@ import zlib
 
 import pytest
 
-from vicinal.llm import bpe, decontaminate, jaccard, langid, quality, sharding, suffixes
+from vicinal.llm import bpe, dealing, decontaminate, jaccard, langid, quality, sharding, suffixes
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sig long, n long, root string"
@@ -108,15 +108,16 @@ def test_one_row_of_each(spark):
     assert got == sorted([(1, text[0]), (2, text[1]), (3, text[2]), (None, text[3]), (4, ""), (4, ""), (None, "")], key=str)
 
 
-def test_suffixes(docs):
+def cut_rows(rows):
+    """op2's rows by definition."""
     first = {}
-    order = sorted(range(len(ROWS)), key=lambda i: (ROWS[i][0] is None, ROWS[i][0] or 0))
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
     for i in order:
-        raw, own = (ROWS[i][1] or "").encode(), math.inf if ROWS[i][0] is None else ROWS[i][0]
+        raw, own = (rows[i][1] or "").encode(), math.inf if rows[i][0] is None else rows[i][0]
         for k in range(len(raw) - 49):
             first.setdefault(raw[k : k + 50], own)
     want = []
-    for r in ROWS:
+    for r in rows:
         raw, own = (r[1] or "").encode(), math.inf if r[0] is None else r[0]
         mask = bytearray(len(raw))
         for k in range(len(raw) - 49):
@@ -124,11 +125,47 @@ def test_suffixes(docs):
                 mask[k : k + 50] = b"\1" * 50
         kept = bytes(c for c, m in zip(raw, mask, strict=True) if not m)
         want.append((r[0], len(raw), sum(mask), len(re.findall(b"\1+", bytes(mask))), hashlib.sha256(kept).hexdigest()))
-    got = [tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in suffixes.digests(docs).collect()]
-    assert sorted(got, key=str) == sorted(want, key=str)
+    return want
+
+
+def digested(docs):
+    return [tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in suffixes.digests(docs).collect()]
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_suffixes(docs, monkeypatch, many):
+    if many:  # three rounds of dealing to 40 buckets, texts in parts, buffers of a few pieces
+        total = sum(len((r[1] or "").encode()) for r in ROWS)
+        for module, name, value in ((suffixes, "BUCKET", total // 40), (suffixes, "CHUNK", 900), (dealing, "FAN", 4), (dealing, "GATHER", 4000), (dealing, "RANGE", 30_000)):
+            monkeypatch.setattr(module, name, value)
+        assert len(dealing.widths(40)) == 3
+    want = cut_rows(ROWS)
+    assert sorted(digested(docs), key=str) == sorted(want, key=str)
     assert any(0 < w[2] < w[1] for w in want)
 
 
+def test_suffixes_of_texts_that_repeat_themselves(spark, monkeypatch):
+    """Repeats at equal and unequal distances, below and above a string's length, over the edges of parts."""
+    monkeypatch.setattr(suffixes, "CHUNK", 1000)
+    rng = random.Random(12)
+    line, other = "".join(rng.choice("abcdefgh ") for _ in range(70)), "".join(rng.choice("abcdefgh ") for _ in range(130))
+    texts = ["x" * 3000, "x" * 3001, "ab" * 1500, "ba" * 700, line * 40, (line + other) * 9, line * 3 + other + line * 2 + "z" + line, "y" + other * 2, "x" * 49, "x" * 50, "xx" + line + "x" * 2500, "spam " * 500, "spam " * 501]
+    rng.shuffle(texts)
+    table = [(i, t) for i, t in enumerate(texts)] + [(5, texts[5]), (None, texts[3])]
+    own = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    assert sorted(digested(own), key=str) == sorted(cut_rows(table), key=str)
+
+
+def test_suffixes_of_long_texts(spark):
+    """One byte repeated 20 million times, twice, and two long texts that share a passage."""
+    rng = random.Random(13)
+    long = "".join(rng.choices("abcdefghij klmnop", k=3_000_000))
+    table = [(1, "=" * 20_000_000), (2, "=" * 20_000_000), (3, long), (4, "q" * 10 + long[1_000_000:1_000_300] + "z" * 40)]
+    got = {r[0]: r[1:] for r in digested(spark.createDataFrame(table, "doc_id long, text string"))}
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {1: (20_000_000, 0, 0, digest(table[0][1])), 2: (20_000_000, 20_000_000, 1, digest("")), 3: (3_000_000, 0, 0, digest(long)), 4: (350, 300, 1, digest("q" * 10 + "z" * 40))}
+
+
 def test_suffixes_over_many_chunks(monkeypatch):
     """One task that meets a passage in chunk after chunk, in changing order of ids."""
     import pyarrow as pa
@@ -144,7 +181,7 @@ def test_suffixes_over_many_chunks(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([t.encode() for t in texts], pa.binary())], ["id", "text"])
     for out in suffixes._pieces(1)(iter([batch])):
         sent[out.column(0)[0].as_py()].append(out.column(2)[0].as_py())
-    blobs = [*sent[1], *suffixes._to_documents(*suffixes._sorted_bucket(list(sent[0])), 1)["blob"].to_pylist()]
+    blobs = [*sent[1], *[x for _, x in suffixes._spans_by_range(*suffixes._sorted_bucket(list(sent[0])), 1, 1)]]
     spans = {r["_id"]: list(zip(r["starts"], r["stops"], strict=True)) for r in suffixes._joined_spans(pa.table({"blob": blobs})).to_pylist()}
     first = {}
     for i, t in sorted(zip(ids, texts, strict=True)):

@@ -11,18 +11,23 @@ where a construction over one whole collection would keep them in sequential ext
 
 A piece that several texts of one chunk share is sent once, for the smallest doc_id; the others lose it there and
 then. A task remembers pieces that many texts of a chunk shared, and sends them again only for a smaller doc_id. So a
-passage that a third of all documents share puts a few rows a task into its bucket, not one a document.
+passage that a third of all documents share puts a few rows a task into its bucket, not one a document. A piece that one
+text repeats at equal distances is sent once with its first place, step and number, so that a text of one repeated byte
+sends a few rows. Long texts are cut into parts of CHUNK bytes that overlap by a string less a byte. Pieces are dealt to
+buckets, and spans to documents, in rounds of bounded fan-out (``dealing``), so that work grows with the data, not with
+its square.
 
 Defined cases: a null text is empty; texts under 50 bytes lose nothing; a document loses nothing to itself or to rows
 with an equal doc_id; a null doc_id counts as larger than any other; repeated rows get equal results; an empty table
 gives no rows; other columns are ignored. Documents are told apart by doc_id and a CRC of their text. One text may
-have up to 256 MB.
+have up to 1 GB; a task holds a few times the longest text and some hundred MB.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import bloom, scan
+from . import bloom, dealing, scan
 from .common import text_or_empty, written
 from .scan import U
 
@@ -84,21 +89,113 @@ def _packed(*arrays: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(b"".join(a.tobytes() for a in arrays))
 
 
-def _spans_blob(ids, crcs, starts, sizes) -> bytes:
-    order = np.lexsort((starts, ids))
-    return _packed(np.array([len(ids)], dtype=np.int64), ids[order], crcs[order].astype(np.uint32), starts[order].astype(np.uint32), sizes[order].astype(np.uint8))
+def _merged(ids, crcs, start, stop):
+    """Spans of the same documents as maximal ones: ids, crcs, start, stop, ordered."""
+    order = np.lexsort((start, crcs, ids))
+    ids, crcs, start, stop = ids[order], crcs[order], start[order].astype(np.int64), stop[order].astype(np.int64)
+    if not len(ids):
+        return ids, crcs, start, stop
+    doc = np.cumsum(np.concatenate(([0], (ids[1:] != ids[:-1]) | (crcs[1:] != crcs[:-1])))) << 31
+    reach = np.maximum.accumulate(stop + doc)
+    new = np.flatnonzero(np.concatenate(([True], (start + doc)[1:] > reach[:-1])))
+    return ids[new], crcs[new], start[new], (reach - doc)[np.append(new[1:], len(doc)) - 1]
+
+
+def _spans_by_range(ids, crcs, start, stop, buckets: int, width: int):
+    """(range, blob) of merged spans, by the bucket of their document."""
+    ids, crcs, start, stop = _merged(ids, crcs, start, stop)
+    to = _owner(ids, crcs, buckets) // width
+    for b in np.unique(to):
+        own = to == b
+        yield int(b), _packed(np.array([own.sum()], dtype=np.int64), ids[own], crcs[own].astype(np.uint32), start[own].astype(np.uint32), stop[own].astype(np.uint32))
+
+
+def _unpacked_spans(blobs: list[bytes]):
+    cols = [[], [], [], []]
+    for blob in blobs:
+        raw = zstandard.ZstdDecompressor().decompress(blob)
+        n, at = int(np.frombuffer(raw, dtype=np.int64, count=1)[0]), 8
+        for out, kind in zip(cols, (np.int64, np.uint32, np.uint32, np.uint32), strict=True):
+            out.append(np.frombuffer(raw, dtype=kind, count=n, offset=at))
+            at += n * np.dtype(kind).itemsize
+    return tuple(np.concatenate(x) for x in cols)
+
+
+#: Columns of pieces beside their bytes: id and crc of the text, start in it, bytes before the anchor, further strings, step and number of repeats.
+KINDS = (np.int64, np.uint32, np.uint32, np.uint8, np.uint8, np.uint32, np.uint32)
+
+
+def _taken(data: np.ndarray, begin: np.ndarray, size: np.ndarray, before: np.ndarray | int = 0, width: int = WIDTH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of ``width`` bytes that hold pieces of data from column ``before`` on, and which columns are theirs; some rows at a time."""
+    padded = np.concatenate((np.zeros(width, dtype=np.uint8), data, np.zeros(width, dtype=np.uint8)))
+    view = np.lib.stride_tricks.sliding_window_view(padded, width)
+    before = np.broadcast_to(np.asarray(before, dtype=np.int64), begin.shape)
+    column = np.arange(width)
+    for k in range(0, len(begin), 1 << 16):
+        low, high = before[k : k + (1 << 16), None], (before + size)[k : k + (1 << 16), None]
+        yield view[(begin - before)[k : k + (1 << 16)] + width], (column >= low) & (column < high)
+
+
+def _pieces_by_range(cols: list[np.ndarray], to: np.ndarray, offsets: np.ndarray, data: np.ndarray):
+    """(range, blob) of pieces; data holds their bytes one after the other, cut at offsets; to: each one's range."""
+    order = np.argsort(to, kind="stable")
+    edges = np.flatnonzero(np.concatenate(([True], to[order][1:] != to[order][:-1]))) if len(to) else []
+    sizes = np.diff(offsets)
+    for a, b in zip(edges, [*edges[1:], len(to)], strict=True):
+        own = order[a:b]
+        pieces = [rows[mine] for rows, mine in _taken(data, offsets[own], sizes[own])]
+        yield int(to[own[0]]), _packed(np.array([len(own)], dtype=np.int64), *[c[own].astype(k) for c, k in zip(cols, KINDS, strict=True)], *pieces)
+
+
+def _unpacked_pieces(blobs: list[bytes]):
+    """Columns, offsets and bytes of packed pieces. The list is emptied on the way."""
+    cols, bytes_of = [[] for _ in KINDS], []
+    for k in range(len(blobs)):
+        raw, blobs[k] = zstandard.ZstdDecompressor().decompress(blobs[k]), None
+        n, at = int(np.frombuffer(raw, dtype=np.int64, count=1)[0]), 8
+        for out, kind in zip(cols, KINDS, strict=True):
+            out.append(np.frombuffer(raw, dtype=kind, count=n, offset=at))
+            at += n * np.dtype(kind).itemsize
+        bytes_of.append(np.frombuffer(raw, dtype=np.uint8, offset=at))
+    cols = [np.concatenate(x) for x in cols]
+    offsets = np.concatenate(([0], np.cumsum(cols[4].astype(np.int64) + LENGTH)))
+    return cols, offsets, np.concatenate(bytes_of)
+
+
+def _recut_pieces(buckets: int):
+    def recut(blobs: list[bytes], width: int):
+        cols, offsets, data = _unpacked_pieces(blobs)
+        anchor = offsets[:-1] + cols[3]
+        hashed = scan.mix(scan.Rolling(data).of(anchor, anchor + ANCHOR) >> U(28))
+        yield from _pieces_by_range(cols, _share(hashed, buckets) // width, offsets, data)
+
+    return recut
+
+
+def _repeats(text: np.ndarray, piece: np.ndarray, first: np.ndarray):
+    """Pieces that a text repeats at equal distances as one: places of those kept, step and number of each."""
+    order = np.lexsort((first, piece, text))
+    t, p, f = text[order], piece[order], first[order]
+    same = np.concatenate(([False], (t[1:] == t[:-1]) & (p[1:] == p[:-1])))
+    step = np.diff(f, prepend=f[:1])
+    goes_on = same & ~(np.concatenate(([False], same[:-1])) & (step != np.concatenate((step[:1], step[:-1]))))
+    starts = np.flatnonzero(~goes_on)
+    number = np.diff(np.append(starts, len(order)))
+    after = np.minimum(starts + 1, max(len(step) - 1, 0))
+    return order[starts], np.where(number > 1, step[after], 0), number
 
 
 def _pieces(buckets: int):
-    """From texts: pieces by bucket of their anchor (kind 0), and what is removed within the chunk (kind 1, by document)."""
+    """From texts: pieces by range of their anchor's bucket (kind 0), and what is removed within the chunk (kind 1, by document)."""
+    width, gather = dealing.widths(buckets)[0], dealing.GATHER
 
-    def cut(ids, data, offsets, known):
+    def cut(ids, crcs, data, offsets, base, known):
+        """Spans that are removed (or None), and the columns, ranges and bytes of pieces to send (or None)."""
         if len(data) < LENGTH:
-            return
+            return None, None
         first, last, anchor, hashed, text, piece = _anchored(data, offsets)
         if not len(first):
-            return
-        crcs = np.array([zlib.crc32(data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], dtype=np.uint32)
+            return None, None
         order = np.lexsort((ids[text], piece))
         start = np.flatnonzero(np.concatenate(([True], piece[order][1:] != piece[order][:-1])))
         texts, own = np.diff(np.append(start, len(order))), ids[text][order][start]
@@ -115,39 +212,56 @@ def _pieces(buckets: int):
             known[:] = [names[by][first_of][:REMEMBERED], values[by][first_of][:REMEMBERED]]
         copy = np.empty(len(order), dtype=bool)
         copy[order] = ids[text][order] > least
+        begins = first - offsets[text] + base
         gone = np.flatnonzero(copy)
-        if len(gone):
-            to = _owner(ids[text[gone]], crcs[text[gone]], buckets)
-            for b in np.unique(to):
-                g = gone[to == b]
-                yield 1, int(b), _spans_blob(ids[text[g]], crcs[text[g]], (first - offsets[text])[g], (last - first)[g] + LENGTH)
-        kept = np.flatnonzero(~copy)
-        to = _share(hashed[kept], buckets)
-        order = np.argsort(to, kind="stable")
-        kept, to = kept[order], to[order]
-        edges = np.searchsorted(to, np.arange(buckets + 1))
-        padded = np.concatenate((data, np.zeros(WIDTH, dtype=np.uint8)))
-        view = np.lib.stride_tricks.sliding_window_view(padded, WIDTH)
-        columns = np.arange(WIDTH)
-        for b in range(buckets):
-            own = kept[edges[b] : edges[b + 1]]
-            if len(own):
-                docs, n = np.unique(text[own], return_counts=True)
-                spread = (last - first)[own]
-                rows = view[first[own]]
-                yield 0, b, _packed(
-                    np.array([len(docs), len(own)], dtype=np.int64), ids[docs], crcs[docs], n.astype(np.int32),
-                    (first - offsets[text])[own].astype(np.uint32), (anchor - first)[own].astype(np.uint8), spread.astype(np.uint8),
-                    rows[columns < (spread + LENGTH)[:, None]],
-                )
+        removed = (ids[text[gone]], crcs[text[gone]], begins[gone], (begins + last - first)[gone] + LENGTH) if len(gone) else None
+        alone = np.empty(len(order), dtype=bool)
+        alone[order] = np.repeat(texts == 1, texts)
+        single, often = np.flatnonzero(~copy & alone), np.flatnonzero(~copy & ~alone)
+        kept, step, number = _repeats(text[often], piece[often], first[often])
+        kept = np.concatenate((single, often[kept]))
+        step, number = np.concatenate((np.zeros(len(single), dtype=np.int64), step)), np.concatenate((np.ones(len(single), dtype=np.int64), number))
+        if not len(kept):
+            return removed, None
+        spread = (last - first)[kept]
+        pieces = np.concatenate([rows[mine] for rows, mine in _taken(data, first[kept], spread + LENGTH)])
+        cols = [ids[text[kept]], crcs[text[kept]], begins[kept], (anchor - first)[kept], spread, step, number]
+        cols = [c.astype(k) for c, k in zip(cols, KINDS, strict=True)]
+        return removed, (cols, _share(hashed[kept], buckets) // width, pieces)
+
+    def sent(held):
+        cols = [np.concatenate(x) for x in zip(*(h[0] for h in held), strict=True)]
+        offsets = np.concatenate(([0], np.cumsum(cols[4].astype(np.int64) + LENGTH)))
+        for key, blob in _pieces_by_range(cols, np.concatenate([h[1] for h in held]), offsets, np.concatenate([h[2] for h in held])):
+            yield 0, key, blob
 
     def run(batches):
         known = [np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)]
+        held, size = [], 0
         for batch in batches:
             every = batch.column(0).fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
+            gone = []
             for first, data, offsets in scan.chunks(batch.column(1), CHUNK):
-                for kind, key, blob in cut(every[first : first + len(offsets) - 1], data, offsets, known):
-                    yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([key], pa.int32()), pa.array([blob], pa.binary())], ["kind", "key", "blob"])
+                ids = every[first : first + len(offsets) - 1]
+                crcs = np.array([zlib.crc32(data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], dtype=np.uint32)
+                parts = [(data, offsets, 0)]
+                if len(ids) == 1 and len(data) > CHUNK:
+                    parts = [(p, np.array([0, len(p)]), a) for a in range(0, len(data) - LENGTH + 1, CHUNK) for p in [data[a : a + CHUNK + LENGTH - 1]]]
+                for part, cuts, base in parts:
+                    removed, pieces = cut(ids, crcs, part, cuts, base, known)
+                    if removed:
+                        gone.append(_merged(*removed))
+                    if pieces:
+                        held.append(pieces)
+                        size += len(pieces[2])
+                        if size >= gather:
+                            yield from dealing.rows(sent(held))
+                            held, size = [], 0
+            if gone:
+                spans = (np.concatenate(x) for x in zip(*gone, strict=True))
+                yield from dealing.rows((1, b, x) for b, x in _spans_by_range(*spans, buckets, width))
+        if held:
+            yield from dealing.rows(sent(held))
 
     return run
 
@@ -201,45 +315,37 @@ def first_holders(rows: np.ndarray, low: np.ndarray, high: np.ndarray, ids: np.n
 
 
 def _removed(buckets: int):
-    """For a bucket of anchors: spans to remove, by document. Kind 1 is passed on."""
+    """For a bucket of anchors: spans to remove, by range of their document's bucket. Kind 1 is passed on."""
+    width = dealing.widths(buckets)[0]
 
     def run(table: pa.Table) -> pa.Table:
-        blobs = table.column("blob").to_pylist()
         if table.column("kind")[0].as_py() == 1:
-            return pa.table({"key": table.column("key"), "blob": table.column("blob")})
-        return pa.table(_to_documents(*_sorted_bucket(blobs), buckets))
+            return table.select(["kind", "key", "blob"])
+        out = list(_spans_by_range(*_sorted_bucket(table.column("blob").to_pylist()), buckets, width))
+        return pa.table({"kind": pa.array([1] * len(out), pa.int32()), "key": pa.array([b for b, _ in out], pa.int64()), "blob": pa.array([x for _, x in out], pa.binary())})
 
     return run
 
 
 def _sorted_bucket(blobs: list[bytes]):
-    """ids, crcs, start and length of every span to remove that a bucket's pieces show."""
-    column, parts, rows, done = np.arange(WIDTH + 4, dtype=np.int16), [], None, 0
-    sizes = [int(np.frombuffer(zstandard.ZstdDecompressor().decompressobj().decompress(b)[:16], dtype=np.int64)[1]) for b in blobs]
-    rows = np.zeros((sum(sizes), WIDTH + 4), dtype=np.uint8)  # to whole words of 8 bytes
-    for k, n in enumerate(sizes):
-        raw, blobs[k] = zstandard.ZstdDecompressor().decompress(blobs[k]), None
-        docs, at, cols = int(np.frombuffer(raw, dtype=np.int64, count=1)[0]), 16, []
-        for kind, count in ((np.int64, docs), (np.uint32, docs), (np.int32, docs), (np.uint32, n), (np.uint8, n), (np.uint8, n)):
-            cols.append(np.frombuffer(raw, dtype=kind, count=count, offset=at))
-            at += count * np.dtype(kind).itemsize
-        ids, crcs, counts, start, left, spread = cols
-        low, spread = PLACES - 1 - left.astype(np.int16), spread.astype(np.int16)
-        rows[done : done + n][(column >= low[:, None]) & (column < (low + spread + LENGTH)[:, None])] = np.frombuffer(raw, dtype=np.uint8, offset=at)
-        parts.append((np.repeat(ids, counts), np.repeat(crcs, counts), start.astype(np.int64), low, spread))
-        done += n
-    ids, crcs, start, low, spread = (np.concatenate(x) for x in zip(*parts, strict=True))
-    del parts
-    a = np.ascontiguousarray(rows[:, PLACES - 1 : PLACES - 1 + ANCHOR]).view(np.uint64)
-    anchor = scan.mix(scan.mix(a[:, 0]) * U(3) + a[:, 1])
-    order = np.argsort(anchor, kind="stable")
-    cut = np.flatnonzero(np.concatenate(([True], anchor[order][1:] != anchor[order][:-1])))
+    """ids, crcs, start and stop of every span to remove that a bucket's pieces show."""
+    (ids, crcs, start, left, spread, step, number), offsets, data = _unpacked_pieces(blobs)
+    low, spread = PLACES - 1 - left.astype(np.int16), spread.astype(np.int16)
+    start, step, number = start.astype(np.int64), step.astype(np.int64), number.astype(np.int64)
+    anchor = offsets[:-1] + left
+    words = np.lib.stride_tricks.sliding_window_view(data, ANCHOR)[anchor]
+    words = np.ascontiguousarray(words).view(np.uint64)
+    name = scan.mix(scan.mix(words[:, 0]) * U(3) + words[:, 1])
+    order = np.argsort(name, kind="stable")
+    cut = np.flatnonzero(np.concatenate(([True], name[order][1:] != name[order][:-1])))
     held = np.diff(np.append(cut, len(order)))
     several = np.minimum.reduceat(ids[order], cut) != np.maximum.reduceat(ids[order], cut)
     keep = np.sort(order[np.repeat(several, held)])  # anchors of one document alone remove nothing
-    ids, crcs, start, low, spread, rows = ids[keep], crcs[keep], start[keep], low[keep], spread[keep], rows[keep]
+    ids, crcs, start, low, spread, step, number = (x[keep] for x in (ids, crcs, start, low, spread, step, number))
     if not len(ids):
-        return ids, crcs, start, spread
+        return ids, crcs, start, start
+    size = np.diff(offsets)[keep]
+    rows = np.concatenate([np.where(mine, x, np.uint8(0)) for x, mine in _taken(data, offsets[keep], size, low, WIDTH + 4)])  # to whole words of 8 bytes
     words = rows.view(np.uint64)
     name = scan.mix(low.astype(np.uint64) * U(64) + spread.astype(np.uint64))
     for k in range(words.shape[1]):
@@ -254,37 +360,30 @@ def _sorted_bucket(blobs: list[bytes]):
     change = np.diff(out, axis=1)
     row, begin = np.nonzero(change == 1)
     _, end = np.nonzero(change == -1)
-    return ids[row], crcs[row], start[row] + begin - low[row], end - begin - 1 + LENGTH
+    begin, size = start[row] + begin - low[row], end - begin - 1 + LENGTH
+    # Repeats whose spans touch are one span, others as many as there are.
+    touch = step[row] <= size
+    times = np.where(touch, 1, number[row])
+    size = np.where(touch, size + (number[row] - 1) * step[row], size)
+    each = np.repeat(np.arange(len(row)), times)
+    begin = begin[each] + (np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)) * step[row][each]
+    return ids[row][each], crcs[row][each], begin, begin + size[each]
+
 
+def _recut_spans(buckets: int):
+    def recut(blobs: list[bytes], width: int):
+        yield from _spans_by_range(*_unpacked_spans(blobs), buckets, width)
 
-def _to_documents(ids, crcs, start, size, buckets: int) -> dict:
-    to = _owner(ids, crcs, buckets) if len(ids) else np.zeros(0, dtype=np.int32)
-    out = [(int(b), _spans_blob(*(x[to == b] for x in (ids, crcs, start, size)))) for b in np.unique(to)]
-    return {"key": pa.array([b for b, _ in out], pa.int32()), "blob": pa.array([x for _, x in out], pa.binary())}
+    return recut
 
 
 def _joined_spans(table: pa.Table) -> pa.Table:
     """A row for each document: its maximal spans."""
-    cols = [[], [], [], []]
-    for blob in table.column("blob").to_pylist():
-        raw = zstandard.ZstdDecompressor().decompress(blob)
-        n, at = int(np.frombuffer(raw, dtype=np.int64, count=1)[0]), 8
-        for out, kind in zip(cols, (np.int64, np.uint32, np.uint32, np.uint8), strict=True):
-            out.append(np.frombuffer(raw, dtype=kind, count=n, offset=at))
-            at += n * np.dtype(kind).itemsize
-    ids, crcs, start, size = (np.concatenate(x) for x in cols)
-    start = start.astype(np.int64)
-    stop = start + size
-    order = np.lexsort((start, crcs, ids))
-    ids, crcs, start, stop = ids[order], crcs[order], start[order], stop[order]
-    doc = np.cumsum(np.concatenate(([0], (ids[1:] != ids[:-1]) | (crcs[1:] != crcs[:-1])))) << 30
-    reach = np.maximum.accumulate(stop + doc)
-    new = np.flatnonzero(np.concatenate(([True], (start + doc)[1:] > reach[:-1])))
-    start, stop, doc = start[new], (reach - doc)[np.append(new[1:], len(doc)) - 1], doc[new]
-    cut = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-    ends = pa.array(np.append(cut, len(doc)), pa.int32())
+    ids, crcs, start, stop = _merged(*_unpacked_spans(table.column("blob").to_pylist()))
+    cut = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (crcs[1:] != crcs[:-1]))))
+    ends = pa.array(np.append(cut, len(ids)), pa.int32())
     lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (start, stop)]
-    return pa.table({"_id": pa.array(ids[new][cut], pa.int64()), "_crc": pa.array(crcs[new][cut].astype(np.int64), pa.int64()), "starts": lists[0], "stops": lists[1]})
+    return pa.table({"_id": pa.array(ids[cut], pa.int64()), "_crc": pa.array(crcs[cut].astype(np.int64), pa.int64()), "starts": lists[0], "stops": lists[1]})
 
 
 def _key(id_column: str, text_column: str) -> list[Column]:
@@ -296,8 +395,9 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     total = docs.agg(F.sum(F.octet_length(text_or_empty(text_column)))).first()[0] or 0
     buckets = max(1, min(1 << 24, -(-total // BUCKET)))
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("binary").alias("text"))
-    pieces = texts.mapInArrow(_pieces(buckets), "kind int, key int, blob binary")
-    spans = pieces.groupBy("kind", "key").applyInArrow(_removed(buckets), "key int, blob binary")
+    pieces = dealing.dealt(texts.mapInArrow(_pieces(buckets), dealing.SCHEMA), buckets, 0, _recut_pieces(buckets), 4 * total)
+    spans = pieces.groupBy("kind", "key").applyInArrow(_removed(buckets), dealing.SCHEMA)
+    spans = dealing.dealt(spans, buckets, 1, _recut_spans(buckets), total)
     return written(spans.groupBy("key").applyInArrow(_joined_spans, "_id long, _crc long, starts array<int>, stops array<int>"), "spans")
 
 
