@@ -136,14 +136,13 @@ def _taken(data: np.ndarray, begin: np.ndarray, size: np.ndarray, before: np.nda
         yield view[(begin - before)[k : k + (1 << 16)] + width], (column >= low) & (column < high)
 
 
-def _pieces_by_range(cols: list[np.ndarray], to: np.ndarray, offsets: np.ndarray, data: np.ndarray):
-    """(range, blob) of pieces; data holds their bytes one after the other, cut at offsets; to: each one's range."""
+def _pieces_by_range(cols: list[np.ndarray], to: np.ndarray, taken) -> Iterator[tuple[int, bytes]]:
+    """(range, blob) of pieces; to: each one's range; taken(places): their bytes, as rows and which columns are theirs."""
     order = np.argsort(to, kind="stable")
     edges = np.flatnonzero(np.concatenate(([True], to[order][1:] != to[order][:-1]))) if len(to) else []
-    sizes = np.diff(offsets)
     for a, b in zip(edges, [*edges[1:], len(to)], strict=True):
         own = order[a:b]
-        pieces = [rows[mine] for rows, mine in _taken(data, offsets[own], sizes[own])]
+        pieces = [rows[mine] for rows, mine in taken(own)]
         yield int(to[own[0]]), _packed(np.array([len(own)], dtype=np.int64), *[c[own].astype(k) for c, k in zip(cols, KINDS, strict=True)], *pieces)
 
 
@@ -167,7 +166,8 @@ def _recut_pieces(buckets: int):
         cols, offsets, data = _unpacked_pieces(blobs)
         anchor = offsets[:-1] + cols[3]
         hashed = scan.mix(scan.Rolling(data).of(anchor, anchor + ANCHOR) >> U(28))
-        yield from _pieces_by_range(cols, _share(hashed, buckets) // width, offsets, data)
+        size = np.diff(offsets)
+        yield from _pieces_by_range(cols, _share(hashed, buckets) // width, lambda own: _taken(data, offsets[own], size[own]))
 
     return recut
 
@@ -224,15 +224,22 @@ def _pieces(buckets: int):
         if not len(kept):
             return removed, None
         spread = (last - first)[kept]
-        pieces = np.concatenate([rows[mine] for rows, mine in _taken(data, first[kept], spread + LENGTH)])
+        rows = np.concatenate([x for x, _ in _taken(data, first[kept], spread + LENGTH)])
         cols = [ids[text[kept]], crcs[text[kept]], begins[kept], (anchor - first)[kept], spread, step, number]
         cols = [c.astype(k) for c, k in zip(cols, KINDS, strict=True)]
-        return removed, (cols, _share(hashed[kept], buckets) // width, pieces)
+        return removed, (cols, _share(hashed[kept], buckets) // width, rows)
 
     def sent(held):
         cols = [np.concatenate(x) for x in zip(*(h[0] for h in held), strict=True)]
-        offsets = np.concatenate(([0], np.cumsum(cols[4].astype(np.int64) + LENGTH)))
-        for key, blob in _pieces_by_range(cols, np.concatenate([h[1] for h in held]), offsets, np.concatenate([h[2] for h in held])):
+        to, rows, column = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]), np.arange(WIDTH)
+        held.clear()
+
+        def taken(own):
+            for k in range(0, len(own), 1 << 16):
+                some = own[k : k + (1 << 16)]
+                yield rows[some], column < cols[4][some, None].astype(np.int16) + LENGTH
+
+        for key, blob in _pieces_by_range(cols, to, taken):
             yield 0, key, blob
 
     def run(batches):
@@ -253,7 +260,7 @@ def _pieces(buckets: int):
                         gone.append(_merged(*removed))
                     if pieces:
                         held.append(pieces)
-                        size += len(pieces[2])
+                        size += pieces[2].size
                         if size >= gather:
                             yield from dealing.rows(sent(held))
                             held, size = [], 0
