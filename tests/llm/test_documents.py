@@ -76,9 +76,12 @@ def components(sets, percent):
     return [find(i) for i in range(len(sets))]
 
 
-@pytest.mark.parametrize(("k", "percent", "often"), [(4, 85, 50), (5, 80, 3), (2, 60, 10)])
-def test_jaccard(docs, monkeypatch, k, percent, often):
+@pytest.mark.parametrize(("k", "percent", "often", "many"), [(4, 85, 50, False), (5, 80, 3, False), (2, 60, 10, False), (4, 85, 50, True), (2, 60, 10, True)])
+def test_jaccard(docs, monkeypatch, k, percent, often, many):
     monkeypatch.setattr(jaccard, "AT_LEAST", often)  # below 50 some n-grams count as frequent here
+    if many:  # some tens of fragments and buckets, dealt in three rounds, buffers of a few texts
+        for module, name, value in ((jaccard, "FRAGMENT", 300), (dealing, "FAN", 4), (dealing, "GATHER", 4000), (dealing, "RANGE", 30_000)):
+            monkeypatch.setattr(module, name, value)
     sets = []
     for r in ROWS:
         w = words(lowered(r[1]))
@@ -93,6 +96,14 @@ def test_jaccard(docs, monkeypatch, k, percent, often):
     assert got == want
 
 
+def test_jaccard_of_long_and_repeating_texts(spark):
+    rng = random.Random(4)
+    long = " ".join(rng.choices(WORDS, k=300_000))
+    table = [(1, long), (2, long + " end"), (3, "spam " * 1_000_000), (4, "spam " * 999_999), (5, "x" * 5_000_000), (6, "x" * 5_000_001), (7, long[: len(long) // 2])]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.joined(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert [got[i][1] for i in range(1, 8)] == [1, 1, 3, 3, 5, 6, 7] and got[3][0] == 1 and got[5][0] == 1
+
+
 def test_one_of_each(docs):
     kept = jaccard.one_of_each(docs, 5, 80)
     assert kept.columns == docs.columns

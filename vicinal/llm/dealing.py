@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,13 @@ def widths(buckets: int) -> list[int]:
     return out
 
 
+def runs(order: np.ndarray, key: np.ndarray) -> Iterator[np.ndarray]:
+    """Of places in the order of their keys, those of each key."""
+    if len(order):
+        cut = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+        yield from np.split(order, cut[1:])
+
+
 def rows(found: Iterable[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
     """(kind, key, blob) as record batches of SCHEMA."""
     for kind, key, blob in found:

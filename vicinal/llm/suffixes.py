@@ -138,10 +138,7 @@ def _taken(data: np.ndarray, begin: np.ndarray, size: np.ndarray, before: np.nda
 
 def _pieces_by_range(cols: list[np.ndarray], to: np.ndarray, taken) -> Iterator[tuple[int, bytes]]:
     """(range, blob) of pieces; to: each one's range; taken(places): their bytes, as rows and which columns are theirs."""
-    order = np.argsort(to, kind="stable")
-    edges = np.flatnonzero(np.concatenate(([True], to[order][1:] != to[order][:-1]))) if len(to) else []
-    for a, b in zip(edges, [*edges[1:], len(to)], strict=True):
-        own = order[a:b]
+    for own in dealing.runs(np.argsort(to, kind="stable"), to):
         pieces = [rows[mine] for rows, mine in taken(own)]
         yield int(to[own[0]]), _packed(np.array([len(own)], dtype=np.int64), *[c[own].astype(k) for c, k in zip(cols, KINDS, strict=True)], *pieces)
 
