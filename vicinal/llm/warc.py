@@ -9,7 +9,9 @@ archive counts only if the manifest, which Spark commits, names it: lost executo
 
 Defined cases: a null payload counts as empty; rows with a null id are archived like others but never the response
 others refer to unless all ids of the payload are null, and then each is a response; rows that repeat an id and
-payload repeat the record type; an empty table makes no archive and no rows; other columns are ignored.
+payload repeat the record type; of records with one page_id in a task the first has a WARC-Record-ID made of the page_id,
+all others and those without page_id one made of their archive and place; an empty table makes no archive and no rows;
+other columns are ignored. Archives that the manifest does not name are removed once it is written.
 """
 
 from __future__ import annotations
@@ -43,13 +45,14 @@ def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(uri: str, page_id, payload: bytes | None, size: int, digest: str, refers_to=None) -> bytes:
-    """A WARC/1.1 record: a response, or a revisit if refers_to is given, which holds the HTTP header alone."""
+def record(uri: str, page_id, payload: bytes | None, size: int, digest: str, refers_to=None, name_of: str | None = None) -> bytes:
+    """A WARC/1.1 record: a response, or a revisit if refers_to is given, which holds the HTTP header alone. Its id is made
+    of page_id, so that revisits can tell that of their response, or of name_of, if given."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http + payload if refers_to is None else http
     name = lambda x: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, str(x))}>"
     lines = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Date: {DATE}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name(page_id if name_of is None else name_of)}", f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {' '.join(uri.split())}", f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
@@ -167,7 +170,7 @@ def write_archives(pages: DataFrame, folder: str, **columns) -> DataFrame:
 
     def run(batches):
         writer = stream = system = uri = None
-        done = []
+        done, seen = [], set()
 
         def close():
             writer.close()
@@ -183,7 +186,9 @@ def write_archives(pages: DataFrame, folder: str, **columns) -> DataFrame:
                     stream = system.open_output_stream(path, compression=None)
                     writer = ArchiveWriter(stream)
                 digest = base64.b32encode(bytes.fromhex(sha1)).decode()
-                writer.add(record(url, page_id, payload, size, digest, refers))
+                again = page_id is None or page_id in seen
+                seen.add(page_id)
+                writer.add(record(url, page_id, payload, size, digest, refers, f"{uri}#{writer.count}" if again else None))
                 if writer.bytes >= ARCHIVE_BYTES:
                     close()
                     writer = None
@@ -194,7 +199,21 @@ def write_archives(pages: DataFrame, folder: str, **columns) -> DataFrame:
         )
 
     rows = with_revisits(pages, **columns)
-    return written(rows.mapInArrow(run, "uri string, records long, bytes long"), "warc-manifest")
+    manifest = written(rows.mapInArrow(run, "uri string, records long, bytes long"), "warc-manifest")
+    remove_strays(manifest, folder)
+    return manifest
+
+
+def remove_strays(manifest: DataFrame, folder: str) -> None:
+    """Delete archives of attempts that failed: those in the folder that the manifest does not name."""
+    spark = manifest.sparkSession
+    named = {r["uri"].rpartition("/")[2] for r in manifest.select("uri").toLocalIterator()}
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(path):
+        for found in system.listStatus(path):
+            if found.getPath().getName() not in named:
+                system.delete(found.getPath(), False)
 
 
 def read_archives(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
