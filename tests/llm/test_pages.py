@@ -37,16 +37,23 @@ def verdict(host, path):
     fits = [(len(h + p), h + p, v) for h, p, v in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     if fits:
         return max(fits)[1:]
-    bare = host.rpartition("@")[2].split(":")[0]
-    listed = [f"{n}.{d}" for n in urls.LISTED_NAMES for d in urls.LISTED_DOMAINS]
-    return None, "block" if any(bare == x or bare.endswith("." + x) for x in listed) else "allow"
+    bare, rooted = host.rpartition("@")[2].split(":")[0], path or "/"
+    at_host = lambda x: bare == x or bare.endswith("." + x)
+    listed = any(at_host(h) and (rooted == p or p.endswith("/") and rooted.startswith(p)) for h, p in LISTED)
+    return None, "block" if bare and listed else "allow"
+
+
+LISTED = [(f"{n}.{d}", "/") for n in urls.LISTED_NAMES for d in urls.LISTED_DOMAINS]
+for _k in range(urls.LISTED_PAGES):
+    _number = int(hashlib.md5(f"{urls.LISTED_SEED}{_k}".encode()).hexdigest()[:8], 16) % urls.LISTED_NUMBERS
+    LISTED.append((urls.LISTED_DOMAINS[_k % 3], f"/{urls.LISTED_LANGUAGES[_k // 3 % 4]}/{_number}" + "/" * (_k // 12 % 2)))
 
 
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_urls(spark, monkeypatch, broadcast):
-    if not broadcast:
-        monkeypatch.setattr(urls, "BROADCAST_ENTRIES", 0)
-    rows = [(i, u, "") for i, u in enumerate(URLS)] + [(4, URLS[4], ""), (None, URLS[13], "")]
+    monkeypatch.setattr(urls, "BROADCAST_ENTRIES", 10**6 if broadcast else 0)
+    more = [f"http://{rng}{h}{p}{tail}" for k in (20, 33, 500, 90_000) for h, p in LISTED[k : k + 2] for rng in ("", "m.", "not") for tail in ("", "/", "0", "/x/y?z")]
+    rows = [(i, u, "") for i, u in enumerate([*URLS, *more])] + [(4, URLS[4], ""), (None, URLS[13], "")]
     got = urls.judged(table(spark, rows), urls.listed_entries(spark)).collect()
     want = [(i, *split(u), *verdict(*split(u))) for i, u, _ in rows]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
@@ -61,6 +68,15 @@ def test_listed_pages(spark):
     assert urls.judged(pages.where("false"), listed).count() == 0
 
 
+def test_long_urls(spark):
+    """Urls of 1 MB: of folders, of one folder, of host labels, of one label, listed or not."""
+    urls_of = ["http://b.c/" + "x/" * 500_000, "http://b.c/" + "x" * 1_000_000, "http://" + "a." * 500_000 + "b.c/x", "http://" + "a" * 1_000_000 + "/", "http://b.c/x/" + "y" * 1_000_000, "http://c/" + "/" * 1_000_000, "http://@" + "@" * 500_000 + ":" * 500_000]
+    pages = table(spark, [(i, u, "") for i, u in enumerate(urls_of)])
+    listed = spark.createDataFrame([("b.c/x/",), ("q.r.s.t.u/1/2/3/4/5/6",)], "url string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judged(pages, listed, rules=[]).select("page_id", "verdict").collect()}
+    assert got == {0: "block", 1: "allow", 2: "allow", 3: "allow", 4: "block", 5: "allow", 6: "allow"}
+
+
 def test_bloom(spark):
     rng = np.random.default_rng(1)
     keys, others = rng.integers(-(2**63), 2**63, 5000), rng.integers(-(2**63), 2**63, 20000)
@@ -92,6 +108,20 @@ def test_warc(spark):
     assert warc.archived(table(spark, rows).where("false"), spark).count() == 0
 
 
+def test_record_ids_are_unique_and_strays_go(spark, tmp_path):
+    rows = [(k % 20, f"http://h/{k}", f"page {k % 7}" * 50) for k in range(60)] + [(None, "u", "same")] * 3
+    folder = f"{tmp_path}/warc"
+    (tmp_path / "warc").mkdir()
+    (tmp_path / "warc" / "stray.warc.zst").write_bytes(b"half")
+    manifest = warc.write_archives(table(spark, rows).coalesce(1), folder)
+    files = [r["uri"] for r in manifest.collect()]
+    assert sorted(p.name for p in (tmp_path / "warc").glob("*.zst")) == sorted(f.rpartition("/")[2] for f in files)
+    records = [warc.parse(raw)[0] for f in files for raw in warc.read_archive(open(f.removeprefix("file:"), "rb"))]
+    ids = [f["WARC-Record-ID"] for f in records]
+    assert len(ids) == len(rows) == len(set(ids))
+    assert all(f["WARC-Refers-To"] in ids for f in records if f["WARC-Type"] == "revisit")
+
+
 def test_small_payloads_are_all_responses(spark):
     rows = [(1, "u", "same"), (2, "u", "same"), (3, "u", "long enough"), (4, "u", "long enough")]
     got = {r["page_id"]: r["refers_to"] for r in warc.with_revisits(table(spark, rows), min_bytes=6).collect()}

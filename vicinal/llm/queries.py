@@ -138,7 +138,9 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32,
 FROM s
 """
 
-_LISTED = ", ".join(f"('{n}.{d}')" for n in urls.LISTED_NAMES for d in urls.LISTED_DOMAINS)
+_LISTED = ", ".join(f"('{n}.{d}', '/')" for n in urls.LISTED_NAMES for d in urls.LISTED_DOMAINS)
+_DOMAINS = ", ".join(f"'{d}'" for d in urls.LISTED_DOMAINS)
+_LANGUAGES = ", ".join(f"'{x}'" for x in urls.LISTED_LANGUAGES)
 
 OP8_SQL = f"""
 WITH a AS (
@@ -152,14 +154,22 @@ c AS (
     WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
     WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
     WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
-    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM c
-), l(name) AS (VALUES {_LISTED})
-SELECT page_id, host, path, rule, CASE
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
+    regexp_replace(host, '^[^@]*@|:[0-9]*$', '', 'g') AS bare, CASE WHEN path = '' THEN '/' ELSE path END AS rooted FROM c
+), l(name, place) AS (
+  SELECT * FROM (VALUES {_LISTED}) UNION
+  SELECT [{_DOMAINS}][i % {len(urls.LISTED_DOMAINS)} + 1],
+    '/' || [{_LANGUAGES}][(i // {len(urls.LISTED_DOMAINS)}) % {len(urls.LISTED_LANGUAGES)} + 1]
+    || '/' || CAST(CAST('0x' || substr(md5('{urls.LISTED_SEED}' || i), 1, 8) AS BIGINT) % {urls.LISTED_NUMBERS} AS VARCHAR) || CASE WHEN (i // 12) % 2 = 0 THEN '' ELSE '/' END
+  FROM range({urls.LISTED_PAGES}) t(i)
+), hit AS (
+  SELECT DISTINCT page_id, host, path FROM r JOIN l ON (bare = name OR ends_with(bare, '.' || name)) AND (rooted = place OR (ends_with(place, '/') AND starts_with(rooted, place)))
+  WHERE bare <> ''
+)
+SELECT r.page_id, r.host, r.path, rule, CASE
   WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-  WHEN EXISTS (SELECT 1 FROM l WHERE regexp_replace(host, '^[^@]*@|:[0-9]*$', '', 'g') = name
-               OR ends_with(regexp_replace(host, '^[^@]*@|:[0-9]*$', '', 'g'), '.' || name)) THEN 'block'
-  ELSE 'allow' END AS verdict
-FROM r
+  WHEN hit.host IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM r LEFT JOIN hit ON r.page_id = hit.page_id AND r.host = hit.host AND r.path = hit.path
 """
 
 OP10_SQL = """
