@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,30 +33,39 @@ def _config(args, r_check) -> RunConfig:
         distribution_analysis=args.distribution_analysis, r_dist=args.r_dist, around_count_threshold=args.around_count_threshold,
         shape_max_distance_count=args.shape_max_distance_count, shape_qvalue_threshold=args.shape_qvalue_threshold,
         unsegmented=args.unsegmented, rect_length=args.rect_length, mode=args.mode, exclude_cells=tuple(args.exclude_cell or ()),
+        bucket_width=args.bucket_width,
     )
 
 
 def run(args, spark: SparkSession) -> list[str]:
-    """The analysis for each radius; returns the paths written. Files for one of several radii have it in their names."""
+    """The analysis for each radius; returns the paths written. Files for one of several radii have it in their names.
+
+    Raw results are written once, with one neighbour search for all radii, beside the target; all else reads them there.
+    """
     config = _config(args, tuple(args.r_check) if args.r_check else None)
     points = transcripts.read_points(spark, args.data_path, args.column_name, args.unsegmented)
-    paths = []
-    parts = config.by_radius()
-    for part in parts:
-        many = len(parts) > 1
-        save = with_radius(args.save_path, part.r_check) if many else args.save_path
-        out = analysis.analysed(points, part)
-        shaped = config.distribution_analysis
-        written = [(out["raw"], save), (out["final"], sinks.final_path(save, part.filter_threshold, shaped))]
-        if shaped:
-            written.append((out["shape"], sinks.shape_path(save)))
-            if args.intermediate_dir:
+    paths, parts = [], config.by_radius()
+    many, shaped = len(parts) > 1, config.distribution_analysis
+    folder = f"{args.save_path}.{uuid.uuid4().hex}.stage"
+    write = sinks.write_single if args.single_file else sinks.write_dataset
+    try:
+        every = sinks.staged(analysis.raw_result(points, config), f"{folder}/raw")
+        for part in parts:
+            save = with_radius(args.save_path, part.r_check) if many else args.save_path
+            raw = every.where(F.col("r_check") == part.r_check).drop("r_check") if many else every
+            out = analysis.results_of(points, raw, part, lambda table, name, part=part: sinks.staged(table, f"{folder}/{name}-{part.r_check}"))
+            written = [(out["raw"], save), (out["final"], sinks.final_path(save, part.filter_threshold, shaped))]
+            if shaped and not out["shape"].isEmpty():
+                written.append((out["shape"], sinks.shape_path(save)))
+            if shaped and args.intermediate_dir:
                 found = distances.distances(analysis.prepared(points, part), part.r_dist)
-                folder = with_radius(args.intermediate_dir, part.r_check) if many else args.intermediate_dir
-                sinks.retain_distances(found, f"{folder}/{part.background}")
-        for df, path in written:
-            sinks.write_single(df, path) if args.single_file else sinks.write_dataset(df, path)
-            paths.append(path)
+                kept = with_radius(args.intermediate_dir, part.r_check) if many else args.intermediate_dir
+                sinks.retain_distances(found, f"{kept}/{part.background}")
+            for df, path in written:
+                write(df, path)
+                paths.append(path)
+    finally:
+        sinks.remove(spark, folder)
     return paths
 
 
@@ -86,7 +96,8 @@ def run_distances(args, spark: SparkSession) -> str:
         points = transcripts.read_points(spark, args.data_path, args.column_name)
         found = distances.distances(points, args.r_dist, wanted)
     rows, report = distances.export(found, pairs, args.min_distance_count, args.max_distance_count, args.random_seed)
-    sinks.write_export(rows, report, args.save_path, args.output_format)
+    sinks.write_export(rows, report, args.save_path, args.output_format, args.summary_path)
+    report.orderBy("ordinal").drop("ordinal").show(1000, truncate=False)
     return args.save_path
 
 
@@ -129,6 +140,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--rect_length", type=float, default=20)
     p.add_argument("--rtree_path", help="accepted; tiles need no index")
     p.add_argument("--exclude_cell", action="append")
+    p.add_argument("--bucket_width", type=float, help="side of the search's buckets; by default from the points' density, which takes a pass")
     p.add_argument("--single_file", action="store_true", help="one CSV file for each result, not a folder of parts")
     p.set_defaults(call=run)
     p = sub.add_parser("events", help="count events of gene pairs in every cell")
@@ -141,7 +153,8 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("--r_dist", type=float)
     q.add_argument("--min_distance_count", type=int, default=1)
     q.add_argument("--max_distance_count", type=int)
-    q.add_argument("--random_seed", type=int, default=0)
+    q.add_argument("--random_seed", type=int, default=42)
+    q.add_argument("--summary_path", help="where the summary goes; by default beside the export")
     q.add_argument("--output_format", choices=["csv", "csv.gz", "parquet"])
     q.set_defaults(call=run_distances)
     for x in (p, q):

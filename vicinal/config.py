@@ -55,6 +55,7 @@ class RunConfig:
     rect_length: float = 20.0
     mode: str = "fast"
     exclude_cells: tuple[str, ...] = ()
+    bucket_width: float | None = None
 
     def __post_init__(self):
         for value, allowed, name in (
@@ -87,6 +88,8 @@ class RunConfig:
             raise ValueError("shape_max_distance_count is below around_count_threshold")
         if not 0 < self.shape_qvalue_threshold <= 1:
             raise ValueError("shape_qvalue_threshold must be above 0 and at most 1")
+        if self.bucket_width is not None and not self.bucket_width > 0:
+            raise ValueError("bucket_width must be positive")
         if self.rect_length <= 0:
             raise ValueError("rect_length must be positive")
 

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.stats import kde_mode
 from .neighbors import matched
 
+#: Distances aimed at in one bucket of a pair.
+BUCKET_ROWS = 20_000
+
 
 def distances(points: DataFrame, reach: float, pairs: DataFrame | None = None) -> DataFrame:
     """gene_A, gene_B (gene_A < gene_B), distance of every two rows of a cell and z layer within reach.
@@ -38,20 +41,48 @@ def directed(undirected: DataFrame) -> DataFrame:
     return undirected.unionByName(turned)
 
 
-def sampled(found: DataFrame, most: int | None) -> DataFrame:
+def placed(found: DataFrame, keys: list[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """found's keys and distance with ``place``, its number from 0 in order of distance within its keys.
+
+    Equal distances are counted first. No window runs over a whole pair: places are counted within buckets of distance and
+    added to the number of rows in the buckets before.
+    """
+    groups = found.groupBy(*keys, "distance").agg(F.count("*").alias("_n"))
+    extent = groups.groupBy(*keys).agg(F.sum("_n").alias("_total"), F.max("distance").alias("_far"))
+    parts = F.ceil(F.col("_total") / bucket_rows)
+    groups = groups.join(extent, keys).withColumn("_bucket", F.when(F.col("_far") > 0, F.floor(F.col("distance") / F.col("_far") * parts)).otherwise(0))
+    before = _before(groups, keys, "_bucket", F.sum("_n"))
+    inner = Window.partitionBy(*keys, "_bucket").orderBy("distance").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("_n").over(inner), F.lit(0)) + F.col("_before")
+    spans = groups.join(before, [*keys, "_bucket"]).withColumn("_start", start)
+    return spans.select(*keys, "distance", F.explode(F.sequence(F.col("_start"), F.col("_start") + F.col("_n") - 1)).alias("place"))
+
+
+def _before(rows: DataFrame, keys: list[str], bucket: str, number) -> DataFrame:
+    """keys, bucket, ``_held`` (number of rows in it) and ``_before`` (in the buckets before it): a window over buckets alone."""
+    order = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*keys, bucket).agg(number.alias("_held"))
+    return counts.withColumn("_before", F.coalesce(F.sum("_held").over(order), F.lit(0)))
+
+
+def sampled(found: DataFrame, most: int | None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """found with ``count`` of its pair; of pairs with more than ``most`` distances so many by a fixed hash of rank and names.
 
-    Only pairs above the bound are ranked; the sample is the feature here.
+    Only pairs above the bound are ranked, in buckets of distance and of hash; the sample is the feature here.
     """
-    counts = found.groupBy("gene_A", "gene_B").agg(F.count("*").alias("count"))
-    own = found.join(counts, ["gene_A", "gene_B"])
+    keys = ["gene_A", "gene_B"]
+    counts = found.groupBy(*keys).agg(F.count("*").alias("count"))
+    own = found.join(counts, keys)
     if most is None:
         return own
-    large = own.where(F.col("count") > most)
-    ranked = large.withColumn("_rank", F.row_number().over(Window.partitionBy("gene_A", "gene_B").orderBy("distance")))
-    spot = F.xxhash64("gene_A", "gene_B", "_rank")
-    chosen = ranked.withColumn("_spot", F.row_number().over(Window.partitionBy("gene_A", "gene_B").orderBy(spot, "_rank"))).where(F.col("_spot") <= most)
-    return own.where(F.col("count") <= most).unionByName(chosen.drop("_rank", "_spot"))
+    ranked = placed(found.join(counts.where(F.col("count") > most).select(keys), keys, "left_semi"), keys, bucket_rows).withColumn("_rank", (F.col("place") + 1).cast("int"))
+    ranked = ranked.join(counts, keys).withColumn("_spot", F.xxhash64(*keys, "_rank"))
+    share = F.col("_spot").cast("double") / F.lit(2.0**64) + 0.5
+    ranked = ranked.withColumn("_bucket", F.floor(share * F.ceil(F.col("count") / bucket_rows)))
+    ranked = ranked.join(_before(ranked, keys, "_bucket", F.count("*")), [*keys, "_bucket"]).where(F.col("_before") < most)
+    inner = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy("_spot", "_rank"))
+    chosen = ranked.withColumn("_in", inner).where(F.col("_before") + F.col("_in") <= most)
+    return own.where(F.col("count") <= most).unionByName(chosen.select(own.columns))
 
 
 def shapes(found: DataFrame, least: int = 100, most: int | None = 10_000, mode: bool = True) -> DataFrame:
@@ -99,7 +130,7 @@ def pair_seed(seed: int, pair: tuple[str, str]) -> int:
     return int.from_bytes(hashlib.sha256("\0".join([str(seed), *pair]).encode()).digest()[:8], "big")
 
 
-def export(found: DataFrame, pairs: DataFrame, least: int = 1, most: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def export(found: DataFrame, pairs: DataFrame, least: int = 1, most: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(gene_1, gene_2, pair, distance), summary. Of a pair with more than ``most`` distances the places that a generator
     seeded by the pair draws, places being counted in order of distance."""
     report = summary(found, pairs, least, most)
@@ -116,5 +147,5 @@ def export(found: DataFrame, pairs: DataFrame, least: int = 1, most: int | None
         places = random.Random(pair_seed(seed, (r["gene_1"], r["gene_2"]))).sample(range(r["total_distance_count"]), most)
         drawn.append((r["gene_1"], r["gene_2"], sorted(places)))
     places = spark.createDataFrame(drawn, "gene_1 string, gene_2 string, places array<long>").select("gene_1", "gene_2", F.explode("places").alias("place"))
-    ranked = own.where("status = 'sampled'").withColumn("place", (F.row_number().over(Window.partitionBy("gene_1", "gene_2").orderBy("distance")) - 1).cast("long"))
+    ranked = placed(own.where("status = 'sampled'"), ["gene_1", "gene_2", "pair"])
     return whole.unionByName(ranked.join(places, ["gene_1", "gene_2", "place"]).select(columns)), report

@@ -55,12 +55,12 @@ def limit_of(reach: float, metric: str) -> float:
     return reach if metric == "grid" else reach * reach
 
 
-def matched(points: DataFrame, centres: DataFrame, reach: float, metric: str = "radius", z_mode: str = "discrete", keep: tuple[str, ...] = (), keep_centre: tuple[str, ...] = ()) -> DataFrame:
+def matched(points: DataFrame, centres: DataFrame, reach: float, metric: str = "radius", z_mode: str = "discrete", keep: tuple[str, ...] = (), keep_centre: tuple[str, ...] = (), width: float | None = None) -> DataFrame:
     """All (point, centre) pairs of a cell (and z layer, if z is discrete) in reach, with ``near``: their measure.
 
     Columns: cell, z, bucket keys, x, y, geneID and keep of the point; A and keep_centre of the centre.
     """
-    axes, width, far = _axes(z_mode), bucket_width(points, reach, z_mode), reach * (1 + SLACK)
+    axes, width, far = _axes(z_mode), width or bucket_width(points, reach, z_mode), reach * (1 + SLACK)
     keys = ["cell", *(f"g{a}" for a in axes)] + ([] if z_mode == "continuous" else ["z"])
     own = points.select("cell", "x", "y", "z", "geneID", *keep, *[_bucket(a, width).alias(f"g{a}") for a in axes])
     other = centres.select("cell", "z", *[F.col(a).alias(f"a_{a}") for a in axes], F.col("geneID").alias("A"), *keep_centre)
@@ -72,11 +72,11 @@ def matched(points: DataFrame, centres: DataFrame, reach: float, metric: str = "
     return joined.where(F.col("near") <= limit_of(reach, metric)).drop(*[f"a_{a}" for a in axes])
 
 
-def near_genes(points: DataFrame, reach: float, metric: str = "radius", z_mode: str = "discrete", centres: DataFrame | None = None) -> DataFrame:
+def near_genes(points: DataFrame, reach: float, metric: str = "radius", z_mode: str = "discrete", centres: DataFrame | None = None, width: float | None = None) -> DataFrame:
     """For each distinct point the genes that have a centre in reach: cell, x, y, z, geneID, m (equal points), A, near (least measure)."""
     counted = points.groupBy("cell", "z", "x", "y", "geneID").agg(F.count("*").alias("m"))
     own = counted if centres is None else centres.select("cell", "z", "x", "y", "geneID").distinct()
-    pairs = matched(counted, own, reach, metric, z_mode, keep=("m",))
+    pairs = matched(counted, own, reach, metric, z_mode, keep=("m",), width=width)
     keys = [c for c in pairs.columns if c != "near"]
     return pairs.groupBy(*keys).agg(F.min("near").alias("near"))
 
@@ -99,6 +99,16 @@ def pair_counts(near: DataFrame, identity: str = "row") -> DataFrame:
     return near.where("A <> geneID").groupBy("A", F.col("geneID").alias("B")).agg(F.sum(weight(identity)).alias("k"))
 
 
+def pairs_and_around(near: DataFrame, identity: str = "row", by_cell: bool = False) -> tuple[DataFrame, DataFrame]:
+    """pair_counts() and around() from one aggregate of the join by A, B and cell, whose shuffle both read."""
+    if identity == "pixel":
+        return pair_counts(near, identity), around(near, identity, by_cell)
+    sums = near.groupBy("A", "geneID", "cell").agg(F.sum(weight(identity)).alias("n"))
+    # The condition stays in the sum: as a filter it would reach below the shuffle, which could then not be shared.
+    pairs = sums.groupBy("A", F.col("geneID").alias("B")).agg(F.sum(F.when(F.col("A") != F.col("geneID"), F.col("n"))).alias("k")).where("k IS NOT NULL")
+    return pairs, sums.groupBy(*(["A", "cell"] if by_cell else ["A"])).agg(F.sum("n").alias("n"))
+
+
 def within(near: DataFrame, reach: float, metric: str = "radius") -> DataFrame:
     """near for a smaller reach: several radii need one join only, at the largest."""
     return near.where(F.col("near") <= limit_of(reach, metric))

@@ -32,18 +32,17 @@ def near_of(own: DataFrame, config: RunConfig, reach: float) -> DataFrame:
     metric = "grid" if config.detection_method == "nine_grid" else "radius"
     if config.unsegmented:
         wide, core = tiles.tiled(own, config.rect_length, reach)
-        return neighbors.near_genes(wide, reach, metric, centres=core)
+        return neighbors.near_genes(wide, reach, metric, centres=core, width=config.bucket_width)
     z_mode = "discrete" if metric == "grid" else config.z_mode
-    return neighbors.near_genes(own, reach, metric, z_mode)
+    return neighbors.near_genes(own, reach, metric, z_mode, width=config.bucket_width)
 
 
 def pair_background(own: DataFrame, near: DataFrame, config: RunConfig) -> DataFrame:
     """The counts of every pair with neighbours."""
     identity, pixels = _identity(config), config.detection_method == "nine_grid"
-    pairs = neighbors.pair_counts(near, identity)
-    if config.background == "cooccurrence":
-        return background.cooccurrence_background(pairs, neighbors.around(near, identity, by_cell=True), own, pixels)
-    return background.all_background(pairs, neighbors.around(near, identity), own, pixels)
+    together = config.background == "cooccurrence"
+    pairs, around = neighbors.pairs_and_around(near, identity, by_cell=together)
+    return (background.cooccurrence_background if together else background.all_background)(pairs, around, own, pixels)
 
 
 def _raw(own: DataFrame, near: DataFrame, config: RunConfig) -> DataFrame:
@@ -77,12 +76,18 @@ def shape_result(points: DataFrame, raw: DataFrame, config: RunConfig) -> DataFr
     return distances.relative(distances.directed(shape), config.r_dist).join(wanted, ["gene_A", "gene_B"], "left_semi")
 
 
-def analysed(points: DataFrame, config: RunConfig) -> dict[str, DataFrame]:
-    """raw, final (with shape columns, if asked for) and shape, all lazy."""
-    raw = raw_result(points, config)
+def analysed(points: DataFrame, config: RunConfig, stage=None) -> dict[str, DataFrame]:
+    """raw, final (with shape columns, if asked for) and shape of one radius. ``stage`` (table, name) -> table may write a
+    result and read it back; without it shapes, which follow from raw, plan raw once more for each of its uses."""
+    stage = stage or (lambda table, name: table)
+    return results_of(points, stage(raw_result(points, config), "raw"), config, stage)
+
+
+def results_of(points: DataFrame, raw: DataFrame, config: RunConfig, stage) -> dict[str, DataFrame]:
+    """What follows from a raw result."""
     out = {"raw": raw, "final": final_result(raw, config)}
     if config.distribution_analysis:
-        out["shape"] = shape_result(points, raw, config)
+        out["shape"] = stage(shape_result(points, raw, config), "shape")
         out["final"] = distances.with_shapes(out["final"], out["shape"])
     out["final"] = results.ordered(out["final"])
     return out

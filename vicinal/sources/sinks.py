@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,8 +33,47 @@ def write_dataset(df: DataFrame, path: str, kind: str = "csv", compression: str
     writer.option("header", True).csv(path) if kind == "csv" else writer.parquet(path)
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """An unused path in the folder that driver and executors share (spark.checkpoint.dir), or, on one machine alone, in one of our own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vicinal-"))
+        base = spark.sparkContext.getCheckpointDir()
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, path: str) -> DataFrame:
+    """df, written once as Parquet in parallel and read back, so that what follows does not compute it again."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def replace(spark: SparkSession, source, target) -> None:
+    """Put a file (Hadoop paths) in the place of another in one step: whoever reads finds the old one or the new one."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    fs = target.getFileSystem(conf)
+    if fs.exists(target) and fs.getFileStatus(target).isDirectory():  # a folder can't be replaced by a file in one step
+        aside = jvm.org.apache.hadoop.fs.Path(f"{target.toString()}.{uuid.uuid4().hex}.old")
+        fs.rename(target, aside)
+        fs.rename(source, target)
+        fs.delete(aside, True)
+        return
+    options = jvm.org.apache.hadoop.fs.Options.Rename
+    overwrite = spark.sparkContext._gateway.new_array(options, 1)
+    overwrite[0] = options.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(source), fs.makeQualified(target), overwrite)
+
+
 def write_single(df: DataFrame, path: str, kind: str = "csv", compression: str = "none") -> None:
-    """One file at path, put in place by a rename after it is whole. For results of a size that one file should have."""
+    """One file at path, put in place by a rename after it is whole. For results of a size that one file should have; what
+    is costly to compute should be staged first, since one task writes the file."""
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     parts = f"{path}.{uuid.uuid4().hex}.parts"
@@ -42,9 +82,7 @@ def write_single(df: DataFrame, path: str, kind: str = "csv", compression: str =
     folder, target = jvm.org.apache.hadoop.fs.Path(parts), jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(conf)
     part = next((s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")), None)
-    if fs.exists(target):
-        fs.delete(target, True)
-    fs.rename(part, target)
+    replace(spark, part, target)
     fs.delete(folder, True)
 
 
@@ -58,11 +96,13 @@ def export_format(path: str, chosen: str | None = None) -> tuple[str, str]:
     return {"csv": ("csv", "none"), "csv.gz": ("csv", "gzip"), "parquet": ("parquet", "snappy")}[kind]
 
 
-def write_export(distances: DataFrame, summary: DataFrame, path: str, chosen: str | None = None) -> None:
-    """A distance export and its companion summary, pairs in request order."""
+def write_export(distances: DataFrame, summary: DataFrame, path: str, chosen: str | None = None, report: str | None = None) -> None:
+    """A distance export and its companion summary (at report, if given), pairs in request order."""
     kind, compression = export_format(path, chosen)
-    write_single(distances, path, kind, compression)
-    write_single(summary.orderBy("ordinal").drop("ordinal"), summary_path(path))
+    folder = f"{path}.{uuid.uuid4().hex}.stage"
+    write_single(staged(distances, folder), path, kind, compression)
+    remove(distances.sparkSession, folder)
+    write_single(summary.orderBy("ordinal").drop("ordinal"), report or summary_path(path))
 
 
 def retain_distances(distances: DataFrame, path: str, buckets: int = 64) -> None:
