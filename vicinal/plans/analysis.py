@@ -68,11 +68,12 @@ def final_result(raw: DataFrame, config: RunConfig) -> DataFrame:
     return results.significant(results.one_direction(raw, config.pair_keep), config.filter_threshold)
 
 
-def shape_result(points: DataFrame, raw: DataFrame, config: RunConfig) -> DataFrame:
-    """Shapes of the directed pairs that are significant enough. Distances are computed for these alone, once per pair."""
+def shape_result(points: DataFrame, raw: DataFrame, config: RunConfig, stage=lambda table, name: table) -> DataFrame:
+    """Shapes of the directed pairs that are significant enough. Distances are computed for these alone, once per pair; as
+    the shapes read them many times, ``stage`` should write them."""
     wanted = raw.where(F.col("qvalue_BH") < config.shape_qvalue_threshold).select("gene_A", "gene_B")
-    found = distances.distances(prepared(points, config), config.r_dist, wanted)
-    shape = distances.shapes(found, config.around_count_threshold, config.shape_max_distance_count)
+    found = stage(distances.distances(prepared(points, config), config.r_dist, wanted), "distances")
+    shape = stage(distances.shapes(found, config.around_count_threshold, config.shape_max_distance_count), "undirected-shape")
     return distances.relative(distances.directed(shape), config.r_dist).join(wanted, ["gene_A", "gene_B"], "left_semi")
 
 
@@ -87,7 +88,7 @@ def results_of(points: DataFrame, raw: DataFrame, config: RunConfig, stage) -> d
     """What follows from a raw result."""
     out = {"raw": raw, "final": final_result(raw, config)}
     if config.distribution_analysis:
-        out["shape"] = stage(shape_result(points, raw, config), "shape")
+        out["shape"] = stage(shape_result(points, raw, config, stage), "shape")
         out["final"] = distances.with_shapes(out["final"], out["shape"])
     out["final"] = results.ordered(out["final"])
     return out

@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from ..config import RunConfig
 from ..functions import stats
 from ..operators import controls, distances, events, figures, neighbors, prep, results, tiles
+from ..sources import sinks, transcripts
 from ..sources.transcripts import missing_genes, pair_table
 from . import analysis
 
 R, R_MORE, GRID = 2.0, (1.0, 2.0, 5.0), 1
+#: Without cells the points lie so close that a radius of 2 would reach nearly all of them.
+R_FLAT = 0.05
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,17 +125,51 @@ def _rounded(rows: DataFrame, places: int = 4) -> DataFrame:
     return rows.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
 
 
+def _logged(rows: DataFrame) -> DataFrame:
+    """p and q as decimal logarithms to six places, so that the smallest count as much as the largest."""
+    log = lambda c: F.when(F.col(c) > 0, F.round(F.log10(c), 6) + F.lit(0.0)).alias(c)
+    return _rounded(rows.select(*[log(c) if c in ("pvalue", "qvalue_BH", "qvalue_BO") else F.col(c) for c in rows.columns]), 6)
+
+
 ALL = RunConfig(r_check=R, filter_threshold=1.01)
 TOGETHER = RunConfig(r_check=R, background="cooccurrence", filter_threshold=1.01)
 
 
 def hyper_all(spark, d):
     """The flagship: every directed pair tested against the whole slice."""
-    return _rounded(analysis.raw_result(points(spark, d), ALL))
+    return _logged(analysis.raw_result(points(spark, d), ALL))
 
 
 def hyper_cooccurrence(spark, d):
-    return _rounded(analysis.raw_result(points(spark, d), TOGETHER))
+    return _logged(analysis.raw_result(points(spark, d), TOGETHER))
+
+
+def hyper_unsegmented(spark, d):
+    """Points without cells: tiles, value identity, the whole slice as background."""
+    flat = points(spark, d).select("x", "y", F.lit(0.0).alias("z"), "geneID")
+    return _logged(analysis.raw_result(flat, RunConfig(r_check=R_FLAT, unsegmented=True, rect_length=TILE)))
+
+
+def pair_bg_cooccurrence_continuous(spark, d):
+    own = points(spark, d)
+    config = RunConfig(r_check=R, background="cooccurrence", z_mode="continuous")
+    return analysis.pair_background(own, analysis.near_of(own, config, R), config)
+
+
+def scan_csv(spark, d):
+    """The points written as CSV under other names and scanned again, with the scan's checks."""
+    path = sinks.shared_path(spark, "points") + ".csv"
+    sinks.write_dataset(points(spark, d).select(F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"), F.col("geneID").alias("target"), F.col("cell").alias("cell_id")), path)
+    back = transcripts.read_points(spark, path, "px,py,pz,target,cell_id", finite=True)
+    return _rounded(back.groupBy("geneID", "cell").agg(F.count("*").alias("n"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"), F.sum("z").alias("sum_z")), 3)
+
+
+def raw_round_trip(spark, d):
+    """A raw result written as CSV and scanned again, with the scan's checks."""
+    raw = _exact_results(spark, d)
+    path = sinks.shared_path(spark, "raw") + ".csv"
+    sinks.write_dataset(raw, path)
+    return _rounded(transcripts.read_result(spark, path).select(raw.columns), 9)
 
 
 def bh_bonferroni(spark, d):
@@ -173,7 +210,17 @@ def eligible_pairs(spark, d):
 
 
 def final_all(spark, d):
-    return analysis.final_result(analysis.raw_result(points(spark, d), ALL), ALL).groupBy().agg(F.count("*").alias("pairs"), F.round(F.sum("support_ratio"), 4).alias("support"))
+    """The rows of the final result and their order, one direction of each pair, on q that both engines have exactly."""
+    final = results.ordered(analysis.final_result(_exact_results(spark, d), RunConfig(r_check=R, filter_threshold=0.005)))
+    return _rounded(final.coalesce(1).withColumn("place", F.monotonically_increasing_id()), 9)
+
+
+def final_shapes(spark, d):
+    """The final result of a distribution run with its shape columns (but the mode, which SQL can't say) on exact q."""
+    config = RunConfig(r_check=R, r_dist=5.0, distribution_analysis=True, filter_threshold=0.005, around_count_threshold=20, shape_qvalue_threshold=0.004)
+    raw = sinks.staged(_exact_results(spark, d), sinks.shared_path(spark, "raw"))
+    out = analysis.results_of(points(spark, d), raw, config, lambda table, name: sinks.staged(table, sinks.shared_path(spark, name)))
+    return _rounded(out["final"].drop("mode"), 6)
 
 
 def final_rows(spark, d):
@@ -285,8 +332,8 @@ def queries() -> dict:
     named = [
         gene_counts, gene_filter, slice_total, slice_total_pixels, pixel_distinct, cell_gene_counts, cell_totals, around_discrete, around_ninegrid,
         pair_k_discrete, pair_k_continuous, pair_k_ninegrid, pair_k_valuedistinct, pair_k_rowidentity, pair_bg_all, pair_bg_cooccurrence,
-        pair_bg_cooccurrence_ninegrid, hyper_all, hyper_cooccurrence, bh_bonferroni, ratios, dedup_first, dedup_last, bidirectional_retain,
-        significant_last, eligible_pairs, final_all, final_rows, cell_centers, cell_events_discrete, cell_events_continuous, missing_requested, distances_pair,
+        pair_bg_cooccurrence_ninegrid, pair_bg_cooccurrence_continuous, hyper_all, hyper_cooccurrence, hyper_unsegmented, scan_csv, raw_round_trip, bh_bonferroni, ratios, dedup_first, dedup_last, bidirectional_retain,
+        significant_last, eligible_pairs, final_all, final_shapes, final_rows, cell_centers, cell_events_discrete, cell_events_continuous, missing_requested, distances_pair,
         distance_summary, distance_export, shape_stats, shape_relative, shape_join, kde_mode, control_baseline, multi_radius, unsegmented_radius,
         unsegmented_grid, random_reference, tissue_map, distance_curves, distance_curves_all,
     ]
@@ -321,11 +368,11 @@ bg AS (SELECT kk.gene_A, kk.gene_B, k AS gene_B_around, gb.n AS gene_B_slice, nn
   FROM kk JOIN nn ON nn.ag = gene_A JOIN gc ga ON ga.g = gene_A JOIN gc gb ON gb.g = gene_B)"""
 
 
-def _bg_together(source: str, reach: float, metric: str, weight: str) -> str:
+def _bg_together(source: str, reach: float, metric: str, weight: str, continuous: bool = False) -> str:
     genes = f"SELECT DISTINCT c, g, x, y, z FROM {source}" if metric == "grid" else f"SELECT * FROM {source}"
     n = "count(DISTINCT (x, y, z))" if metric == "grid" else f"sum({weight})"
     total = "count(DISTINCT (x, y, z))" if metric == "grid" else "count(*)"
-    return f"""{_PTS}, {_near(source, reach, metric)}, kk AS ({_k(weight)}), nn AS (SELECT c, ag, {n} AS n FROM near GROUP BY ALL),
+    return f"""{_PTS}, {_near(source, reach, metric, continuous)}, kk AS ({_k(weight)}), nn AS (SELECT c, ag, {n} AS n FROM near GROUP BY ALL),
 cg AS (SELECT c, g, count(*) AS n FROM ({genes}) GROUP BY ALL), ct AS (SELECT c, {total} AS n FROM {source} GROUP BY c),
 sums AS (SELECT a.g AS ag, b.g AS bg, sum(nn.n) AS n, sum(b.n) AS nb, sum(ct.n) AS total, sum(a.n) AS na
   FROM cg a JOIN cg b ON a.c = b.c AND a.g <> b.g JOIN nn ON nn.c = a.c AND nn.ag = a.g JOIN ct ON ct.c = a.c GROUP BY ALL),
@@ -345,6 +392,9 @@ _RATIOS = """least(gene_A, gene_B) || '_' || greatest(gene_A, gene_B) AS pair,
   CAST(gene_B_around AS DOUBLE) / least(gene_A_N, gene_B_N) AS support_ratio"""
 
 
+_LOGS = ", ".join(f"CASE WHEN {c} > 0 THEN round(log10({c}), 6) + 0.0 END AS {c}" for c in ("pvalue", "qvalue_BH", "qvalue_BO"))
+
+
 def _hyper(bg: str) -> str:
     term = f"exp({_LOGC.format('gene_B_slice', 'j')} + {_LOGC.format('(gene_slice - gene_B_slice)', '(gene_around - j)')} - {_LOGC.format('gene_slice', 'gene_around')})"
     # The shorter of the two tails is summed.
@@ -354,8 +404,8 @@ tests AS (SELECT *, CASE WHEN gene_B_around > least(gene_B_slice, gene_around) T
   THEN least(1.0, list_sum([{term} FOR j IN range(gene_B_around, least(gene_B_slice, gene_around) + 1)]))
   ELSE 1.0 - coalesce(list_sum([{term} FOR j IN range(greatest(0, gene_around + gene_B_slice - gene_slice), gene_B_around)]), 0.0) END AS pvalue FROM ok)"""
     return f"""WITH {bg}, {tests}, {_ADJUST}
-SELECT gene_A, gene_B, round(pvalue, 4) AS pvalue, round(qvalue_BH, 4) AS qvalue_BH, round(qvalue_BO, 4) AS qvalue_BO, gene_B_around, gene_B_slice,
-  gene_around, gene_slice, gene_A_N, gene_B_N, pair, round(enrichment_ratio, 4) AS enrichment_ratio, round(support_ratio, 4) AS support_ratio
+SELECT gene_A, gene_B, {_LOGS}, gene_B_around, gene_B_slice,
+  gene_around, gene_slice, gene_A_N, gene_B_N, pair, round(enrichment_ratio, 6) AS enrichment_ratio, round(support_ratio, 6) AS support_ratio
 FROM (SELECT *, {_RATIOS} FROM adj)"""
 
 
@@ -418,9 +468,25 @@ wide AS (SELECT s.*, tx.i AS i, ty.i AS j FROM s JOIN tx ON x BETWEEN tx.lo - {r
 near AS (SELECT DISTINCT p.i, p.j, p.x, p.y, p.g, a.g AS ag FROM wide p JOIN core a ON p.i = a.i AND p.j = a.j AND {near})"""
 
 
+def _bg_flat() -> str:
+    return f"""{_tiled("pts", R_FLAT, "radius")}, kk AS ({_k("1")}), nn AS (SELECT ag, count(*) AS n FROM near GROUP BY ag), gc AS (SELECT g, count(*) AS n FROM pts GROUP BY g),
+bg AS (SELECT kk.gene_A, kk.gene_B, k AS gene_B_around, gb.n AS gene_B_slice, nn.n AS gene_around, (SELECT count(*) FROM pts) AS gene_slice, ga.n AS gene_A_N, gb.n AS gene_B_N
+  FROM kk JOIN nn ON nn.ag = gene_A JOIN gc ga ON ga.g = gene_A JOIN gc gb ON gb.g = gene_B)"""
+
+
 def oracle_sql() -> dict[str, str]:
     pts = f"WITH {_PTS} "
     return {
+        "pair_bg_cooccurrence_continuous": f"WITH {_bg_together('pts', R, 'radius', '1', True)} SELECT {_COUNTS} FROM bg",
+        "hyper_unsegmented": _hyper(_bg_flat()),
+        "scan_csv": pts + 'SELECT g AS "geneID", c AS cell, count(*) AS n, round(sum(x), 3) AS sum_x, round(sum(y), 3) AS sum_y, round(sum(z), 3) AS sum_z FROM pts GROUP BY ALL',
+        "raw_round_trip": f"WITH {_EXACT} SELECT {_RES} FROM res",
+        "final_all": f"WITH {_EXACT}, {_dedup('last')} SELECT {_RES}, row_number() OVER (ORDER BY qvalue_BH, enrichment_ratio DESC, gene_A, gene_B) - 1 AS place FROM one WHERE qvalue_BH < 0.005",
+        "final_shapes": f"""WITH {_EXACT}, {_dedup('last')}, {_SHAPE.removeprefix(_PTS + ", ")}, both_ways AS (SELECT * FROM shape UNION ALL SELECT gene_B AS gene_A, gene_A AS gene_B, * EXCLUDE (gene_A, gene_B) FROM shape),
+mine AS (SELECT gene_A, gene_B, both_ways.* EXCLUDE (gene_A, gene_B) FROM both_ways JOIN res USING (gene_A, gene_B) WHERE shape_count >= 20 AND qvalue_BH < 0.004)
+SELECT {_RES.replace(", 9)", ", 6)")}, {_SHAPE_COLS}, round(1 / (1 + exp(skewness)), 6) AS skewness_adjusted, round(skewness + 0.566, 6) AS skewness_relative, round(kurtosis + 0.6, 6) AS kurtosis_relative,
+  round(median - 0.707 * 5.0, 6) AS median_relative, round(q25 - 0.5 * 5.0, 6) AS q25_relative, round(q75 - 0.866 * 5.0, 6) AS q75_relative
+FROM one LEFT JOIN mine USING (gene_A, gene_B) WHERE qvalue_BH < 0.005""",
         "gene_counts": pts + 'SELECT g AS "geneID", count(*) AS n FROM pts GROUP BY g',
         "gene_filter": pts + 'SELECT g AS "geneID", count(*) AS n FROM pts GROUP BY g HAVING count(*) >= 900',
         "slice_total": pts + "SELECT count(*) AS total FROM pts",
