@@ -147,9 +147,9 @@ def digested(docs):
 def test_suffixes(docs, monkeypatch, many):
     if many:  # three rounds of dealing to 40 buckets, texts in parts, buffers of a few pieces
         total = sum(len((r[1] or "").encode()) for r in ROWS)
-        for module, name, value in ((suffixes, "BUCKET", total // 40), (suffixes, "CHUNK", 900), (dealing, "FAN", 4), (dealing, "GATHER", 4000), (dealing, "RANGE", 30_000)):
+        for module, name, value in ((suffixes, "BUCKET", total // 40), (suffixes, "CHUNK", 900), (suffixes, "FAN", 4), (suffixes, "RECUT", 2000), (dealing, "GATHER", 4000), (dealing, "RANGE", 30_000)):
             monkeypatch.setattr(module, name, value)
-        assert len(dealing.widths(40)) == 3
+        assert len(dealing.widths(40, suffixes.FAN)) == 3
     want = cut_rows(ROWS)
     assert sorted(digested(docs), key=str) == sorted(want, key=str)
     assert any(0 < w[2] < w[1] for w in want)

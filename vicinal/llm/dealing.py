@@ -21,11 +21,12 @@ FAN, GATHER, RANGE = 64, 24 << 20, 256 << 20
 SCHEMA = "kind int, key long, blob binary"
 
 
-def widths(buckets: int) -> list[int]:
+def widths(buckets: int, fan: int | None = None) -> list[int]:
     """Buckets in a range after each round; the last is 1."""
-    out = [-(-buckets // FAN)]
+    fan = fan or FAN
+    out = [-(-buckets // fan)]
     while out[-1] > 1:
-        out.append(-(-out[-1] // FAN))
+        out.append(-(-out[-1] // fan))
     return out
 
 
@@ -42,10 +43,10 @@ def rows(found: Iterable[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([key], pa.int64()), pa.array([blob], pa.binary())], ["kind", "key", "blob"])
 
 
-def dealt(first: DataFrame, buckets: int, kind: int, recut: Callable[[list[bytes], int], Iterator[tuple[int, bytes]]], total_bytes: int) -> DataFrame:
+def dealt(first: DataFrame, buckets: int, kind: int, recut: Callable[[list[bytes], int], Iterator[tuple[int, bytes]]], total_bytes: int, fan: int | None = None, gather: int | None = None) -> DataFrame:
     """Rows (kind, key, blob) whose key is the bucket, from rows whose key is the first round's range. Rows of other kinds
     pass unchanged. recut(blobs of one range, width) yields (range of that width, blob)."""
-    steps = widths(buckets)
+    steps, gather = widths(buckets, fan), gather or GATHER
     out = first
     for wide, narrow in zip(steps, steps[1:], strict=False):
         salts = max(1, total_bytes * wide // buckets // RANGE)
@@ -58,7 +59,7 @@ def dealt(first: DataFrame, buckets: int, kind: int, recut: Callable[[list[bytes
                     if k != kind:
                         yield from rows([(k, key, blob)])
                         continue
-                    if held and (key != now or size >= GATHER):
+                    if held and (key != now or size >= gather):
                         yield from rows((kind, b, x) for b, x in recut(held, narrow))
                         held, size = [], 0
                     now = key

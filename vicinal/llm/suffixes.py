@@ -45,6 +45,9 @@ PLACES = LENGTH - ANCHOR + 1
 WIDTH = LENGTH + PLACES - 1
 #: Bytes of text cut into pieces at once, and bytes of text aimed at in a bucket.
 CHUNK, BUCKET = 2 << 20, 10 << 20
+#: Ranges in a round of dealing (many, as pieces are whole in themselves: one round suffices up to 80 GB of text, two up
+#: to 600 TB), and compressed bytes of a range that are cut again at once.
+FAN, RECUT = 8192, 6 << 20
 #: Texts of a chunk that make a task remember the piece they share, and pieces it remembers.
 MANY, REMEMBERED = 8, 1 << 20
 POSITION = U((1 << 28) - 1)
@@ -161,8 +164,11 @@ def _unpacked_pieces(blobs: list[bytes]):
 def _recut_pieces(buckets: int):
     def recut(blobs: list[bytes], width: int):
         cols, offsets, data = _unpacked_pieces(blobs)
-        anchor = offsets[:-1] + cols[3]
-        hashed = scan.mix(scan.Rolling(data).of(anchor, anchor + ANCHOR) >> U(28))
+        hashed = np.empty(len(offsets) - 1, dtype=np.uint64)
+        for a in range(0, len(hashed), 1 << 14):  # a few MB of hashes at once
+            b = min(a + (1 << 14), len(hashed))
+            anchor = offsets[a:b] - offsets[a] + cols[3][a:b]
+            hashed[a:b] = scan.mix(scan.Rolling(data[offsets[a] : offsets[b]]).of(anchor, anchor + ANCHOR) >> U(28))
         size = np.diff(offsets)
         yield from _pieces_by_range(cols, _share(hashed, buckets) // width, lambda own: _taken(data, offsets[own], size[own]))
 
@@ -184,7 +190,7 @@ def _repeats(text: np.ndarray, piece: np.ndarray, first: np.ndarray):
 
 def _pieces(buckets: int):
     """From texts: pieces by range of their anchor's bucket (kind 0), and what is removed within the chunk (kind 1, by document)."""
-    width, gather = dealing.widths(buckets)[0], dealing.GATHER
+    width, gather = dealing.widths(buckets, FAN)[0], dealing.GATHER
 
     def cut(ids, crcs, data, offsets, base, known):
         """Spans that are removed (or None), and the columns, ranges and bytes of pieces to send (or None)."""
@@ -320,7 +326,7 @@ def first_holders(rows: np.ndarray, low: np.ndarray, high: np.ndarray, ids: np.n
 
 def _removed(buckets: int):
     """For a bucket of anchors: spans to remove, by range of their document's bucket. Kind 1 is passed on."""
-    width = dealing.widths(buckets)[0]
+    width = dealing.widths(buckets, FAN)[0]
 
     def run(table: pa.Table) -> pa.Table:
         if table.column("kind")[0].as_py() == 1:
@@ -399,9 +405,9 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     total = docs.agg(F.sum(F.octet_length(text_or_empty(text_column)))).first()[0] or 0
     buckets = max(1, min(1 << 24, -(-total // BUCKET)))
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("binary").alias("text"))
-    pieces = dealing.dealt(texts.mapInArrow(_pieces(buckets), dealing.SCHEMA), buckets, 0, _recut_pieces(buckets), 4 * total)
+    pieces = dealing.dealt(texts.mapInArrow(_pieces(buckets), dealing.SCHEMA), buckets, 0, _recut_pieces(buckets), 4 * total, FAN, RECUT)
     spans = pieces.groupBy("kind", "key").applyInArrow(_removed(buckets), dealing.SCHEMA)
-    spans = dealing.dealt(spans, buckets, 1, _recut_spans(buckets), total)
+    spans = dealing.dealt(spans, buckets, 1, _recut_spans(buckets), total, FAN, RECUT)
     return written(spans.groupBy("key").applyInArrow(_joined_spans, "_id long, _crc long, starts array<int>, stops array<int>"), "spans")
 
 
