@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, htmltext, jaccard, langid, quality, sharding, suffixes, urls, warc
+from . import alignment, audit, bpe, classifier, decontaminate, htmltext, jaccard, langid, quality, sharding, suffixes, urls, warc
 from .common import read_table
 
 
@@ -56,8 +56,25 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classified(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audited(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.aligned(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_jaccard_join, op2_suffix_dedup, op3_html_text, op4_quality_rules, op5_decontamination, op6_sharding, op7_bpe, op8_url_filter, op9_language_id, op10_warc]
+    named = [
+        op1_jaccard_join, op2_suffix_dedup, op3_html_text, op4_quality_rules, op5_decontamination, op6_sharding, op7_bpe, op8_url_filter, op9_language_id, op10_warc,
+        op11_quality_classifier, op12_filter_audit, op13_tokenizer_alignment,
+    ]
     return {f.__name__: f for f in named}
 
 
@@ -186,6 +203,27 @@ SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes,
 FROM w
 """
 
+OP12_SQL = """
+WITH t AS (SELECT doc_id, coalesce(CAST(source AS VARCHAR), '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words, min(doc_id) OVER (PARTITION BY text) AS first_id FROM t),
+f AS (SELECT doc_id, part, CASE WHEN len(words) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 2 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > first_id THEN 'E' ELSE '' END AS fails FROM w),
+l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT part, fails, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic FROM f LEFT JOIN l USING (doc_id)),
+x(c) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+s AS (SELECT part, filter_order, step, substr(filter_order, step, 1) AS letter, good, toxic, fails,
+    strpos(fails, substr(filter_order, step, 1)) > 0 AS hit,
+    length(regexp_replace(substr(filter_order, 1, step - 1), '[^' || fails || '_]', '', 'g')) AS earlier
+  FROM d, o, range(1, 6) r(step)),
+c AS (SELECT part, filter_order, step, letter, count(*) FILTER (NOT hit AND earlier = 0) AS kept, count(*) FILTER (hit AND earlier = 0) AS removed,
+    count(*) FILTER (hit AND earlier > 0) AS redundant, count(*) FILTER (fails = letter) AS unique_fails,
+    count(*) FILTER (hit AND earlier = 0 AND good) AS good_lost, count(*) FILTER (hit AND earlier = 0 AND toxic) AS toxic_lost FROM s GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM c
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": OP1_SQL, "op2_suffix_dedup": OP2_SQL, "op5_decontamination": OP5_SQL, "op6_sharding": OP6_SQL, "op8_url_filter": OP8_SQL, "op10_warc": OP10_SQL}
+    return {"op1_jaccard_join": OP1_SQL, "op2_suffix_dedup": OP2_SQL, "op5_decontamination": OP5_SQL, "op6_sharding": OP6_SQL, "op8_url_filter": OP8_SQL, "op10_warc": OP10_SQL, "op12_filter_audit": OP12_SQL}
