@@ -1,19 +1,38 @@
 """Operators against plain loops on random points with ties, equal points and distances of exactly the radius."""
 
 import math
+import random
+import statistics
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from vicinal.operators import neighbors
 
 POINT = st.tuples(st.integers(-4, 4).map(lambda v: v * 0.5), st.integers(-4, 4).map(lambda v: v * 0.5), st.sampled_from([0.0, 0.5]), st.sampled_from("ABC"), st.sampled_from(["c1", "c2"]))
 
 
+CASES = (st.lists(POINT, min_size=1, max_size=30), st.sampled_from([0.5, 1.0, 1.5]), st.sampled_from(["discrete", "continuous", "grid"]))
+
+
 @settings(max_examples=8, deadline=None)
-@given(st.lists(POINT, min_size=1, max_size=30), st.sampled_from([0.5, 1.0, 1.5]), st.sampled_from(["discrete", "continuous", "grid"]))
+@given(*CASES)
 def test_near(spark, rows, reach, mode):
+    near_as_loops_find(spark, rows, reach, mode)
+
+
+@settings(max_examples=8, deadline=None)
+@given(*CASES)
+def test_near_with_cut_buckets(spark, rows, reach, mode):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(neighbors, "CROWD", 2)
+        patch.setattr(neighbors, "DEEPEST", 3)
+        near_as_loops_find(spark, rows, reach, mode)
+
+
+def near_as_loops_find(spark, rows, reach, mode):
     near = neighbors.near_genes(spark.createDataFrame(rows, "x double, y double, z double, geneID string, cell string"), reach, "grid" if mode == "grid" else "radius", "continuous" if mode == "continuous" else "discrete")
     k = {(r["A"], r["B"]): r["k"] for r in neighbors.pair_counts(near).collect()}
     n = {r["A"]: r["n"] for r in neighbors.around(near).collect()}
@@ -33,6 +52,43 @@ def test_near(spark, rows, reach, mode):
             assert k.get((gene, other), 0) == sum(p[3] == other for p in around)
 
 
+@pytest.fixture(scope="module")
+def crowd(spark):
+    """A third of all points in one cell of 300, close to each other."""
+    rng = random.Random(8)
+    rows = [(rng.random() * 4, rng.random() * 4, 0.0, rng.choice("ABCDEFGH"), "hot") for _ in range(5000)]
+    rows += [(rng.random() * 20, rng.random() * 20, 0.0, rng.choice("ABCDEFGH"), f"c{i % 299}") for i in range(10_000)]
+    return spark.createDataFrame(rows, "x double, y double, z double, geneID string, cell string").cache()
+
+
+def work(points, most, monkeypatch):
+    """Comparisons of each of 32 tasks, and of all."""
+    monkeypatch.setattr(neighbors, "CROWD", most)
+    own, other, keys = neighbors.keyed(points, points, 0.25)
+    met = own.groupBy(*keys).agg(F.count("*").alias("n")).join(other.groupBy(*keys).agg(F.count("*").alias("m")), keys)
+    tasks = met.groupBy(F.pmod(F.hash(*keys), F.lit(32)).alias("task")).agg(F.sum(F.col("n") * F.col("m")).alias("w")).collect()
+    return sorted(r["w"] for r in tasks)
+
+
+def test_one_cell_with_a_third_of_all_points(crowd, monkeypatch):
+    whole = work(crowd, 10**9, monkeypatch)
+    assert whole[-1] > 3 * statistics.median(whole)  # without cuts one task has most of the work
+    cut = work(crowd, 40, monkeypatch)
+    assert len(cut) == 32 and cut[-1] <= 3 * statistics.median(cut) and sum(cut) < sum(whole)
+
+
+def test_cuts_change_no_count(crowd, monkeypatch):
+    want = sorted(neighbors.pair_counts(neighbors.near_genes(crowd, 0.25)).collect())
+    for most, cuts in ((40, 50_000), (40, 7), (150, 50_000)):
+        monkeypatch.setattr(neighbors, "CROWD", most)
+        monkeypatch.setattr(neighbors, "MOST_CUTS", cuts)
+        found = neighbors.crowded_buckets(crowd, neighbors.bucket_width(crowd, 0.25))
+        assert 0 < len(found) <= cuts and {c[1] for c in found} >= {"hot"}
+        held = {c for c in found}
+        assert all(c[0] == 0 or (c[0] - 1, c[1], c[2], c[3] // 2, c[4] // 2) in held for c in found)  # no part without the whole
+        assert sorted(neighbors.pair_counts(neighbors.near_genes(crowd, 0.25)).collect()) == want
+
+
 def test_boundary_bucket(spark):
     rows = [(i * 0.1, 0.0, 0.0, "A" if i % 2 else "B", "c") for i in range(60)]
     k = {(r["A"], r["B"]): r["k"] for r in neighbors.pair_counts(neighbors.near_genes(spark.createDataFrame(rows, "x double, y double, z double, geneID string, cell string"), 0.1)).collect()}

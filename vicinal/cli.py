@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import RunConfig, check_radii, with_radius
-from .operators import controls, distances, events
+from .operators import controls, distances, events, results
 from .plans import analysis
 from .sources import sinks, transcripts
 from .workers import provide
@@ -61,8 +61,11 @@ def run(args, spark: SparkSession) -> list[str]:
                 found = distances.distances(analysis.prepared(points, part), part.r_dist)
                 kept = with_radius(args.intermediate_dir, part.r_check) if many else args.intermediate_dir
                 sinks.retain_distances(found, f"{kept}/{part.background}")
-            for df, path in written:
-                write(df, path)
+            for name, (df, path) in enumerate(written):
+                if name == 1 and not args.single_file:
+                    sinks.write_numbered(results.numbered(df), path)
+                else:
+                    write(df, path)
                 paths.append(path)
     finally:
         sinks.remove(spark, folder)

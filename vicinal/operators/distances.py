@@ -5,14 +5,28 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import kde_mode
+from ..functions.kernels import kernel_sums
+from ..sources import sinks
 from .neighbors import matched
 
 #: Distances aimed at in one bucket of a pair.
 BUCKET_ROWS = 20_000
+#: Points of the grid on which a mode is sought, its bandwidth in sample deviations.
+MODE_POINTS, MODE_BANDWIDTH = 1000, 0.05
+#: Drawn places sent on at once.
+DRAWN = 50_000
+PAIR = ["gene_A", "gene_B"]
+
+
+def _kept(table: DataFrame, name: str) -> DataFrame:
+    """table, written once to the shared folder."""
+    return sinks.staged(table, sinks.shared_path(table.sparkSession, name))
 
 
 def distances(points: DataFrame, reach: float, pairs: DataFrame | None = None) -> DataFrame:
@@ -85,16 +99,81 @@ def sampled(found: DataFrame, most: int | None, bucket_rows: int = BUCKET_ROWS)
     return own.where(F.col("count") <= most).unionByName(chosen.select(own.columns))
 
 
-def shapes(found: DataFrame, least: int = 100, most: int | None = 10_000, mode: bool = True) -> DataFrame:
-    """gene_A, gene_B, shape_count, mode, skewness, kurtosis (population), median, q25, q75, iqr of pairs with enough distances."""
+def shapes(found: DataFrame, least: int = 100, most: int | None = 10_000, mode: bool = True, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """gene_A, gene_B, shape_count, mode, skewness, kurtosis (population), median, q25, q75, iqr of pairs with enough distances.
+
+    Moments are partial aggregates. Quantiles are an aggregate of their own for pairs of at most ``bucket_rows`` distances and are selected
+    by rank for the others (quantiles()); modes come from kernel sums (modes()). So no task holds a pair. found is read several times
+    and should be a written table.
+    """
     own = sampled(found, most).where(F.col("count") >= least)
-    q = F.percentile("distance", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = own.groupBy("gene_A", "gene_B").agg(F.max("count").alias("shape_count"), F.skewness("distance").alias("skewness"), F.kurtosis("distance").alias("kurtosis"), q.alias("_q"))
-    out = out.select("gene_A", "gene_B", "shape_count", "skewness", "kurtosis", F.col("_q")[1].alias("median"), F.col("_q")[0].alias("q25"), F.col("_q")[2].alias("q75"), (F.col("_q")[2] - F.col("_q")[0]).alias("iqr"))
+    some_large = most is None or most > bucket_rows
+    small = F.when(F.col("count") <= bucket_rows, F.col("distance")) if some_large else F.col("distance")
+    q = F.percentile(small, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    out = own.groupBy(*PAIR).agg(F.max("count").alias("shape_count"), F.skewness("distance").alias("skewness"), F.kurtosis("distance").alias("kurtosis"), q.alias("_q"))
+    large = own.where(F.col("count") > bucket_rows)
+    if some_large and not large.isEmpty():
+        selected = quantiles(large.select(*PAIR, "distance"), PAIR, (0.25, 0.5, 0.75), bucket_rows).withColumnRenamed("q", "_own")
+        out = out.join(selected, PAIR, "left").withColumn("_q", F.coalesce("_own", "_q"))
+    out = out.select(*PAIR, "shape_count", "skewness", "kurtosis", F.col("_q")[1].alias("median"), F.col("_q")[0].alias("q25"), F.col("_q")[2].alias("q75"), (F.col("_q")[2] - F.col("_q")[0]).alias("iqr"))
     if not mode:
         return out
-    modes = own.groupBy("gene_A", "gene_B").agg(kde_mode("distance").alias("mode"))
-    return out.join(modes, ["gene_A", "gene_B"]).select("gene_A", "gene_B", "shape_count", "mode", "skewness", "kurtosis", "median", "q25", "q75", "iqr")
+    return out.join(modes(own), PAIR).select(*PAIR, "shape_count", "mode", "skewness", "kurtosis", "median", "q25", "q75", "iqr")
+
+
+def modes(found: DataFrame, points: int = MODE_POINTS, bandwidth: float = MODE_BANDWIDTH) -> DataFrame:
+    """gene_A, gene_B, mode: the point, of an even grid from a pair's least distance to its greatest, where a Gaussian KDE is greatest, the
+    first of equal ones. The least distance where a pair has no spread. found is read twice and should be a written table."""
+    facts = found.groupBy(*PAIR).agg(F.min("distance").alias("_lo"), F.max("distance").alias("_hi"), F.stddev_samp("distance").alias("_s"))
+    step = (F.col("_hi") - F.col("_lo")) / (points - 1)
+    spread = F.col("_s") > 0
+    rows = found.select(*PAIR, "distance").join(facts.where(spread), PAIR)
+    rows = rows.select(*PAIR, ((F.col("distance") - F.col("_lo")) / step).alias("spot"), (bandwidth * F.col("_s") / step).alias("bandwidth"), F.lit(1.0).alias("times"), F.array("_lo", "_hi").alias("facts"))
+
+    def highest(sums: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"mode": [float(np.linspace(ends[0], ends[1], points)[int(sums.argmax())])]})
+
+    flat = facts.where(~F.coalesce(spread, F.lit(False))).select(*PAIR, F.col("_lo").alias("mode"))
+    return kernel_sums(rows, PAIR, points, highest, "mode double").unionByName(flat)
+
+
+def quantiles(found: DataFrame, keys: list[str], shares: tuple[float, ...], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """keys and q, the exact quantiles (interpolated as F.percentile does) of ``distance`` for groups of any size.
+
+    Groups above ``bucket_rows`` are cut into buckets of equal width, counted, and only the buckets that hold a wanted rank are kept, again
+    and again until none is too large or all its distances are equal. Then ranks are counted within buckets. found should be a
+    written table; what each round keeps is written, too.
+    """
+    sizes = found.groupBy(*keys).agg(F.count("*").alias("_n"))
+    places = [F.lit(share) * (F.col("_n") - 1) for share in shares]
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(p), F.ceil(p)) for p in places])))
+    wanted = _kept(sizes.select(*keys, F.explode(ranks).alias("_rank"), F.lit(0).cast("long").alias("_base")), "wanted-ranks")
+    rows = found.select(*keys, "distance", F.lit(0).cast("long").alias("_base"))  # _base: rank of a bucket's first row, its name
+    own = [*keys, "_base"]
+    while True:
+        groups = _kept(rows.groupBy(*own).agg(F.count("*").alias("_n"), F.min("distance").alias("_lo"), F.max("distance").alias("_hi")), "rank-buckets")
+        crowded = (F.col("_n") > bucket_rows) & (F.col("_hi") > F.col("_lo"))
+        if groups.where(crowded).isEmpty():
+            break
+        parts = F.when(crowded, F.ceil(F.col("_n") / bucket_rows)).otherwise(1)
+        cut = F.when(parts == 1, 0).otherwise(F.least(F.floor((F.col("distance") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * parts), parts - 1))
+        dealt = rows.join(groups, own).select(*own, "distance", cut.alias("_bucket"))
+        counts = _before(dealt, own, "_bucket", F.count("*")).withColumn("_from", F.col("_base") + F.col("_before"))
+        inside = (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_from") + F.col("_held"))
+        met = _kept(wanted.join(counts, own).where(inside).select(*own, "_rank", "_bucket", "_from"), "rank-places")
+        rows = _kept(dealt.join(met.select(*own, "_bucket", "_from").distinct(), [*own, "_bucket"]).select(*keys, "distance", F.col("_from").alias("_base")), "rank-rows")
+        wanted = met.select(*keys, "_rank", F.col("_from").alias("_base"))
+    counted = rows.groupBy(*own, "distance").agg(F.count("*").alias("_m"))
+    before = F.coalesce(F.sum("_m").over(Window.partitionBy(*own).orderBy("distance").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = counted.withColumn("_from", F.col("_base") + before)
+    inside = (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_from") + F.col("_m"))
+    values = wanted.join(spans, own).where(inside).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "distance"))).alias("_v"))
+
+    def between(p):
+        low, high = F.col("_v")[F.floor(p)], F.col("_v")[F.ceil(p)]
+        return F.when(low == high, low).otherwise((F.ceil(p) - p) * low + (p - F.floor(p)) * high)
+
+    return values.join(sizes, keys).select(*keys, F.array(*[between(p) for p in places]).alias("q"))
 
 
 def relative(shape: DataFrame, reach: float) -> DataFrame:
@@ -130,11 +209,25 @@ def pair_seed(seed: int, pair: tuple[str, str]) -> int:
     return int.from_bytes(hashlib.sha256("\0".join([str(seed), *pair]).encode()).digest()[:8], "big")
 
 
+def drawn_places(sampled_pairs: DataFrame, most: int, seed: int) -> DataFrame:
+    """gene_1, gene_2, place: for each pair (with total_distance_count) the ``most`` places that a generator seeded by the pair draws, made where the
+    pair's row is. A worker holds the places of one pair."""
+
+    def run(batches):
+        for batch in batches:
+            for gene_1, gene_2, total in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                places = sorted(random.Random(pair_seed(seed, (gene_1, gene_2))).sample(range(total), most))
+                for k in range(0, most, DRAWN):
+                    part = places[k : k + DRAWN]
+                    yield pa.RecordBatch.from_arrays([pa.array([gene_1] * len(part), pa.string()), pa.array([gene_2] * len(part), pa.string()), pa.array(part, pa.int64())], ["gene_1", "gene_2", "place"])
+
+    return sampled_pairs.select("gene_1", "gene_2", "total_distance_count").mapInArrow(run, "gene_1 string, gene_2 string, place long")
+
+
 def export(found: DataFrame, pairs: DataFrame, least: int = 1, most: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(gene_1, gene_2, pair, distance), summary. Of a pair with more than ``most`` distances the places that a generator
-    seeded by the pair draws, places being counted in order of distance."""
+    seeded by the pair draws, places being counted in order of distance. Nothing of a request is listed in the driver."""
     report = summary(found, pairs, least, most)
-    spark = found.sparkSession
     own = found.select(F.col("gene_A").alias("gene_1"), F.col("gene_B").alias("gene_2"), "distance").join(
         report.where("status IN ('complete', 'sampled')").select("gene_1", "gene_2", "pair", "status"), ["gene_1", "gene_2"]
     )
@@ -142,10 +235,6 @@ def export(found: DataFrame, pairs: DataFrame, least: int = 1, most: int | None
     whole = own.where("status = 'complete'").select(columns)
     if most is None:
         return whole, report
-    drawn = []
-    for r in report.where("status = 'sampled'").collect():
-        places = random.Random(pair_seed(seed, (r["gene_1"], r["gene_2"]))).sample(range(r["total_distance_count"]), most)
-        drawn.append((r["gene_1"], r["gene_2"], sorted(places)))
-    places = spark.createDataFrame(drawn, "gene_1 string, gene_2 string, places array<long>").select("gene_1", "gene_2", F.explode("places").alias("place"))
+    places = drawn_places(report.where("status = 'sampled'"), most, seed)
     ranked = placed(own.where("status = 'sampled'"), ["gene_1", "gene_2", "pair"])
     return whole.unionByName(ranked.join(places, ["gene_1", "gene_2", "place"]).select(columns)), report

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.kernels import kernel_sums
 from ..functions.stats import random_density
 
 RANDOM = "Random expectation"
@@ -24,20 +25,20 @@ def distance_curves(found: DataFrame, reach: float, points: int = 600) -> DataFr
     """pair, distance, density: for each pair (columns pair, distance) a Gaussian KDE on an even grid from 0 to reach,
     bandwidth by Scott's rule, scaled to area 1 on the grid; and the density of random points in a disk.
 
-    Pairs with fewer than two different distances have no curve.
+    The sums are those of kernels.kernel_sums: distances are added up by step of the grid before anything moves, and a group is a
+    pair's steps. Pairs with fewer than two different distances have no curve. found is read twice and should be a written table.
     """
     own = found.where((F.col("distance") >= 0) & (F.col("distance") <= reach))
     facts = own.groupBy("pair").agg(F.count("*").alias("n"), F.stddev_samp("distance").alias("s")).where("n > 1 AND s > 0")
-    width = F.col("s") * F.pow(F.col("n"), F.lit(-0.2))
-    spark = found.sparkSession
     step = reach / (points - 1)
-    grid = spark.range(points).select((F.col("id") * step).alias("at"))
-    counted = own.groupBy("pair", "distance").agg(F.count("*").alias("m")).join(facts.select("pair", "n", width.alias("w")), "pair")
-    # The grid has a fixed number of points, and sums are made before anything moves.
-    bell = F.col("m") * F.exp(-0.5 * F.pow((F.col("at") - F.col("distance")) / F.col("w"), 2)) / (F.col("n") * F.col("w") * math.sqrt(2 * math.pi))
-    density = counted.crossJoin(F.broadcast(grid)).groupBy("pair", "at").agg(F.sum(bell).alias("density"))
-    after = F.lead("density").over(Window.partitionBy("pair").orderBy("at"))
-    area = F.sum("_part").over(Window.partitionBy("pair"))
-    scaled = density.withColumn("_part", (F.col("density") + after) / 2 * step).withColumn("density", F.col("density") / area)
-    curves = scaled.select("pair", F.col("at").alias("distance"), "density")
+    bandwidth = (F.col("s") * F.pow(F.col("n"), F.lit(-0.2)) / step).alias("bandwidth")
+    none = F.array().cast("array<double>").alias("facts")
+    rows = own.join(facts, "pair").select("pair", F.least(F.col("distance") / step, F.lit(points - 1.0)).alias("spot"), bandwidth, F.lit(1.0).alias("times"), none)
+
+    def scaled(sums: np.ndarray, _) -> pd.DataFrame:
+        area = (sums[:-1] + sums[1:]).sum() / 2 * step
+        return pd.DataFrame({"distance": np.arange(points) * step, "density": sums / area})
+
+    curves = kernel_sums(rows, ["pair"], points, scaled, "distance double, density double")
+    grid = found.sparkSession.range(points).select((F.col("id") * step).alias("at"))
     return curves.union(grid.select(F.lit(RANDOM).alias("pair"), F.col("at").alias("distance"), random_density(F.col("at"), reach).alias("density")))

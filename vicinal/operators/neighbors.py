@@ -4,6 +4,11 @@ Points lie in square buckets of a cell (and z layer); a centre is copied to ever
 bucket keys find every pair in reach and the distance is a residual condition. Wide buckets make few copies and many
 comparisons, narrow ones the reverse; their width follows from the density of the points. Equal points are counted once with their number first, which keeps the row-identity and value-identity counts in one plan. The grouping by point
 keeps the join's keys, so it needs no shuffle of its own.
+
+A bucket that holds more than CROWD points would be one task's work, so it is cut in two along each axis, and its parts again, at most
+DEEPEST times; the level is part of the key. Points go to the one part that they lie in, centres to all that they reach. The parts to cut are
+counted first, and only where some cell and layer holds more than CROWD points at all; they are a broadcast of at most MOST_CUTS
+rows, the most crowded ones first (the part that holds another always before it).
 """
 
 from __future__ import annotations
@@ -15,24 +20,70 @@ from pyspark.sql import functions as F
 SLACK = 1e-9
 #: Widths of buckets in units of the reach, and what a copied row costs in comparisons (measured on the test tables).
 WIDTHS, COPY = (1, 2, 4, 8, 16, 32), 100.0
+#: Points in a bucket before it is cut, cuts at most one in the other, cuts in all.
+CROWD, DEEPEST, MOST_CUTS = 20_000, 8, 50_000
+
+
+def _layer(z_mode: str) -> list[str]:
+    return ["cell"] if z_mode == "continuous" else ["cell", "z"]
 
 
 def bucket_width(points: DataFrame, reach: float, z_mode: str = "discrete") -> float:
+    """The width of measured()."""
+    return measured(points, reach, z_mode)[0]
+
+
+def measured(points: DataFrame, reach: float, z_mode: str = "discrete") -> tuple[float, bool]:
     """The cheapest width: (1 + 2 / m) ** d copies of a centre against (m + 2) ** d reaches' worth of points to compare
-    it with. One aggregate over the points tells how many lie in a square (or cube) of the reach."""
-    if reach <= 0:
-        return 1.0
-    axes = _axes(z_mode)
-    keys = ["cell"] if z_mode == "continuous" else ["cell", "z"]
+    it with; and whether some cell and layer holds more than CROWD points. One aggregate over the points tells both."""
+    axes, keys = _axes(z_mode), _layer(z_mode)
     spans = points.groupBy(*keys).agg(F.count("*").alias("n"), *[(F.max(a) - F.min(a)).alias(a) for a in axes])
     room = F.lit(1.0)
     for a in axes:
         room = room * F.greatest(F.col(a), F.lit(reach))
     # Weighted by points, so that a few crowded cells count as what they cost.
-    row = spans.agg((F.sum(F.col("n") * F.col("n") / room) / F.sum("n")).alias("density")).first()
+    row = spans.agg((F.sum(F.col("n") * F.col("n") / room) / F.sum("n")).alias("density"), F.max("n").alias("most")).first()
     held = (row["density"] or 0.0) * reach ** len(axes)
     cost = lambda m: COPY * (1 + 2 / m) ** len(axes) + held * (m + 2) ** len(axes)
-    return reach * min(WIDTHS, key=cost)
+    return (reach * min(WIDTHS, key=cost) if reach > 0 else 1.0), (row["most"] or 0) > CROWD
+
+
+def crowded_buckets(points: DataFrame, width: float, z_mode: str = "discrete") -> list[tuple]:
+    """(level, cell, [z,] place on each axis) of every bucket to cut: at each level those with more than CROWD points."""
+    axes, layer = _axes(z_mode), _layer(z_mode)
+
+    def over(own: DataFrame, level: Column) -> DataFrame:
+        side = F.get(F.array(*[F.lit(width * 0.5**k) for k in range(DEEPEST)]), level)
+        counts = own.groupBy(level.alias("level"), *layer, *[F.floor(F.col(a) / side).alias(f"g{a}") for a in axes]).agg(F.count("*").alias("n"))
+        return counts.where(F.col("n") > CROWD).orderBy(F.desc("n"), "level", *layer, *[f"g{a}" for a in axes]).limit(MOST_CUTS)
+
+    whole = over(points, F.lit(0)).collect()
+    if not whole:
+        return []
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    names = [*layer, *[f"g{a}" for a in axes]]
+    listed = points.sparkSession.createDataFrame([tuple(r[c] for c in names) for r in whole], ", ".join(f"{c} {kinds.get(c, 'long')}" for c in names))
+    inside = points.select(*layer, *axes, *[_bucket(a, width).alias(f"g{a}") for a in axes]).join(F.broadcast(listed), names, "left_semi").select(*layer, *axes)
+    deeper = over(inside.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(DEEPEST - 1)))), F.col("level")).collect()
+    every = sorted([*whole, *deeper], key=lambda r: (-r["n"], r["level"]))[:MOST_CUTS]
+    return [(r["level"], *[r[c] for c in names]) for r in every]
+
+
+def _at_level(rows: DataFrame, cuts: list[tuple], keys: list[str], finer) -> DataFrame:
+    """rows (keys among them, of level 0) with ``level``, moved to parts wherever their bucket is cut. finer(level) gives for each axis's key the keys
+    in the parts of the bucket that a row belongs to, as an array."""
+    kinds = dict(rows.dtypes)
+    rows = rows.withColumn("level", F.lit(0))
+    for level in range(DEEPEST):
+        own = [c[1:] for c in cuts if c[0] == level]
+        if not own:
+            break
+        cut = rows.sparkSession.createDataFrame(own, ", ".join(f"{k} {kinds[k]}" for k in keys)).withColumn("level", F.lit(level)).withColumn("_cut", F.lit(True))
+        rows = rows.join(F.broadcast(cut), [*keys, "level"], "left")
+        for key, parts in finer(level + 1).items():
+            rows = rows.withColumn(key, F.explode(F.when(F.col("_cut"), parts).otherwise(F.array(key))))
+        rows = rows.withColumn("level", F.col("level") + F.when(F.col("_cut"), 1).otherwise(0)).drop("_cut")
+    return rows
 
 
 def _bucket(axis: str, width: float) -> Column:
@@ -55,21 +106,40 @@ def limit_of(reach: float, metric: str) -> float:
     return reach if metric == "grid" else reach * reach
 
 
-def matched(points: DataFrame, centres: DataFrame, reach: float, metric: str = "radius", z_mode: str = "discrete", keep: tuple[str, ...] = (), keep_centre: tuple[str, ...] = (), width: float | None = None) -> DataFrame:
-    """All (point, centre) pairs of a cell (and z layer, if z is discrete) in reach, with ``near``: their measure.
-
-    Columns: cell, z, bucket keys, x, y, geneID and keep of the point; A and keep_centre of the centre.
-    """
-    axes, width, far = _axes(z_mode), width or bucket_width(points, reach, z_mode), reach * (1 + SLACK)
-    keys = ["cell", *(f"g{a}" for a in axes)] + ([] if z_mode == "continuous" else ["z"])
+def keyed(points: DataFrame, centres: DataFrame, reach: float, z_mode: str = "discrete", keep: tuple[str, ...] = (), keep_centre: tuple[str, ...] = (), width: float | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Points and centres with the keys on which those in reach of each other meet, a point once, a centre in every bucket that it reaches."""
+    axes, far = _axes(z_mode), reach * (1 + SLACK)
+    crowded = True
+    if not width:
+        width, crowded = measured(points, reach, z_mode)
+    cuts = crowded_buckets(points, width, z_mode) if crowded else []
+    named = [*_layer(z_mode), *(f"g{a}" for a in axes)]
     own = points.select("cell", "x", "y", "z", "geneID", *keep, *[_bucket(a, width).alias(f"g{a}") for a in axes])
     other = centres.select("cell", "z", *[F.col(a).alias(f"a_{a}") for a in axes], F.col("geneID").alias("A"), *keep_centre)
     for a in axes:
         other = other.withColumn(f"g{a}", F.explode(F.sequence(F.floor((F.col(f"a_{a}") - far) / width), F.floor((F.col(f"a_{a}") + far) / width))))
     if z_mode == "continuous":
         other = other.drop("z")
+    if not cuts:
+        return own, other, named
+    # Halving the width is exact, so the part of a bucket is one of two along each axis whatever the rounding.
+    side = lambda level: width * 0.5**level
+    reached = lambda a, level: F.sequence(
+        F.greatest(2 * F.col(f"g{a}"), F.floor((F.col(f"a_{a}") - far) / side(level))), F.least(2 * F.col(f"g{a}") + 1, F.floor((F.col(f"a_{a}") + far) / side(level)))
+    )
+    own = _at_level(own, cuts, named, lambda level: {f"g{a}": F.array(_bucket(a, side(level))) for a in axes})
+    other = _at_level(other, cuts, named, lambda level: {f"g{a}": reached(a, level) for a in axes})
+    return own, other, [*named, "level"]
+
+
+def matched(points: DataFrame, centres: DataFrame, reach: float, metric: str = "radius", z_mode: str = "discrete", keep: tuple[str, ...] = (), keep_centre: tuple[str, ...] = (), width: float | None = None) -> DataFrame:
+    """All (point, centre) pairs of a cell (and z layer, if z is discrete) in reach, with ``near``: their measure.
+
+    Columns: cell, z, bucket keys, x, y, geneID and keep of the point; A and keep_centre of the centre.
+    """
+    own, other, keys = keyed(points, centres, reach, z_mode, keep, keep_centre, width)
     joined = own.join(other, keys).withColumn("near", measure(metric, z_mode))
-    return joined.where(F.col("near") <= limit_of(reach, metric)).drop(*[f"a_{a}" for a in axes])
+    return joined.where(F.col("near") <= limit_of(reach, metric)).drop(*[f"a_{a}" for a in _axes(z_mode)])
 
 
 def near_genes(points: DataFrame, reach: float, metric: str = "radius", z_mode: str = "discrete", centres: DataFrame | None = None, width: float | None = None) -> DataFrame:

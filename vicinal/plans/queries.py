@@ -6,7 +6,7 @@ supplier as cell.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
@@ -17,6 +17,8 @@ from ..sources.transcripts import missing_genes, pair_table
 from . import analysis
 
 R, R_MORE, GRID = 2.0, (1.0, 2.0, 5.0), 1
+#: Above the least q of the given tables, far above the production threshold.
+TRUE_Q = 0.97
 #: Without cells the points lie so close that a radius of 2 would reach nearly all of them.
 R_FLAT = 0.05
 
@@ -211,16 +213,22 @@ def eligible_pairs(spark, d):
 
 def final_all(spark, d):
     """The rows of the final result and their order, one direction of each pair, on q that both engines have exactly."""
-    final = results.ordered(analysis.final_result(_exact_results(spark, d), RunConfig(r_check=R, filter_threshold=0.005)))
-    return _rounded(final.coalesce(1).withColumn("place", F.monotonically_increasing_id()), 9)
+    return _rounded(results.numbered(analysis.final_result(_exact_results(spark, d), RunConfig(r_check=R, filter_threshold=0.005))), 9)
+
+
+def final_true_q(spark, d):
+    """The final result on the tests' own q, at a threshold that the given tables reach."""
+    config = RunConfig(r_check=R, filter_threshold=TRUE_Q, pair_keep="first")
+    raw = sinks.staged(analysis.raw_result(points(spark, d), config), sinks.shared_path(spark, "raw"))
+    return _logged(analysis.final_result(raw, config))
 
 
 def final_shapes(spark, d):
-    """The final result of a distribution run with its shape columns (but the mode, which SQL can't say) on exact q."""
+    """The final result of a distribution run with its shape columns on exact q."""
     config = RunConfig(r_check=R, r_dist=5.0, distribution_analysis=True, filter_threshold=0.005, around_count_threshold=20, shape_qvalue_threshold=0.004)
     raw = sinks.staged(_exact_results(spark, d), sinks.shared_path(spark, "raw"))
     out = analysis.results_of(points(spark, d), raw, config, lambda table, name: sinks.staged(table, sinks.shared_path(spark, name)))
-    return _rounded(out["final"].drop("mode"), 6)
+    return _rounded(out["final"], 6)
 
 
 def final_rows(spark, d):
@@ -249,6 +257,11 @@ def _found(spark, d, pairs=None):
     return distances.distances(points(spark, d), 5.0, pairs)
 
 
+def _found_once(spark, d):
+    """All distances, written, for what reads them several times."""
+    return sinks.staged(_found(spark, d), sinks.shared_path(spark, "distances"))
+
+
 def distances_pair(spark, d):
     pairs = _requested(spark)
     return _rounded(_found(spark, d, pairs.select(F.col("gene_1").alias("gene_A"), F.col("gene_2").alias("gene_B"))), 6)
@@ -265,21 +278,21 @@ def distance_export(spark, d):
 
 
 def shape_stats(spark, d):
-    return _rounded(distances.shapes(_found(spark, d), 20, None, mode=False), 6)
+    return _rounded(distances.shapes(_found_once(spark, d), 20, None, mode=False), 6)
 
 
 def shape_relative(spark, d):
-    return _rounded(distances.relative(distances.shapes(_found(spark, d), 20, None, mode=False), 5.0), 6)
+    return _rounded(distances.relative(distances.shapes(_found_once(spark, d), 20, None, mode=False), 5.0), 6)
 
 
 def shape_join(spark, d):
-    shape = distances.directed(distances.shapes(_found(spark, d), 60, None, mode=False))
+    shape = distances.directed(distances.shapes(_found_once(spark, d), 60, None, mode=False))
     return _rounded(distances.with_shapes(_exact_results(spark, d).select("gene_A", "gene_B", "gene_B_around"), shape), 6)
 
 
 def kde_mode(spark, d):
     """Modes over all distances of a pair."""
-    return distances.shapes(_found(spark, d), 20, None).select("gene_A", "gene_B", "mode")
+    return _rounded(distances.modes(distances.sampled(_found_once(spark, d), None).where(F.col("count") >= 20)), 6)
 
 
 def control_baseline(spark, d):
@@ -307,25 +320,31 @@ def unsegmented_grid(spark, d):
 
 
 def random_reference(spark, d):
-    r = spark.range(1, 101).select((F.col("id") / 100.0).alias("distance"))
-    return r.select("distance", stats.random_density(F.col("distance"), 1.0).alias("density"), stats.random_share(F.col("distance"), 1.0).alias("share"))
+    """Of all distances the share that comes before each of a hundred radii, beside density and share of random points in a disk."""
+    found = _found(spark, d).groupBy(F.least(F.floor(F.col("distance") * 20), F.lit(99)).alias("step")).agg(F.count("*").alias("n"))
+    at = spark.range(100).select(F.col("id").alias("step"), ((F.col("id") + 1) / 20.0).alias("distance"))
+    counts = at.join(found, "step", "left").withColumn("n", F.coalesce("n", F.lit(0)))  # a hundred rows
+    up_to = F.sum("n").over(Window.orderBy("step")) / F.sum("n").over(Window.partitionBy())
+    density, share = stats.random_density(F.col("distance"), 5.0), stats.random_share(F.col("distance"), 5.0)
+    return _rounded(counts.select("distance", density.alias("density"), share.alias("share"), up_to.alias("observed_share")), 9)
 
 
 def tissue_map(spark, d):
-    pairs = _requested(spark).where("ordinal = 0")
-    return _rounded(figures.tissue_map(events.cell_events(points(spark, d), pairs, R), flip_x=True), 6)
+    return _rounded(figures.tissue_map(events.cell_events(points(spark, d), _requested(spark), R), flip_x=True), 6)
+
+
+def _paired(found: DataFrame) -> DataFrame:
+    return found.select(F.concat_ws("_", "gene_A", "gene_B").alias("pair"), "distance")
 
 
 def distance_curves(spark, d):
-    """The slice of distance_curves_all that the SQL covers, on a coarser grid."""
-    found = _found(spark, d).where("gene_A < 'cold' AND gene_B < 'cold'").select(F.concat_ws("_", "gene_A", "gene_B").alias("pair"), "distance")
-    return _rounded(figures.distance_curves(found, 5.0, 60), 6)
+    """Curves of every pair on a coarse grid."""
+    return _rounded(figures.distance_curves(_paired(_found_once(spark, d)), 5.0, 60), 6)
 
 
 def distance_curves_all(spark, d):
     """Curves of every pair on the default grid."""
-    found = _found(spark, d).select(F.concat_ws("_", "gene_A", "gene_B").alias("pair"), "distance")
-    return _rounded(figures.distance_curves(found, 5.0), 6)
+    return _rounded(figures.distance_curves(_paired(_found_once(spark, d)), 5.0), 6)
 
 
 def queries() -> dict:
@@ -333,7 +352,7 @@ def queries() -> dict:
         gene_counts, gene_filter, slice_total, slice_total_pixels, pixel_distinct, cell_gene_counts, cell_totals, around_discrete, around_ninegrid,
         pair_k_discrete, pair_k_continuous, pair_k_ninegrid, pair_k_valuedistinct, pair_k_rowidentity, pair_bg_all, pair_bg_cooccurrence,
         pair_bg_cooccurrence_ninegrid, pair_bg_cooccurrence_continuous, hyper_all, hyper_cooccurrence, hyper_unsegmented, scan_csv, raw_round_trip, bh_bonferroni, ratios, dedup_first, dedup_last, bidirectional_retain,
-        significant_last, eligible_pairs, final_all, final_shapes, final_rows, cell_centers, cell_events_discrete, cell_events_continuous, missing_requested, distances_pair,
+        significant_last, eligible_pairs, final_all, final_shapes, final_rows, final_true_q, cell_centers, cell_events_discrete, cell_events_continuous, missing_requested, distances_pair,
         distance_summary, distance_export, shape_stats, shape_relative, shape_join, kde_mode, control_baseline, multi_radius, unsegmented_radius,
         unsegmented_grid, random_reference, tissue_map, distance_curves, distance_curves_all,
     ]
@@ -395,18 +414,27 @@ _RATIOS = """least(gene_A, gene_B) || '_' || greatest(gene_A, gene_B) AS pair,
 _LOGS = ", ".join(f"CASE WHEN {c} > 0 THEN round(log10({c}), 6) + 0.0 END AS {c}" for c in ("pvalue", "qvalue_BH", "qvalue_BO"))
 
 
-def _hyper(bg: str) -> str:
+def _tested(bg: str) -> str:
+    """res: every pair tested, unrounded."""
     term = f"exp({_LOGC.format('gene_B_slice', 'j')} + {_LOGC.format('(gene_slice - gene_B_slice)', '(gene_around - j)')} - {_LOGC.format('gene_slice', 'gene_around')})"
     # The shorter of the two tails is summed.
-    tests = f"""ok AS (SELECT * FROM bg WHERE gene_A_N <= 100 * gene_B_N AND gene_B_N <= 100 * gene_A_N),
+    return f"""{bg}, ok AS (SELECT * FROM bg WHERE gene_A_N <= 100 * gene_B_N AND gene_B_N <= 100 * gene_A_N),
 tests AS (SELECT *, CASE WHEN gene_B_around > least(gene_B_slice, gene_around) THEN 0.0
   WHEN CAST(gene_B_around AS DOUBLE) * gene_slice > CAST(gene_around AS DOUBLE) * gene_B_slice
   THEN least(1.0, list_sum([{term} FOR j IN range(gene_B_around, least(gene_B_slice, gene_around) + 1)]))
-  ELSE 1.0 - coalesce(list_sum([{term} FOR j IN range(greatest(0, gene_around + gene_B_slice - gene_slice), gene_B_around)]), 0.0) END AS pvalue FROM ok)"""
-    return f"""WITH {bg}, {tests}, {_ADJUST}
-SELECT gene_A, gene_B, {_LOGS}, gene_B_around, gene_B_slice,
-  gene_around, gene_slice, gene_A_N, gene_B_N, pair, round(enrichment_ratio, 6) AS enrichment_ratio, round(support_ratio, 6) AS support_ratio
-FROM (SELECT *, {_RATIOS} FROM adj)"""
+  ELSE 1.0 - coalesce(list_sum([{term} FOR j IN range(greatest(0, gene_around + gene_B_slice - gene_slice), gene_B_around)]), 0.0) END AS pvalue FROM ok),
+{_ADJUST}, res AS (SELECT *, {_RATIOS} FROM adj)"""
+
+
+_TESTED = f"""gene_A, gene_B, {_LOGS}, gene_B_around, gene_B_slice,
+  gene_around, gene_slice, gene_A_N, gene_B_N, pair, round(enrichment_ratio, 6) AS enrichment_ratio, round(support_ratio, 6) AS support_ratio"""
+
+
+_TESTED_PLAIN = ", ".join(f"round({c}, 9) AS {c}" if c in ("pvalue", "qvalue_BH", "qvalue_BO", "enrichment_ratio", "support_ratio") else c for c in results.ORDER)
+
+
+def _hyper(bg: str) -> str:
+    return f"WITH {_tested(bg)} SELECT {_TESTED} FROM res"
 
 
 _EXACT = f"""{_BG_ALL}, res AS (SELECT *, q AS pvalue, q AS qvalue_BH, q AS qvalue_BO, {_RATIOS}
@@ -436,6 +464,11 @@ LEFT JOIN e ON e.c = ctr.c AND e.gene_1 = w.gene_1 AND e.gene_2 = w.gene_2"""
 
 
 _DIST = f"""{_PTS}, dist AS (SELECT a.g AS gene_A, p.g AS gene_B, sqrt({_D2}) AS d FROM pts a JOIN pts p ON a.c = p.c AND a.z = p.z AND a.g < p.g AND {_D2} <= 25.0)"""
+#: Of each group of own (pair, d) with n and s: lo, hi and the density of its KDE at 1000 points from lo to hi, up to a factor.
+_MODES = """ends AS (SELECT gene_A, gene_B, min(d) AS lo, max(d) AS hi, stddev_samp(d) AS s FROM dist GROUP BY ALL HAVING count(*) >= 20),
+kde AS (SELECT gene_A, gene_B, i, lo + i * ((hi - lo) / 999) AS spot, sum(exp(-0.5 * pow((lo + i * ((hi - lo) / 999) - d) / (0.05 * s), 2))) AS y
+  FROM dist JOIN ends USING (gene_A, gene_B), range(1000) t(i) GROUP BY ALL),
+modes AS (SELECT gene_A, gene_B, spot AS mode FROM kde QUALIFY row_number() OVER (PARTITION BY gene_A, gene_B ORDER BY y DESC, i) = 1)"""
 _SHAPE = f"""{_DIST}, mom AS (SELECT gene_A, gene_B, count(*) AS n, avg(d) AS mu, quantile_cont(d, 0.25) AS q25, quantile_cont(d, 0.5) AS med, quantile_cont(d, 0.75) AS q75 FROM dist GROUP BY ALL),
 cen AS (SELECT gene_A, gene_B, avg(pow(d - mu, 2)) AS m2, avg(pow(d - mu, 3)) AS m3, avg(pow(d - mu, 4)) AS m4 FROM dist JOIN mom USING (gene_A, gene_B) GROUP BY ALL),
 shape AS (SELECT gene_A, gene_B, n AS shape_count, m3 / pow(m2, 1.5) AS skewness, m4 / (m2 * m2) - 3 AS kurtosis, med AS median, q25, q75, q75 - q25 AS iqr
@@ -474,6 +507,16 @@ bg AS (SELECT kk.gene_A, kk.gene_B, k AS gene_B_around, gb.n AS gene_B_slice, nn
   FROM kk JOIN nn ON nn.ag = gene_A JOIN gc ga ON ga.g = gene_A JOIN gc gb ON gb.g = gene_B)"""
 
 
+def _curves(points: int) -> str:
+    return f"""WITH {_DIST}, own AS (SELECT gene_A || '_' || gene_B AS pair, d FROM dist),
+f AS (SELECT pair, count(*) AS n, stddev_samp(d) * pow(count(*), -0.2) AS w FROM own GROUP BY pair HAVING count(*) > 1 AND stddev_samp(d) > 0),
+g AS (SELECT i, i * (5.0::DOUBLE / {points - 1}) AS spot FROM range({points}) t(i)),
+k AS (SELECT pair, i, spot, sum(exp(-0.5 * pow((spot - d) / w, 2)) / (n * w * sqrt(2 * pi()))) AS y FROM own JOIN f USING (pair) CROSS JOIN g GROUP BY ALL),
+a AS (SELECT *, (y + lead(y) OVER (PARTITION BY pair ORDER BY i)) / 2 * (5.0::DOUBLE / {points - 1}) AS part FROM k)
+SELECT pair, round(spot, 6) AS distance, round(y / sum(part) OVER (PARTITION BY pair), 6) AS density FROM a
+UNION ALL SELECT 'Random expectation', round(spot, 6), round(2 * spot / 25.0::DOUBLE, 6) FROM g"""
+
+
 def oracle_sql() -> dict[str, str]:
     pts = f"WITH {_PTS} "
     return {
@@ -482,9 +525,13 @@ def oracle_sql() -> dict[str, str]:
         "scan_csv": pts + 'SELECT g AS "geneID", c AS cell, count(*) AS n, round(sum(x), 3) AS sum_x, round(sum(y), 3) AS sum_y, round(sum(z), 3) AS sum_z FROM pts GROUP BY ALL',
         "raw_round_trip": f"WITH {_EXACT} SELECT {_RES} FROM res",
         "final_all": f"WITH {_EXACT}, {_dedup('last')} SELECT {_RES}, row_number() OVER (ORDER BY qvalue_BH, enrichment_ratio DESC, gene_A, gene_B) - 1 AS place FROM one WHERE qvalue_BH < 0.005",
-        "final_shapes": f"""WITH {_EXACT}, {_dedup('last')}, {_SHAPE.removeprefix(_PTS + ", ")}, both_ways AS (SELECT * FROM shape UNION ALL SELECT gene_B AS gene_A, gene_A AS gene_B, * EXCLUDE (gene_A, gene_B) FROM shape),
+        "final_rows": f"WITH {_tested(_BG_ALL)}, {_dedup('last')} SELECT {_TESTED_PLAIN} FROM one WHERE qvalue_BH < 1e-5",
+        "final_true_q": f"WITH {_tested(_BG_ALL)}, {_dedup('first')} SELECT {_TESTED} FROM one WHERE qvalue_BH < {TRUE_Q}",
+        "kde_mode": f"WITH {_DIST}, {_MODES} SELECT gene_A, gene_B, round(mode, 6) AS mode FROM modes",
+        "final_shapes": f"""WITH {_EXACT}, {_dedup('last')}, {_SHAPE.removeprefix(_PTS + ", ")}, {_MODES}, with_mode AS (SELECT * FROM shape JOIN modes USING (gene_A, gene_B)),
+both_ways AS (SELECT * FROM with_mode UNION ALL SELECT gene_B AS gene_A, gene_A AS gene_B, * EXCLUDE (gene_A, gene_B) FROM with_mode),
 mine AS (SELECT gene_A, gene_B, both_ways.* EXCLUDE (gene_A, gene_B) FROM both_ways JOIN res USING (gene_A, gene_B) WHERE shape_count >= 20 AND qvalue_BH < 0.004)
-SELECT {_RES.replace(", 9)", ", 6)")}, {_SHAPE_COLS}, round(1 / (1 + exp(skewness)), 6) AS skewness_adjusted, round(skewness + 0.566, 6) AS skewness_relative, round(kurtosis + 0.6, 6) AS kurtosis_relative,
+SELECT {_RES.replace(", 9)", ", 6)")}, {_SHAPE_COLS}, round(mode, 6) AS mode, round(1 / (1 + exp(skewness)), 6) AS skewness_adjusted, round(skewness + 0.566, 6) AS skewness_relative, round(kurtosis + 0.6, 6) AS kurtosis_relative,
   round(median - 0.707 * 5.0, 6) AS median_relative, round(q25 - 0.5 * 5.0, 6) AS q25_relative, round(q75 - 0.866 * 5.0, 6) AS q75_relative
 FROM one LEFT JOIN mine USING (gene_A, gene_B) WHERE qvalue_BH < 0.005""",
         "gene_counts": pts + 'SELECT g AS "geneID", count(*) AS n FROM pts GROUP BY g',
@@ -531,15 +578,11 @@ SELECT res.gene_A, res.gene_B, gene_B_around, {_SHAPE_COLS} FROM res LEFT JOIN b
         "multi_radius": " UNION ALL ".join(f"SELECT *, CAST({r} AS DOUBLE) AS r_check FROM (WITH {_PTS}, {_near('pts', r)} {_k('m')})" for r in R_MORE),
         "unsegmented_radius": f"WITH {_tiled('pix', R, 'radius')} SELECT ag AS gene_A, g AS gene_B, count(*) AS k FROM near WHERE ag <> g GROUP BY ALL",
         "unsegmented_grid": f"WITH {_tiled('pix', GRID, 'grid')} SELECT ag AS gene_A, count(*) AS n FROM (SELECT DISTINCT i, j, x, y, ag FROM near) GROUP BY ag",
-        "tissue_map": f"""WITH e AS ({_events(False)}), one AS (SELECT * FROM e WHERE gene_A = 'blue rod'),
-exact AS (SELECT c, median(x) AS cx, median(y) AS cy FROM ({pts} SELECT * FROM pts) GROUP BY c)
-SELECT one.*, round(-cx - (SELECT min(-cx) FROM exact), 6) AS x_relative, round(cy - (SELECT min(cy) FROM exact), 6) AS y_relative FROM one JOIN exact ON c = cell""",
-        "distance_curves": f"""WITH {_DIST}, own AS (SELECT gene_A || '_' || gene_B AS pair, d FROM dist WHERE gene_A < 'cold' AND gene_B < 'cold'),
-f AS (SELECT pair, count(*) AS n, stddev_samp(d) * pow(count(*), -0.2) AS w FROM own GROUP BY pair HAVING count(*) > 1 AND stddev_samp(d) > 0),
-g AS (SELECT i, i * (5.0::DOUBLE / 59) AS spot FROM range(60) t(i)),
-k AS (SELECT pair, i, spot, sum(exp(-0.5 * pow((spot - d) / w, 2)) / (n * w * sqrt(2 * pi()))) AS y FROM own JOIN f USING (pair) CROSS JOIN g GROUP BY ALL),
-a AS (SELECT *, (y + lead(y) OVER (PARTITION BY pair ORDER BY i)) / 2 * (5.0::DOUBLE / 59) AS part FROM k)
-SELECT pair, round(spot, 6) AS distance, round(y / sum(part) OVER (PARTITION BY pair), 6) AS density FROM a
-UNION ALL SELECT 'Random expectation', round(spot, 6), round(2 * spot / 25.0::DOUBLE, 6) FROM g""",
-        "random_reference": "SELECT i / 100.0::DOUBLE AS distance, 2 * (i / 100.0::DOUBLE) / (1.0 * 1.0) AS density, (i / 100.0::DOUBLE) * (i / 100.0::DOUBLE) / (1.0 * 1.0) AS share FROM range(1, 101) t(i)",
+        "tissue_map": f"""WITH e AS ({_events(False)}), exact AS (SELECT c, median(x) AS cx, median(y) AS cy FROM ({pts} SELECT * FROM pts) GROUP BY c)
+SELECT e.*, round(-cx - (SELECT min(-cx) FROM exact), 6) AS x_relative, round(cy - (SELECT min(cy) FROM exact), 6) AS y_relative FROM e JOIN exact ON c = cell""",
+        "distance_curves": _curves(60),
+        "distance_curves_all": _curves(600),
+        "random_reference": f"""WITH {_DIST}, s AS (SELECT least(floor(d * 20), 99) AS step, count(*) AS n FROM dist GROUP BY ALL), r AS (SELECT i, (i + 1) / 20.0::DOUBLE AS rad FROM range(100) t(i))
+SELECT round(rad, 9) AS distance, round(2 * rad / 25.0::DOUBLE, 9) AS density, round(rad * rad / 25.0::DOUBLE, 9) AS share,
+  round(CAST((SELECT sum(n) FROM s WHERE step <= i) AS DOUBLE) / (SELECT sum(n) FROM s), 9) AS observed_share FROM r""",
     }

@@ -33,6 +33,13 @@ def write_dataset(df: DataFrame, path: str, kind: str = "csv", compression: str
     writer.option("header", True).csv(path) if kind == "csv" else writer.parquet(path)
 
 
+def write_numbered(df: DataFrame, path: str) -> None:
+    """A table with ``place`` (from 0, without gaps) as CSV files that follow each other in order, ROWS_A_FILE rows in each but the last."""
+    files = -(-df.count() // ROWS_A_FILE)
+    dealt = df.repartitionById(max(1, files), F.floor(F.col("place") / ROWS_A_FILE).cast("int")).sortWithinPartitions("place")
+    dealt.drop("place").write.option("header", True).mode("overwrite").csv(path)
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """An unused path in the folder that driver and executors share (spark.checkpoint.dir), or, on one machine alone, in one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
