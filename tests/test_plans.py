@@ -68,7 +68,7 @@ def test_samples_in_buckets(spark):
     found = spark.createDataFrame(rows, "gene_A string, gene_B string, distance double")
     keys = ["gene_A", "gene_B"]
     ranked = found.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("distance")))
-    chosen = ranked.withColumn("_in", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*keys, "_rank"), "_rank"))).where("_in <= 50")
+    chosen = ranked.withColumn("_in", F.row_number().over(Window.partitionBy(*keys).orderBy(distances.spot(keys, "_rank"), "_rank"))).where("_in <= 50")
     want = sorted(tuple(r) for r in chosen.select(*keys, "distance").collect())
     for bucket_rows in (7, 20_000):
         got = distances.sampled(found, 50, bucket_rows)

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import argparse
-import uuid
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import RunConfig, check_radii, with_radius
+from .functions import stats
 from .operators import controls, distances, events, results
 from .plans import analysis
 from .sources import sinks, transcripts
+from .sources.stages import Stages, fingerprint
 from .workers import provide
 
 
@@ -40,35 +42,31 @@ def _config(args, r_check) -> RunConfig:
 def run(args, spark: SparkSession) -> list[str]:
     """The analysis for each radius; returns the paths written. Files for one of several radii have it in their names.
 
-    Raw results are written once, with one neighbour search for all radii, beside the target; all else reads them there.
+    Raw results are written once, with one neighbour search for all radii, beside the target; all else reads them there. These
+    stages stay if the run fails or its driver is lost, and the same run, started again on the same input, goes on after the last whole one.
     """
     config = _config(args, tuple(args.r_check) if args.r_check else None)
     points = transcripts.read_points(spark, args.data_path, args.column_name, args.unsegmented)
     paths, parts = [], config.by_radius()
     many, shaped = len(parts) > 1, config.distribution_analysis
-    folder = f"{args.save_path}.{uuid.uuid4().hex}.stage"
+    stage = Stages(spark, f"{args.save_path}.stage", {"options": asdict(config), "input": fingerprint(spark, args.data_path)})
     write = sinks.write_single if args.single_file else sinks.write_dataset
-    try:
-        every = sinks.staged(analysis.raw_result(points, config), f"{folder}/raw")
-        for part in parts:
-            save = with_radius(args.save_path, part.r_check) if many else args.save_path
-            raw = every.where(F.col("r_check") == part.r_check).drop("r_check") if many else every
-            out = analysis.results_of(points, raw, part, lambda table, name, part=part: sinks.staged(table, f"{folder}/{name}-{part.r_check}"))
-            written = [(out["raw"], save), (out["final"], sinks.final_path(save, part.filter_threshold, shaped))]
-            if shaped and not out["shape"].isEmpty():
-                written.append((out["shape"], sinks.shape_path(save)))
-            if shaped and args.intermediate_dir:
-                found = distances.distances(analysis.prepared(points, part), part.r_dist)
-                kept = with_radius(args.intermediate_dir, part.r_check) if many else args.intermediate_dir
-                sinks.retain_distances(found, f"{kept}/{part.background}")
-            for name, (df, path) in enumerate(written):
-                if name == 1 and not args.single_file:
-                    sinks.write_numbered(results.numbered(df), path)
-                else:
-                    write(df, path)
-                paths.append(path)
-    finally:
-        sinks.remove(spark, folder)
+    every = stage(lambda: analysis.raw_result(points, config), "raw")
+    for part in parts:
+        save = with_radius(args.save_path, part.r_check) if many else args.save_path
+        raw = every.where(F.col("r_check") == part.r_check).drop("r_check") if many else every
+        out = analysis.results_of(points, raw, part, lambda table, name, part=part: stage(table, f"{name}-{part.r_check}"))
+        write(out["raw"], save)
+        final = sinks.final_path(save, part.filter_threshold, shaped)
+        write(out["final"], final) if args.single_file else sinks.write_numbered(results.numbered(out["final"]), final)
+        paths += [save, final]
+        if shaped and not out["shape"].isEmpty():
+            write(out["shape"], sinks.shape_path(save))
+            paths.append(sinks.shape_path(save))
+        if shaped and args.intermediate_dir:
+            kept = with_radius(args.intermediate_dir, part.r_check) if many else args.intermediate_dir
+            sinks.retain_distances(distances.distances(analysis.prepared(points, part), part.r_dist), f"{kept}/{part.background}")
+    stage.close()
     return paths
 
 
@@ -92,7 +90,7 @@ def run_distances(args, spark: SparkSession) -> str:
         raise ValueError("max_distance_count is below min_distance_count")
     wanted = pairs.select(F.col("gene_1").alias("gene_A"), F.col("gene_2").alias("gene_B"))
     if args.distances_dir:
-        found = spark.read.parquet(sinks.retained_layout(spark, args.distances_dir, args.background))
+        found = spark.read.parquet(sinks.published(spark, sinks.retained_layout(spark, args.distances_dir, args.background)))
         buckets = [r[0] for r in wanted.select(F.pmod(F.xxhash64("gene_A"), F.lit(64))).distinct().collect()]
         found = found.where(F.col("bucket").isin(buckets)).join(wanted, ["gene_A", "gene_B"], "left_semi").drop("bucket")
     else:
@@ -181,6 +179,7 @@ def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = session()
     provide(spark)
+    stats.register(spark)
     args.call(args, spark)
 
 

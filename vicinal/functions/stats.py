@@ -87,9 +87,12 @@ def hypergeom_sf(k: Column, total: Column, marked: Column, drawn: Column) -> Col
 
 
 def register(spark) -> None:
-    """Make hypergeom_sf(k, total, marked, drawn) and kde_mode(values) known to SQL."""
+    """Make hypergeom_sf(k, total, marked, drawn), kde_mode(values), random_density(distance, radius) and random_share(distance, radius)
+    known to a session's SQL. kde_mode gathers a group in one task; operators.distances.modes does not."""
     spark.udf.register("hypergeom_sf", F.pandas_udf(_sf, "double"))
     spark.udf.register("kde_mode", F.pandas_udf(_mode, "double"))
+    for name, body in (("random_density", "2 * distance / (radius * radius)"), ("random_share", "distance * distance / (radius * radius)")):
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(distance DOUBLE, radius DOUBLE) RETURNS DOUBLE RETURN {body}")
 
 
 def adjusted(tests: DataFrame, by: str = "gene_A", tie: str = "gene_B") -> DataFrame:

@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import kernel_sums
@@ -79,6 +79,11 @@ def _before(rows: DataFrame, keys: list[str], bucket: str, number) -> DataFrame:
     return counts.withColumn("_before", F.coalesce(F.sum("_held").over(order), F.lit(0)))
 
 
+def spot(keys: list[str], rank: str) -> Column:
+    """A number from 0 to 2 ** 60 for a rank of a pair: the first 15 digits of the MD5 of names and rank."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *keys, F.col(rank).cast("string"))), 1, 15), 16, 10).cast("long")
+
+
 def sampled(found: DataFrame, most: int | None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """found with ``count`` of its pair; of pairs with more than ``most`` distances so many by a fixed hash of rank and names.
 
@@ -90,8 +95,8 @@ def sampled(found: DataFrame, most: int | None, bucket_rows: int = BUCKET_ROWS)
     if most is None:
         return own
     ranked = placed(found.join(counts.where(F.col("count") > most).select(keys), keys, "left_semi"), keys, bucket_rows).withColumn("_rank", (F.col("place") + 1).cast("int"))
-    ranked = ranked.join(counts, keys).withColumn("_spot", F.xxhash64(*keys, "_rank"))
-    share = F.col("_spot").cast("double") / F.lit(2.0**64) + 0.5
+    ranked = ranked.join(counts, keys).withColumn("_spot", spot(keys, "_rank"))
+    share = F.col("_spot") / F.lit(2.0**60)
     ranked = ranked.withColumn("_bucket", F.floor(share * F.ceil(F.col("count") / bucket_rows)))
     ranked = ranked.join(_before(ranked, keys, "_bucket", F.count("*")), [*keys, "_bucket"]).where(F.col("_before") < most)
     inner = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy("_spot", "_rank"))

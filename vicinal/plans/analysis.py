@@ -56,11 +56,9 @@ def raw_result(points: DataFrame, config: RunConfig) -> DataFrame:
     if config.detection_method != "radius" or len(check_radii(config.r_check)) == 1:
         return _raw(own, near_of(own, config, config.reach), config)
     radii = check_radii(config.r_check)
-    if config.unsegmented:  # tiles reach as far as the radius, so nothing is shared
-        parts = [_raw(own, near_of(own, config, r), config).withColumn("r_check", F.lit(r)) for r in radii]
-    else:
-        near = near_of(own, config, radii[-1])
-        parts = [_raw(own, neighbors.within(near, r), config).withColumn("r_check", F.lit(r)) for r in radii]
+    # Tiles are widened by the largest radius; what a smaller one reaches from a tile's core is in them, too.
+    near = near_of(own, config, radii[-1])
+    parts = [_raw(own, neighbors.within(near, r), config).withColumn("r_check", F.lit(r)) for r in radii]
     return reduce(DataFrame.unionByName, parts)
 
 

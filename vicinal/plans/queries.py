@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import cli
 from ..config import RunConfig
 from ..functions import stats
 from ..operators import controls, distances, events, figures, neighbors, prep, results, tiles
@@ -17,10 +18,9 @@ from ..sources.transcripts import missing_genes, pair_table
 from . import analysis
 
 R, R_MORE, GRID = 2.0, (1.0, 2.0, 5.0), 1
-#: Above the least q of the given tables, far above the production threshold.
-TRUE_Q = 0.97
 #: Without cells the points lie so close that a radius of 2 would reach nearly all of them.
 R_FLAT = 0.05
+FLAT_RADII = (0.02, 0.03, 0.05)
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,12 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).withColumn("x", F.floor("x").cast("double")).withColumn("y", F.floor("y").cast("double"))
 
 
+def companions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points, those of the seventh line each with a companion of another name beside it: pairs that no chance explains."""
+    own = points(spark, sf_dir)
+    return own.union(own.where("z = 7").select(F.col("x") + 0.5, "y", "z", F.concat(F.lit("with "), "geneID"), "cell"))
+
+
 def _requested(spark: SparkSession) -> DataFrame:
     return pair_table(spark, PAIRS)
 
@@ -217,9 +223,9 @@ def final_all(spark, d):
 
 
 def final_true_q(spark, d):
-    """The final result on the tests' own q, at a threshold that the given tables reach."""
-    config = RunConfig(r_check=R, filter_threshold=TRUE_Q, pair_keep="first")
-    raw = sinks.staged(analysis.raw_result(points(spark, d), config), sinks.shared_path(spark, "raw"))
+    """The final result on the tests' own q, with the production threshold and order, of points with companions."""
+    config = RunConfig(r_check=R)
+    raw = sinks.staged(analysis.raw_result(companions(spark, d), config), sinks.shared_path(spark, "raw"))
     return _logged(analysis.final_result(raw, config))
 
 
@@ -347,6 +353,100 @@ def distance_curves_all(spark, d):
     return _rounded(figures.distance_curves(_paired(_found_once(spark, d)), 5.0), 6)
 
 
+def scan_flat(spark, d):
+    """The points written with three columns and scanned without cells: z is 0 for all."""
+    path = sinks.shared_path(spark, "flat") + ".csv"
+    sinks.write_dataset(points(spark, d).select(F.col("x").alias("px"), F.col("y").alias("py"), F.col("geneID").alias("target")), path)
+    back = transcripts.read_points(spark, path, "px,py,target", unsegmented=True, finite=True)
+    return _rounded(back.groupBy("geneID", "z").agg(F.count("*").alias("n"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y")), 3)
+
+
+def scan_pairs(spark, d):
+    """A request of every part's name with the next one's, written as a file and scanned: canonical, each once, in order."""
+    parts = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name")
+    later = parts.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("gene_2"))
+    both = parts.withColumnRenamed("p_name", "gene_1").join(later, "p_partkey").where("gene_1 <> gene_2")
+    path = sinks.shared_path(spark, "pairs") + ".csv"
+    sinks.write_single(both.orderBy("p_partkey").select("gene_1", "gene_2"), path)
+    return pair_table(spark, transcripts.read_pairs(spark, path))
+
+
+def distances_retained(spark, d):
+    """Distances kept as a run keeps them, found again under their background, and exported for the requested pairs."""
+    folder = sinks.shared_path(spark, "retained")
+    sinks.retain_distances(_found(spark, d), f"{folder}/all")
+    path = sinks.shared_path(spark, "export") + ".csv"
+    asked = [x for pair in PAIRS for x in ("--pair", *pair)]
+    args = cli.parser().parse_args(["distances", "--distances_dir", folder, "--data_path", "unused", "--save_path", path, *asked])
+    args.call(args, spark)
+    return _rounded(spark.read.csv(path, header=True, schema="gene_1 string, gene_2 string, pair string, distance double"), 6)
+
+
+def distances_summary_file(spark, d):
+    """The summary beside an export from points, in the order of the request."""
+    data, path = sinks.shared_path(spark, "points") + ".parquet", sinks.shared_path(spark, "export") + ".csv.gz"
+    points(spark, d).write.parquet(data)
+    asked = [x for pair in PAIRS for x in ("--pair", *pair)]
+    args = cli.parser().parse_args(["distances", "--data_path", data, "--r_dist", "5", "--min_distance_count", "2", "--max_distance_count", "40", "--save_path", path, *asked])
+    args.call(args, spark)
+    report = spark.read.csv(sinks.summary_path(path), header=True, schema="gene_1 string, gene_2 string, pair string, total_distance_count long, output_distance_count long, status string")
+    written = spark.read.csv(path, header=True, schema="gene_1 string, gene_2 string, pair string, distance double").groupBy("pair").agg(F.count("*").alias("rows_written"))
+    return report.join(written, "pair", "left").withColumn("rows_written", F.coalesce("rows_written", F.lit(0)))
+
+
+def run_files(spark, d):
+    """The files of a run from the command line: the raw result and the final one, read back."""
+    data, path = sinks.shared_path(spark, "points") + ".parquet", sinks.shared_path(spark, "run") + ".csv"
+    companions(spark, d).write.parquet(data)
+    args = cli.parser().parse_args(["run", "--detection_method", "radius", "--background", "all", "--mode", "robust", "--r_check", str(R), "--data_path", data, "--save_path", path])
+    raw, final = args.call(args, spark)
+    read = lambda place, name: transcripts.check_points(spark.read.csv(place, header=True, schema=", ".join(f"{c} {t}" for c, t in transcripts.RESULT))).withColumn("file", F.lit(name))
+    return _logged(read(raw, "raw").unionByName(read(final, "final")))
+
+
+def events_file(spark, d):
+    """The file of the events command, with its places: cells in order, pairs as requested."""
+    data, path = sinks.shared_path(spark, "points") + ".parquet", sinks.shared_path(spark, "events") + ".csv"
+    points(spark, d).write.parquet(data)
+    asked = [x for pair in PAIRS[:3] for x in ("--pair", *pair)]
+    args = cli.parser().parse_args(["events", "--data_path", data, "--r_check", str(R), "--save_path", path, *asked])
+    args.call(args, spark)
+    schema = "cell string, cell_x double, cell_y double, gene_A string, gene_B string, r_check double, gene_A_count long, gene_B_count long, colocalization_count long"
+    rows = spark.read.csv(path, header=True, schema=schema).withColumn("_id", F.monotonically_increasing_id())
+    place = F.row_number().over(Window.partitionBy("cell").orderBy("_id")) - 1  # a row for each requested pair
+    return _rounded(rows.withColumn("place", place.cast("long")).drop("_id"), 6)
+
+
+def shape_sampled(spark, d):
+    """Shapes of samples: of pairs with more than 30 distances, 30 by the hash of rank and names."""
+    return _rounded(distances.shapes(_found_once(spark, d), 20, 30, mode=False), 6)
+
+
+def sql_functions(spark, d):
+    """The registered functions from SQL text: tails of every pair, modes, and the random reference at them."""
+    stats.register(spark)
+    pair_bg_all(spark, d).createOrReplaceTempView("vicinal_counts")
+    _found_once(spark, d).createOrReplaceTempView("vicinal_distances")
+    return spark.sql("""
+WITH m AS (SELECT gene_A, gene_B, kde_mode(distance) AS mode FROM vicinal_distances GROUP BY gene_A, gene_B HAVING count(*) >= 20)
+SELECT c.gene_A, c.gene_B, round(log10(hypergeom_sf(gene_B_around, gene_slice, gene_B_slice, gene_around)), 6) + 0.0D AS log_p,
+  round(mode, 6) AS mode, round(random_density(mode, 5.0D), 6) AS density, round(random_share(mode, 5.0D), 6) AS share
+FROM vicinal_counts c LEFT JOIN m ON m.gene_A = c.gene_A AND m.gene_B = c.gene_B""")
+
+
+def control_contains(spark, d):
+    """Rules that hold a text, whatever its case."""
+    raw = _exact_results(spark, d).withColumn("qvalue_BH", F.col("qvalue_BH") * 100)
+    return _rounded(controls.control_baseline(raw, [("ears", "contains", "EAR"), ("reds", "prefix", "RED")], THRESHOLDS, "first", ignore_case=True), 6)
+
+
+def multi_radius_unsegmented(spark, d):
+    """Three radii without cells from one search at the largest."""
+    flat = points(spark, d).select("x", "y", F.lit(0.0).alias("z"), "geneID")
+    config = RunConfig(r_check=FLAT_RADII, unsegmented=True, rect_length=TILE)
+    return analysis.raw_result(flat, config).select("gene_A", "gene_B", "gene_B_around", "gene_around", "r_check")
+
+
 def queries() -> dict:
     named = [
         gene_counts, gene_filter, slice_total, slice_total_pixels, pixel_distinct, cell_gene_counts, cell_totals, around_discrete, around_ninegrid,
@@ -354,7 +454,8 @@ def queries() -> dict:
         pair_bg_cooccurrence_ninegrid, pair_bg_cooccurrence_continuous, hyper_all, hyper_cooccurrence, hyper_unsegmented, scan_csv, raw_round_trip, bh_bonferroni, ratios, dedup_first, dedup_last, bidirectional_retain,
         significant_last, eligible_pairs, final_all, final_shapes, final_rows, final_true_q, cell_centers, cell_events_discrete, cell_events_continuous, missing_requested, distances_pair,
         distance_summary, distance_export, shape_stats, shape_relative, shape_join, kde_mode, control_baseline, multi_radius, unsegmented_radius,
-        unsegmented_grid, random_reference, tissue_map, distance_curves, distance_curves_all,
+        unsegmented_grid, random_reference, tissue_map, distance_curves, distance_curves_all, scan_flat, scan_pairs, distances_retained, distances_summary_file,
+        run_files, events_file, shape_sampled, sql_functions, control_contains, multi_radius_unsegmented,
     ]
     return {f.__name__: f for f in named}
 
@@ -387,6 +488,9 @@ bg AS (SELECT kk.gene_A, kk.gene_B, k AS gene_B_around, gb.n AS gene_B_slice, nn
   FROM kk JOIN nn ON nn.ag = gene_A JOIN gc ga ON ga.g = gene_A JOIN gc gb ON gb.g = gene_B)"""
 
 
+_BG_WITH = _BG_ALL.replace("pts AS (", "base AS (", 1).replace("pix AS (", "pts AS (SELECT * FROM base UNION ALL SELECT x + 0.5, y, z, 'with ' || g, c FROM base WHERE z = 7),\npix AS (", 1)
+
+
 def _bg_together(source: str, reach: float, metric: str, weight: str, continuous: bool = False) -> str:
     genes = f"SELECT DISTINCT c, g, x, y, z FROM {source}" if metric == "grid" else f"SELECT * FROM {source}"
     n = "count(DISTINCT (x, y, z))" if metric == "grid" else f"sum({weight})"
@@ -476,8 +580,8 @@ shape AS (SELECT gene_A, gene_B, n AS shape_count, m3 / pow(m2, 1.5) AS skewness
 _SHAPE_COLS = "shape_count, round(skewness, 6) AS skewness, round(kurtosis, 6) AS kurtosis, round(median, 6) AS median, round(q25, 6) AS q25, round(q75, 6) AS q75, round(iqr, 6) AS iqr"
 
 
-def _controls() -> str:
-    tests = {"reds": "g LIKE 'red%'", "rods": "g LIKE '%rod'", "one": "g = 'hot gear'"}
+def _controls(tests: dict[str, str], keep: str = "last") -> str:
+    tests = dict(tests)
     tests["any_control"] = "(" + " OR ".join(tests.values()) + ")"
     parts = []
     for t in THRESHOLDS:
@@ -486,7 +590,7 @@ def _controls() -> str:
             parts.append(f"""SELECT CAST({t} AS DOUBLE) AS qvalue_threshold, count(*) FILTER (100 * qvalue_BH < {t}) AS total_significant_pairs, '{name}' AS control_group,
   count(*) FILTER (100 * qvalue_BH < {t} AND {both}) AS control_associated_pair_count, (SELECT count(*) FROM f WHERE {test}) AS matched_control_feature_count FROM one""")
     share = "control_associated_pair_count / CAST(nullif(total_significant_pairs, 0) AS DOUBLE)"
-    return f"""WITH {_EXACT}, {_dedup("last")}, f AS (SELECT gene_A AS g FROM res UNION SELECT gene_B FROM res), s AS ({" UNION ALL ".join(parts)})
+    return f"""WITH {_EXACT}, {_dedup(keep)}, f AS (SELECT gene_A AS g FROM res UNION SELECT gene_B FROM res), s AS ({" UNION ALL ".join(parts)})
 SELECT qvalue_threshold, total_significant_pairs, control_group, control_associated_pair_count, round({share}, 6) AS control_associated_pair_fraction,
   round({share} * 100, 6) AS control_associated_percentage, matched_control_feature_count FROM s"""
 
@@ -501,8 +605,8 @@ wide AS (SELECT s.*, tx.i AS i, ty.i AS j FROM s JOIN tx ON x BETWEEN tx.lo - {r
 near AS (SELECT DISTINCT p.i, p.j, p.x, p.y, p.g, a.g AS ag FROM wide p JOIN core a ON p.i = a.i AND p.j = a.j AND {near})"""
 
 
-def _bg_flat() -> str:
-    return f"""{_tiled("pts", R_FLAT, "radius")}, kk AS ({_k("1")}), nn AS (SELECT ag, count(*) AS n FROM near GROUP BY ag), gc AS (SELECT g, count(*) AS n FROM pts GROUP BY g),
+def _bg_flat(reach: float = R_FLAT) -> str:
+    return f"""{_tiled("pts", reach, "radius")}, kk AS ({_k("1")}), nn AS (SELECT ag, count(*) AS n FROM near GROUP BY ag), gc AS (SELECT g, count(*) AS n FROM pts GROUP BY g),
 bg AS (SELECT kk.gene_A, kk.gene_B, k AS gene_B_around, gb.n AS gene_B_slice, nn.n AS gene_around, (SELECT count(*) FROM pts) AS gene_slice, ga.n AS gene_A_N, gb.n AS gene_B_N
   FROM kk JOIN nn ON nn.ag = gene_A JOIN gc ga ON ga.g = gene_A JOIN gc gb ON gb.g = gene_B)"""
 
@@ -526,7 +630,7 @@ def oracle_sql() -> dict[str, str]:
         "raw_round_trip": f"WITH {_EXACT} SELECT {_RES} FROM res",
         "final_all": f"WITH {_EXACT}, {_dedup('last')} SELECT {_RES}, row_number() OVER (ORDER BY qvalue_BH, enrichment_ratio DESC, gene_A, gene_B) - 1 AS place FROM one WHERE qvalue_BH < 0.005",
         "final_rows": f"WITH {_tested(_BG_ALL)}, {_dedup('last')} SELECT {_TESTED_PLAIN} FROM one WHERE qvalue_BH < 1e-5",
-        "final_true_q": f"WITH {_tested(_BG_ALL)}, {_dedup('first')} SELECT {_TESTED} FROM one WHERE qvalue_BH < {TRUE_Q}",
+        "final_true_q": f"WITH {_tested(_BG_WITH)}, {_dedup('last')} SELECT {_TESTED} FROM one WHERE qvalue_BH < 1e-5",
         "kde_mode": f"WITH {_DIST}, {_MODES} SELECT gene_A, gene_B, round(mode, 6) AS mode FROM modes",
         "final_shapes": f"""WITH {_EXACT}, {_dedup('last')}, {_SHAPE.removeprefix(_PTS + ", ")}, {_MODES}, with_mode AS (SELECT * FROM shape JOIN modes USING (gene_A, gene_B)),
 both_ways AS (SELECT * FROM with_mode UNION ALL SELECT gene_B AS gene_A, gene_A AS gene_B, * EXCLUDE (gene_A, gene_B) FROM with_mode),
@@ -574,7 +678,25 @@ round(kurtosis + 0.6, 6) AS kurtosis_relative, round(median - 0.707 * 5.0::DOUBL
 FROM shape WHERE shape_count >= 20""",
         "shape_join": f"""WITH {_SHAPE.replace(_PTS, _EXACT, 1)}, both_ways AS (SELECT * FROM shape WHERE shape_count >= 60 UNION ALL SELECT gene_B, gene_A, * EXCLUDE (gene_A, gene_B) FROM shape WHERE shape_count >= 60)
 SELECT res.gene_A, res.gene_B, gene_B_around, {_SHAPE_COLS} FROM res LEFT JOIN both_ways s ON s.gene_A = res.gene_A AND s.gene_B = res.gene_B""",
-        "control_baseline": _controls(),
+        "control_baseline": _controls({"reds": "g LIKE 'red%'", "rods": "g LIKE '%rod'", "one": "g = 'hot gear'"}),
+        "control_contains": _controls({"ears": "g ILIKE '%ear%'", "reds": "g ILIKE 'red%'"}, "first"),
+        "scan_flat": pts + 'SELECT g AS "geneID", 0.0::DOUBLE AS z, count(*) AS n, round(sum(x), 3) AS sum_x, round(sum(y), 3) AS sum_y FROM pts GROUP BY g',
+        "scan_pairs": """WITH b AS (SELECT a.p_partkey AS k, least(a.p_name, b.p_name) AS gene_1, greatest(a.p_name, b.p_name) AS gene_2 FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_name <> b.p_name),
+o AS (SELECT gene_1, gene_2, min(k) AS k FROM b GROUP BY ALL) SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS INTEGER) AS ordinal, gene_1, gene_2 FROM o""",
+        "distances_retained": f"WITH {_DIST}, {_WANTED} SELECT gene_1, gene_2, gene_1 || '_' || gene_2 AS pair, round(d, 6) AS distance FROM dist JOIN want ON gene_A = gene_1 AND gene_B = gene_2",
+        "distances_summary_file": f"""WITH {_DIST}, {_WANTED}, t AS (SELECT ordinal, gene_1, gene_2, count(d) AS n FROM want LEFT JOIN dist ON gene_A = gene_1 AND gene_B = gene_2 GROUP BY ALL),
+u AS (SELECT *, CAST(CASE WHEN n < 2 THEN 0 WHEN n > 40 THEN 40 ELSE n END AS BIGINT) AS kept FROM t)
+SELECT gene_1, gene_2, gene_1 || '_' || gene_2 AS pair, n AS total_distance_count, kept AS output_distance_count, kept AS rows_written,
+CASE WHEN n = 0 THEN 'not_found' WHEN n < 2 THEN 'below_minimum' WHEN n > 40 THEN 'sampled' ELSE 'complete' END AS status FROM u""",
+        "run_files": f"WITH {_tested(_BG_WITH)}, {_dedup('last')} SELECT {_TESTED}, 'raw' AS file FROM res UNION ALL SELECT {_TESTED}, 'final' AS file FROM one WHERE qvalue_BH < 1e-5",
+        "events_file": f"WITH e AS ({_events(False)}) SELECT *, row_number() OVER (PARTITION BY cell ORDER BY gene_A) - 1 AS place FROM e WHERE gene_A <> 'no such gene'",
+        "shape_sampled": f"""{f'WITH {_SHAPE}'.replace("mom AS (SELECT gene_A", """r AS (SELECT *, row_number() OVER (PARTITION BY gene_A, gene_B ORDER BY d) AS rk, count(*) OVER (PARTITION BY gene_A, gene_B) AS total FROM dist),
+own AS (SELECT gene_A, gene_B, d, total FROM r QUALIFY row_number() OVER (PARTITION BY gene_A, gene_B ORDER BY CAST('0x' || substr(md5(gene_A || '|' || gene_B || '|' || rk), 1, 15) AS BIGINT), rk) <= 30),
+mom AS (SELECT gene_A""", 1).replace("FROM dist GROUP BY ALL),\ncen", "FROM own GROUP BY ALL),\ncen").replace("count(*) AS n, avg", "max(total) AS n, avg").replace("FROM dist JOIN mom", "FROM (SELECT gene_A, gene_B, d FROM own) JOIN mom")} SELECT gene_A, gene_B, {_SHAPE_COLS} FROM shape WHERE shape_count >= 20""",
+        "sql_functions": f"""WITH {_tested(_BG_ALL)}, {_DIST.removeprefix(_PTS + ", ")}, {_MODES}
+SELECT t.gene_A, t.gene_B, CASE WHEN pvalue > 0 THEN round(log10(pvalue), 6) + 0.0 END AS log_p, round(mode, 6) AS mode, round(2 * mode / 25.0::DOUBLE, 6) AS density, round(mode * mode / 25.0::DOUBLE, 6) AS share
+FROM (SELECT * FROM res) t LEFT JOIN modes m ON m.gene_A = t.gene_A AND m.gene_B = t.gene_B""",
+        "multi_radius_unsegmented": " UNION ALL ".join(f"SELECT *, CAST({r} AS DOUBLE) AS r_check FROM (WITH {_bg_flat(r)} SELECT gene_A, gene_B, gene_B_around, gene_around FROM bg WHERE gene_A_N <= 100 * gene_B_N AND gene_B_N <= 100 * gene_A_N)" for r in FLAT_RADII),
         "multi_radius": " UNION ALL ".join(f"SELECT *, CAST({r} AS DOUBLE) AS r_check FROM (WITH {_PTS}, {_near('pts', r)} {_k('m')})" for r in R_MORE),
         "unsegmented_radius": f"WITH {_tiled('pix', R, 'radius')} SELECT ag AS gene_A, g AS gene_B, count(*) AS k FROM near WHERE ag <> g GROUP BY ALL",
         "unsegmented_grid": f"WITH {_tiled('pix', GRID, 'grid')} SELECT ag AS gene_A, count(*) AS n FROM (SELECT DISTINCT i, j, x, y, ag FROM near) GROUP BY ag",

@@ -26,18 +26,26 @@ def summary_path(save_path: str) -> str:
 
 
 def write_dataset(df: DataFrame, path: str, kind: str = "csv", compression: str | None = None) -> None:
-    """A folder of files of at most ROWS_A_FILE rows, written in parallel and committed by Spark."""
-    writer = df.write.option("maxRecordsPerFile", ROWS_A_FILE).mode("overwrite")
+    """A folder of files of at most ROWS_A_FILE rows, written in parallel beside its place and put there whole (publish())."""
+    writer = df.write.option("maxRecordsPerFile", ROWS_A_FILE)
     if compression:
         writer = writer.option("compression", compression)
-    writer.option("header", True).csv(path) if kind == "csv" else writer.parquet(path)
+    beside = _beside(path)
+    writer.option("header", True).csv(beside) if kind == "csv" else writer.parquet(beside)
+    publish(df.sparkSession, beside, path)
 
 
 def write_numbered(df: DataFrame, path: str) -> None:
     """A table with ``place`` (from 0, without gaps) as CSV files that follow each other in order, ROWS_A_FILE rows in each but the last."""
     files = -(-df.count() // ROWS_A_FILE)
     dealt = df.repartitionById(max(1, files), F.floor(F.col("place") / ROWS_A_FILE).cast("int")).sortWithinPartitions("place")
-    dealt.drop("place").write.option("header", True).mode("overwrite").csv(path)
+    beside = _beside(path)
+    dealt.drop("place").write.option("header", True).csv(beside)
+    publish(df.sparkSession, beside, path)
+
+
+def _beside(path: str) -> str:
+    return f"{path.rstrip('/')}.{uuid.uuid4().hex}.parts"
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -62,20 +70,87 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _path(spark: SparkSession, path):
+    """(file system, path) of a path or its text."""
+    out = spark._jvm.org.apache.hadoop.fs.Path(path) if isinstance(path, str) else path
+    return out.getFileSystem(spark._jsc.hadoopConfiguration()), out
+
+
+def _rename(spark: SparkSession, source, target) -> None:
+    system, source = _path(spark, source)
+    if not system.rename(source, _path(spark, target)[1]):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
 def replace(spark: SparkSession, source, target) -> None:
-    """Put a file (Hadoop paths) in the place of another in one step: whoever reads finds the old one or the new one."""
+    """Put a file in the place of another in one step: whoever reads finds the old one or the new one."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    fs = target.getFileSystem(conf)
-    if fs.exists(target) and fs.getFileStatus(target).isDirectory():  # a folder can't be replaced by a file in one step
-        aside = jvm.org.apache.hadoop.fs.Path(f"{target.toString()}.{uuid.uuid4().hex}.old")
-        fs.rename(target, aside)
-        fs.rename(source, target)
-        fs.delete(aside, True)
+    fs, target = _path(spark, target)
+    if fs.exists(target) and fs.getFileStatus(target).isDirectory():
+        publish(spark, source if isinstance(source, str) else source.toString(), target.toString())
         return
     options = jvm.org.apache.hadoop.fs.Options.Rename
     overwrite = spark.sparkContext._gateway.new_array(options, 1)
     overwrite[0] = options.OVERWRITE
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(source), fs.makeQualified(target), overwrite)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(_path(spark, source)[1]), fs.makeQualified(target), overwrite)
+
+
+def _pointer(path: str) -> str:
+    return f"{path.rstrip('/')}.next"
+
+
+def publish(spark: SparkSession, source: str, target: str) -> None:
+    """Put a whole folder (or file) in the place of another.
+
+    No file system of Hadoop's swaps two folders in one step. So a pointer, a file that is put in place in one step, first names the
+    new folder: from then on published() leads readers to the new one, whole, wherever the moves that follow are cut short. A
+    later publication, or recover(), completes them. No reader is ever led to an empty or mixed folder.
+    """
+    recover(spark, target)
+    fs, place = _path(spark, target)
+    if not fs.exists(place):
+        _rename(spark, source, target)
+        return
+    written = _path(spark, f"{_pointer(target)}.{uuid.uuid4().hex}")[1]
+    stream = fs.create(written, True)
+    stream.write(bytearray(source.encode()))
+    stream.close()
+    replace(spark, written, _pointer(target))
+    _complete(spark, source, target)
+
+
+def _complete(spark: SparkSession, source: str, target: str) -> None:
+    fs, place = _path(spark, target)
+    if fs.exists(_path(spark, source)[1]):
+        if fs.exists(place):
+            _rename(spark, target, f"{target.rstrip('/')}.{uuid.uuid4().hex}.old")
+        _rename(spark, source, target)
+    fs.delete(_path(spark, _pointer(target))[1], False)
+    for status in fs.globStatus(_path(spark, f"{target.rstrip('/')}.*.old")[1]) or []:
+        fs.delete(status.getPath(), True)
+
+
+def _named(spark: SparkSession, target: str) -> str | None:
+    fs, pointer = _path(spark, _pointer(target))
+    if not fs.exists(pointer):
+        return None
+    stream = fs.open(pointer)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def recover(spark: SparkSession, target: str) -> None:
+    """Complete a publication that was cut short."""
+    if (source := _named(spark, target)) is not None:
+        _complete(spark, source, target)
+
+
+def published(spark: SparkSession, path: str) -> str:
+    """Where the whole of a published folder or file lies: at its path, or, while it is being put there, beside it."""
+    source = _named(spark, path)
+    return source if source is not None and _path(spark, source)[0].exists(_path(spark, source)[1]) else path
 
 
 def write_single(df: DataFrame, path: str, kind: str = "csv", compression: str = "none") -> None:
@@ -115,7 +190,9 @@ def write_export(distances: DataFrame, summary: DataFrame, path: str, chosen: st
 def retain_distances(distances: DataFrame, path: str, buckets: int = 64) -> None:
     """Distances kept for later extraction: Parquet partitioned by a hash of gene_A, so that a request reads few files."""
     bucketed = distances.withColumn("bucket", F.pmod(F.xxhash64("gene_A"), F.lit(buckets)))
-    bucketed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    beside = _beside(path)
+    bucketed.repartition("bucket").write.partitionBy("bucket").parquet(beside)
+    publish(distances.sparkSession, beside, path)
 
 
 def retained_layout(spark: SparkSession, folder: str, background: str = "auto") -> str:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import sinks
+
 SEGMENTED = ("x", "y", "z", "geneID", "cell")
 #: Columns of a raw result, in order.
 RESULT = [
@@ -114,9 +116,10 @@ def missing_genes(points: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def read_result(spark: SparkSession, path: str) -> DataFrame:
     """A raw result, checked: columns present, no nulls or empty ids, finite q and enrichment, at least a row."""
+    place = sinks.published(spark, path)
     if path.rstrip("/").endswith(".parquet"):
-        return check_result(spark.read.parquet(path))
-    raw = spark.read.csv(path, header=True, nullValue="")
+        return check_result(spark.read.parquet(place))
+    raw = spark.read.csv(place, header=True, nullValue="")
     return check_result(raw.select(*[F.col(c).cast(t).alias(c) for c, t in RESULT if c in raw.columns]))
 
 
