@@ -1,0 +1,295 @@
+"""The quality classifier, the filter audit and the tokenizer alignment against brute force and held-out labels."""
+
+import hashlib
+import itertools
+import os
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from vicinal.llm import alignment, audit, classifier
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, flags long, key long, score string"
+DATA = "/root/testdata/sf0.01"
+needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
+WORDS = "the of and river stone Über café naïve walks slowly under bridge light 42 x1 cold MORNING paper engine wide".split()
+
+
+def rows():
+    rng = random.Random(11)
+    say = lambda n: " ".join(rng.choice(WORDS) + rng.choice(["", "", ",", "."]) for _ in range(n))
+    copy = say(240)
+    texts = [None, "", " \t\n ", "one", copy, copy, copy, "a b " * 150, "the river " * 200, say(260) + " # 5", "SHOUT " * 250, say(199), say(200), "日本語 テキスト " * 120]
+    texts += [say(rng.randrange(150, 260)) for _ in range(12)] + ["x" * 3000, "a▁b c", "  two  spaces \n\n and\ttabs ", "<|endoftext|> <s> <unk> <0x41>", "ﬁ ñ é ́ x y", "e" * 700 + " " + "é" * 700]
+    out = [(i, t, "en", ["s1", "s2", None, ""][i % 4], len(t or ""), 1, 2, "z") for i, t in enumerate(texts)]
+    return [*out, out[5], (None, copy, None, "s1", 1, 1, 2, "z"), (None, "", None, None, 1, 1, 2, "z"), (None, None, None, None, None, None, None, None)]
+
+
+ROWS = rows()
+LABELS = [(i, i % 2, int(i % 3 == 0)) for i in range(0, 30, 2)] + [(4, 1, 1), (None, 1, 1), (6, None, None), (900, 1, 0)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int").cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+# --- filter audit ----------------------------------------------------------------------------------------------------
+
+
+def failures(row):
+    text = row[1] or ""
+    words = [w for w in re.split("[\x20\x09-\x0d]+", text) if w]
+    smaller = [r for r in ROWS if (r[1] or "") == text and r[0] is not None and row[0] is not None and r[0] < row[0]]
+    tests = {
+        "A": len(words) < 200, "B": 100 * len(set(words)) < 50 * len(words), "C": 100 * len(re.findall("[A-Z]", text)) > 2 * len(text),
+        "D": bool(re.search(r"[#$%&*|]", text)), "E": bool(smaller),
+    }
+    return {f for f, hit in tests.items() if hit}
+
+
+def replay():
+    label = {}
+    for i, quality, toxic in LABELS:
+        if i is not None:
+            q, t = label.get(i, (-1, -1))
+            label[i] = (max(q, -1 if quality is None else quality), max(t, -1 if toxic is None else toxic))
+    names = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost")
+    counts, credit = {}, {}
+    for row in ROWS:
+        fails, part = failures(row), row[3] or ""
+        quality, toxic = label.get(row[0], (0, 0))
+        for order in itertools.permutations("ABCDE"):
+            alive = True
+            for step, f in enumerate(order, 1):
+                c = counts.setdefault((part, "".join(order), step), dict.fromkeys(names, 0))
+                credit.setdefault((part, f), 0)
+                if f in fails:
+                    c["unique_fails"] += len(fails) == 1
+                    if alive:
+                        c["removed"] += 1
+                        c["good_lost"] += quality == 1
+                        c["toxic_lost"] += toxic == 1
+                        credit[part, f] += 1
+                    else:
+                        c["redundant"] += 1
+                    alive = False
+                c["kept"] += alive
+    return sorted((p, o, s, *c.values(), credit[p, o[s - 1]]) for (p, o, s), c in counts.items())
+
+
+@pytest.mark.parametrize("many", [1000, 1])
+def test_audit(docs, labels, monkeypatch, many):
+    monkeypatch.setattr(audit, "MANY", many)  # with 1 no text comes back in a broadcast
+    got = audit.audited(docs, labels)
+    assert got.columns == ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
+    assert sorted(map(tuple, got.collect())) == replay()
+
+
+def test_audit_of_nothing_and_of_long_texts(spark, docs, labels, empty):
+    assert audit.audited(empty, labels).count() == 0
+    rng = random.Random(2)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(400_000))
+    table = spark.createDataFrame([(1, long, "s"), (2, long, "s"), (3, "spam " * 1_000_000, "s"), (4, "x" * 5_000_000, "s")], "doc_id long, text string, source string")
+    flags = sorted(r["flags"] for r in audit.flagged(table, labels.limit(0)).collect())
+    assert flags == [0, 1, 2, 16]  # long, the one word, spam, the copy
+
+
+def test_audit_of_one_text_in_a_third_of_all_rows(spark, labels):
+    table = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'copy' ELSE concat('text ', id) END AS text", "'s' AS source")
+    flags = audit.flagged(table, labels.limit(0)).groupBy("flags").count().collect()
+    assert {r["flags"]: r["count"] for r in flags} == {1: 2001, 17: 999}
+
+
+# --- tokenizer alignment ---------------------------------------------------------------------------------------------
+
+
+def plain_alignment(texts):
+    """(n_a, n_b, n_groups, n_links, n_best, count_sum, digest) by text, whole texts encoded at once and groups found from sets of ends."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a, b = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
+    a.encode_special_tokens = True
+    of = alignment.byte_characters()
+    every, holders = [], {}
+    for text in texts:
+        raw, out = (" " + (text or "")).encode(), []
+        if text:
+            ids_a, ids_b = a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)
+            own = [bytes(of[c] for c in a.id_to_token(i)) for i in ids_a]
+            other = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in ids_b]
+            if b"".join(own) == raw == b"".join(other):
+                ends_a, ends_b = list(itertools.accumulate(map(len, own))), list(itertools.accumulate(map(len, other)))
+                low = 0
+                for high in sorted(set(ends_a) & set(ends_b)):
+                    out.append(([i for i, e in zip(ids_a, ends_a) if low < e <= high], [i for i, e in zip(ids_b, ends_b) if low < e <= high]))
+                    low = high
+        every.append(out)
+        for pair in {(x, y) for g in out for x in g[0] for y in g[1]}:
+            holders[pair] = holders.get(pair, 0) + 1
+    best = {}
+    for (x, _), n in holders.items():
+        best[x] = max(best.get(x, 0), n)
+    done = []
+    for out in every:
+        links = [(x, y) for g in out for x in g[0] for y in g[1]]
+        said = ";".join(",".join(map(str, g[0])) + "|" + ",".join(map(str, g[1])) for g in out)
+        done.append((sum(len(g[0]) for g in out), sum(len(g[1]) for g in out), len(out), len(links), sum(holders[p] == best[p[0]] for p in links), sum(holders[p] for p in links), hashlib.sha256(said.encode()).hexdigest() if out else ""))
+    return done
+
+
+@pytest.mark.parametrize(("common", "block"), [(100_000, 20_000), (20, 7), (1, 20_000)])
+def test_alignment(docs, monkeypatch, common, block):
+    monkeypatch.setattr(alignment, "COMMON", common)  # all pairs, some, and none come back in a broadcast
+    monkeypatch.setattr(alignment, "BLOCK", block)
+    if block == 7:
+        monkeypatch.setattr(alignment, "GATHER", 300)
+    monkeypatch.setattr(alignment, "LARGE", 2 if block == 7 else 256)
+    got = alignment.aligned(docs, A, B)
+    assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    want = [(r[0], *x) for r, x in zip(ROWS, plain_alignment([r[1] for r in ROWS]), strict=True)]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+@needs_data
+def test_alignment_of_the_documents(spark):
+    """Cutting texts into segments changes nothing on 400 of the driver's documents, whose words are then all cached ones or new."""
+    found = spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").limit(400).collect()
+    aligner = alignment.Aligner(A, B)
+    assert aligner.cuts
+    want = plain_alignment([r["text"] for r in found])
+    for r, w in zip(found, want, strict=True):
+        got = aligner.documents([r["text"]])[0]
+        assert (*got[:4], got[4]) == (*w[:4], w[6])
+        assert got[6].sum() == got[3]
+
+
+def test_alignment_of_hard_texts():
+    aligner = alignment.Aligner(A, B)
+    rng = random.Random(3)
+    alphabet = ["a", "B", " ", " ", "  ", "é", "ß", "日本", "\n", "\t", "1", "23", ".", "'s", "'", "#", " ", "　", "́", "🙂", "_", "\x1c", "▁", "<0x41>", "ﬁ", "​", "٣"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 40))) for _ in range(3000)]
+    want = plain_alignment(texts)
+    for text, w in zip(texts, want, strict=True):
+        got = aligner.documents([text])[0]
+        assert (*got[:4], got[4]) == (*w[:4], w[6]), repr(text)
+
+
+def test_alignment_of_long_texts():
+    aligner = alignment.Aligner(A, B)
+    for text in ("x" * 1_000_000, "word " * 400_000, "日本" * 100_000, "ab1" * 200_000):
+        n_a, n_b, groups, links, _, pairs, times = aligner.documents([text])[0]
+        assert n_a and n_b and groups and links == times.sum() and len(pairs) == len(set(pairs.tolist()))
+    assert len(aligner.young) + len(aligner.old) <= alignment.REMEMBERED
+
+
+def test_alignment_of_nothing(spark, empty):
+    assert alignment.aligned(empty, A, B).count() == 0
+    assert alignment.links_of(empty, A, B).count() == 0
+
+
+def test_links_of(docs):
+    links = alignment.links_of(docs, A, B).collect()
+    best = {}
+    for r in links:
+        best[r["a_id"]] = max(best.get(r["a_id"], 0), r["n_documents"])
+    assert links and all(r["is_best"] == (r["n_documents"] == best[r["a_id"]]) for r in links)
+
+
+# --- quality classifier ----------------------------------------------------------------------------------------------
+
+
+def test_statistics():
+    s = dict(zip(classifier.STATISTICS, classifier.statistics("Ab cd!\nAb cd!\nE | 7"), strict=True))
+    assert s["repeated_lines"] == pytest.approx(1 / 3) and s["distinct_words"] == pytest.approx(5 / 7) and s["top_word"] == pytest.approx(2 / 7)
+    assert s["upper"] == pytest.approx(3 / 19) and s["digits"] == pytest.approx(1 / 19) and s["bars"] == pytest.approx(1 / 19) and s["exclamations"] == pytest.approx(2 / 19)
+    assert classifier.statistics(None) == classifier.statistics(" \n ") == [0.0] * len(classifier.STATISTICS)
+    assert np.isfinite(classifier.statistics("x" * 3_000_000 + " y")).all()
+    whole, bounds = "é" * 200_000, dict(zip(classifier.STATISTICS, classifier.statistics("é" * 200_000), strict=True))
+    assert bounds["not_ascii"] == 1.0 and len(whole.encode()) > classifier.PIECE
+
+
+def walked(forest, row):
+    odds = forest.start
+    inner = forest.statistic.shape[1]
+    for t in range(len(forest.statistic)):
+        node = 0
+        while node < inner:
+            node = 2 * node + 1 + bool(row[forest.statistic[t, node]] > forest.threshold[t, node])
+        odds += forest.value[t, node - inner]
+    return 1 / (1 + np.exp(-odds))
+
+
+def test_flat_trees_against_walks():
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(size=(600, 5)), 1)
+    y = ((x[:, 0] > 0.2) ^ (x[:, 3] < -0.5)).astype(float)
+    forest = classifier.fit_forest(x, y, trees=30, depth=3)
+    scores = forest.scores(x)
+    assert scores == pytest.approx([walked(forest, r) for r in x])
+    assert ((scores >= 0.5) == (y == 1)).mean() > 0.97
+
+
+def test_first_split_is_the_best_of_all():
+    """A single split against all splits tried one by one."""
+    rng = np.random.default_rng(4)
+    x, y = np.round(rng.normal(size=(200, 3)), 1), (rng.random(200) < 0.3).astype(float)
+    forest = classifier.fit_forest(x, y, trees=1, depth=1, bins=1000, least=10)
+    p = 1 / (1 + np.exp(-forest.start))
+    g, h = p - y, np.full(200, p * (1 - p))
+
+    def loss(mask):
+        return sum(g[m].sum() ** 2 / (h[m].sum() + classifier.RIDGE) for m in (mask, ~mask))
+
+    best = max(((loss(x[:, j] <= v), -j, -v) for j in range(3) for v in np.unique(x[:, j]) if 10 <= (x[:, j] <= v).sum() <= 190))
+    assert loss(x[:, forest.statistic[0, 0]] <= forest.threshold[0, 0]) == pytest.approx(best[0])
+
+
+def test_labels_of_one_kind_or_none():
+    x = np.zeros((5, 2))
+    assert classifier.fit_forest(np.zeros((0, 2)), np.zeros(0)).scores(x) == pytest.approx([0.5] * 5)
+    assert set(classifier.fit_forest(x, np.ones(5)).scores(x).round(6)) == {round(6 / 7, 6)}
+
+
+def test_classified(docs, labels, empty):
+    found = classifier.classified(docs, labels)
+    assert found.columns == ["doc_id", "held_out", "score", "predicted"]
+    got = found.collect()
+    assert len(got) == len(ROWS)
+    for r in got:
+        assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
+    assert sorted(map(str, got)) == sorted(map(str, classifier.classified(docs.repartition(5), labels).collect()))
+    assert classifier.classified(empty, labels).count() == 0
+    assert {r["score"] for r in classifier.classified(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_held_out_labels_are_not_learnt_from(docs, labels):
+    turned = labels.withColumn("quality", classifier.F.when(classifier.held_out(), 1 - labels.quality).otherwise(labels.quality))
+    assert sorted(map(str, classifier.classified(docs, labels).collect())) == sorted(map(str, classifier.classified(docs, turned).collect()))
+
+
+@needs_data
+def test_held_out_accuracy(spark):
+    table, known = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    met = classifier.classified(table, known).join(known, "doc_id").where("held_out").collect()
+    right = sum(r["predicted"] == r["quality"] for r in met)
+    assert len(met) > 50 and right >= 0.95 * len(met)
+    good, bad = ([r["score"] for r in met if r["quality"] == q] for q in (1, 0))
+    assert sum(g > b for g in good for b in bad) >= 0.95 * len(good) * len(bad)

@@ -8,7 +8,8 @@ count and the greatest count of each A id back to the documents.
 Texts are encoded whole, in segments: neither tokenizer has a token across a space between two visible characters (A's
 splitter starts a new piece there, no piece of B has its space mark after another character; this is checked when
 they are loaded, and otherwise nothing is cut). So a segment's groups are the same in every text, and a worker keeps what
-it has aligned, up to REMEMBERED segments. A text without such a space is one segment.
+it has aligned, up to REMEMBERED segments. A text without such a space is one segment. A's merges come in the order of its
+ids (checked, too), so ASCII segments are encoded by ranks, by a faster library, to the same ids.
 
 A document's pairs are written once, as arrays, to the shared folder. Counts are added up before they move. Pairs with more than
 one in COMMON of all (document, pair) rows, fewer than COMMON of them whatever the corpus, are joined back in a broadcast,
@@ -25,8 +26,11 @@ import hashlib
 import json
 import os
 import re
+import sys
+from array import array
+from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -38,8 +42,12 @@ from .common import written
 #: A space between visible characters, at which both tokenizers begin a token.
 CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
 SPACE_MARK = "▁"
-#: Segments that a worker remembers, the longest of these, segments aligned at once, bytes of text in one table of results.
-REMEMBERED, SHORT, BLOCK, PART = 100_000, 64, 20_000, 4 << 20
+#: A's rule of splitting, as a pattern. Fixed value.
+SPLITTER = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Segments that a worker remembers, the longest of these, segments of a long text aligned at once, characters of text looked up together.
+REMEMBERED, SHORT, BLOCK, GATHER = 240_000, 64, 20_000, 500_000
+#: Links of a group above which equal ids are counted before they are paired.
+LARGE = 256
 #: A pair with more than one in so many of all rows is joined back in a broadcast.
 COMMON = 100_000
 B_BITS = 32
@@ -64,113 +72,168 @@ class Aligner:
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        names = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size(with_added_tokens=True))]
+        size_a = self.a.get_vocab_size(with_added_tokens=True)
+        names = [self.a.id_to_token(i) or "" for i in range(size_a)]
         of = byte_characters()
         self.bytes_a = [bytes(of[c] for c in name) if all(c in of for c in name) else name.encode() for name in names]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE_MARK, " ").encode() for i, p in enumerate(pieces)]
-        splitter = json.loads(self.a.to_str())["pre_tokenizer"] or {}
-        by_rule = splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True) and not splitter.get("add_prefix_space")
+        self.name = [str(i) for i in range(max(size_a, len(pieces)))]
+        with open(path_a, encoding="utf-8") as file:
+            model = json.load(file)
+        splitter = model["pre_tokenizer"] or {}
+        by_rule = splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True) and not splitter.get("add_prefix_space") and not model["normalizer"]
         self.cuts = bool(by_rule) and not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in pieces)
-        self.known: dict[str, tuple | None] = {}
+        self.ranked = self._by_ranks(model["model"], by_rule)
+        self.young: dict[str, tuple | None] = {}
+        self.old: dict[str, tuple | None] = {}
+
+    def _by_ranks(self, model: dict, by_rule: bool):
+        """The same encoding for ASCII texts by a faster library, if A's merges come in the order of the ids that they make; else None."""
+        vocabulary, added = model["vocab"], {t for t in self.a.get_added_tokens_decoder()}
+        made = [vocabulary.get("".join(m) if isinstance(m, list) else m.replace(" ", "", 1)) for m in model["merges"]]
+        if not by_rule or None in made or made != sorted(made):
+            return None
+        import tiktoken
+
+        ranks = {self.bytes_a[i]: i for i in vocabulary.values() if i not in added}
+        return tiktoken.Encoding("ranks", pat_str=SPLITTER, mergeable_ranks=ranks, special_tokens={}) if len(ranks) == len(vocabulary) - len(added & set(vocabulary.values())) else None
+
+    def encode_a(self, texts: list[str]) -> list[list[int]]:
+        out: list = [self.ranked.encode_ordinary(t) if self.ranked and t.isascii() else None for t in texts]
+        others = [k for k, ids in enumerate(out) if ids is None]
+        for k, found in zip(others, self.a.encode_batch_fast([texts[k] for k in others], add_special_tokens=False), strict=True):
+            out[k] = found.ids
+        return out
 
-    def segments(self, text: str) -> Iterator[str]:
+    def segments(self, text: str) -> Iterator[list[str]]:
+        """The segments of a text, in blocks."""
         if not self.cuts:
-            yield text
-            return
-        start = 0
-        for found in CUT.finditer(text):
-            yield text[start : found.start()]
-            start = found.end()
-        yield text[start:]
+            yield [text]
+        elif len(text) <= GATHER:
+            every = CUT.split(text)
+            for k in range(0, len(every), BLOCK):
+                yield every[k : k + BLOCK]
+        else:
+            start, block = 0, []
+            for found in CUT.finditer(text):
+                block.append(text[start : found.start()])
+                start = found.end()
+                if len(block) == BLOCK:
+                    yield block
+                    block = []
+            yield [*block, text[start:]]
 
     def aligned(self, a: list[int], b: list[int], raw: bytes) -> tuple | None:
-        """(tokens of A, of B, groups, links, groups as text, pairs, how often each pair is linked) of two token lists over raw,
-        None if their bytes are others."""
-        bytes_a, bytes_b = self.bytes_a, self.bytes_b
+        """(groups as text, linked pairs as bytes, tokens of A, pairs of large groups with their times) of two token lists over raw; None if
+        their bytes are others."""
+        bytes_a, bytes_b, name = self.bytes_a, self.bytes_b, self.name
         if b"".join([bytes_a[x] for x in a]) != raw or b"".join([bytes_b[x] for x in b]) != raw:
             return None
+        if len(a) == 1 and len(b) == 1:
+            return name[a[0]] + "|" + name[b[0]], (a[0] << B_BITS | b[0]).to_bytes(8, sys.byteorder), 1, None
+        ends_a, ends_b = list(accumulate([len(bytes_a[x]) for x in a])), list(accumulate([len(bytes_b[y]) for y in b]))
         said: list[str] = []
-        pairs: dict[int, int] = {}
-        links = i = j = from_a = from_b = 0
-        end_a = end_b = 0
-        while i < len(a):
-            # Whichever token list is behind moves on; where both stand at one byte, a group ends.
-            if end_a <= end_b:
-                end_a += len(bytes_a[a[i]])
+        pairs, large = [], None
+        i = j = from_a = from_b = 0
+        n = len(a)
+        while i < n:
+            # Whichever list is behind moves on; where both end at one byte, a group ends.
+            end_a, end_b = ends_a[i], ends_b[j]
+            if end_a < end_b:
                 i += 1
-            while end_b < end_a:
-                end_b += len(bytes_b[b[j]])
-                j += 1
-            if end_a == end_b:
+                continue
+            j += 1
+            if end_b < end_a:
+                continue
+            i += 1
+            if i - from_a == 1 and j - from_b == 1:
+                x, y = a[from_a], b[from_b]
+                said.append(name[x] + "|" + name[y])
+                pairs.append(x << B_BITS | y)
+            else:
                 own, other = a[from_a:i], b[from_b:j]
-                links += len(own) * len(other)
-                said.append(",".join(map(str, own)) + "|" + ",".join(map(str, other)))
-                for x, n in _counted(own):
-                    for y, m in _counted(other):
-                        pair = x << B_BITS | y
-                        pairs[pair] = pairs.get(pair, 0) + n * m
-                from_a, from_b = i, j
-        return len(a), len(b), len(said), links, ";".join(said), np.fromiter(pairs.keys(), np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs))
-
-    def _learn(self, block: list[str]) -> dict[str, tuple | None]:
-        """What is known of a block's segments; those not met before are encoded together."""
-        known = self.known
-        new = [s for s in dict.fromkeys(block) if s not in known]
-        fresh = {}
+                said.append(",".join([name[x] for x in own]) + "|" + ",".join([name[y] for y in other]))
+                if len(own) * len(other) <= LARGE:
+                    pairs += [x << B_BITS | y for x in own for y in other]
+                else:
+                    large = large or Counter()
+                    for x, times in Counter(own).items():
+                        for y, more in Counter(other).items():
+                            large[x << B_BITS | y] += times * more
+            from_a, from_b = i, j
+        return ";".join(said), array("q", pairs).tobytes(), n, large
+
+    def _found(self, block: list[str]) -> list[tuple | None]:
+        """What each segment of a block comes to; those not met before are encoded together."""
+        young, old = self.young, self.old
+        new = [s for s in set(block) if s not in young]
+        if old:
+            for s in new:
+                if s in old:
+                    young[s] = old[s]
+            new = [s for s in new if s not in young]
         if new:
-            ids = self.a.encode_batch_fast([" " + s for s in new], add_special_tokens=False)
-            for s, x, y in zip(new, ids, self.b.encode(new, num_threads=1), strict=True):
-                fresh[s] = self.aligned(x.ids, y, b" " + s.encode())
-        out = {s: fresh[s] if s in fresh else known[s] for s in block}
-        if len(known) + len(fresh) > REMEMBERED:
-            known.clear()
-        known.update((s, x) for s, x in islice(fresh.items(), REMEMBERED) if len(s) <= SHORT)
+            for s, x, y in zip(new, self.encode_a([" " + s for s in new]), self.b.encode(new, num_threads=1), strict=True):
+                young[s] = self.aligned(x, y, b" " + s.encode("utf-8", "surrogatepass"))
+        each = [young[s] for s in block]
+        for s in new:
+            if len(s) > SHORT:
+                del young[s]
+        if len(young) > REMEMBERED // 2:  # what is met again moves on to the next generation
+            self.old, self.young = young, {}
+        return each
+
+    def documents(self, texts: list[str | None]) -> list[tuple[int, int, int, int, str, np.ndarray, np.ndarray]]:
+        """Of each whole text: tokens of A and B, groups, links, digest of the groups, distinct pairs and their links. Short texts are looked up
+        together, long ones in blocks."""
+        out: list = [self._together([])] * len(texts)
+        short = {}
+        for k, text in enumerate(texts):
+            if text and self.cuts and len(text) <= GATHER:
+                short[k] = CUT.split(text)
+            elif text:
+                out[k] = self._together(self._found(block) for block in self.segments(text))
+        each, start = self._found([s for own in short.values() for s in own]), 0
+        for k, own in short.items():
+            out[k] = self._together([each[start : start + len(own)]])
+            start += len(own)
         return out
 
-    def document(self, text: str | None) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
-        """Tokens of A and B, groups, links, digest of the groups, distinct pairs and their links of a whole text."""
-        none = np.zeros(0, np.int64)
-        if not text:
-            return 0, 0, 0, 0, "", none, none
-        digest, first = hashlib.sha256(), True
-        n_a = n_b = groups = links = 0
-        codes, times = [none], [none]
-        segments = self.segments(text)
-        while block := list(islice(segments, BLOCK)):
-            found = self._learn(block)
-            each = [found[s] for s in block]
+    def _together(self, blocks) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
+        """What the blocks of a text's segments come to; nothing if a segment has no alignment."""
+        digest, large = hashlib.sha256(), Counter()
+        n_a = tokens = groups = 0
+        codes, times = [], []
+        for each in blocks:
             if None in each:
-                return 0, 0, 0, 0, "", none, none
-            digest.update((("" if first else ";") + ";".join([x[4] for x in each])).encode())
-            first = False
-            n_a += sum([x[0] for x in each])
-            n_b += sum([x[1] for x in each])
-            groups += sum([x[2] for x in each])
-            links += sum([x[3] for x in each])
-            merged = _summed(np.concatenate([x[5] for x in each]), np.concatenate([x[6] for x in each]))
-            codes.append(merged[0])
-            times.append(merged[1])
-        if len(codes) > 2:
-            codes, times = ([x] for x in _summed(np.concatenate(codes), np.concatenate(times)))
-        return n_a, n_b, groups, links, digest.hexdigest(), codes[-1], times[-1]
-
-
-def _counted(ids: list[int]):
-    """The distinct ids with their numbers."""
-    if len(ids) == 1:
-        return ((ids[0], 1),)
-    out: dict[int, int] = {}
-    for x in ids:
-        out[x] = out.get(x, 0) + 1
-    return out.items()
+                codes = []
+                break
+            said, linked, numbers, larger = zip(*each, strict=True)
+            said = ";".join(said)
+            digest.update((";" + said if codes else said).encode())
+            n_a += sum(numbers)
+            groups += said.count("|")
+            tokens += said.count(",") + said.count(";") + said.count("|") + 1
+            found, n = np.unique(np.frombuffer(b"".join(linked), np.int64), return_counts=True)
+            codes.append(found)
+            times.append(n)
+            for more in filter(None, larger):
+                large.update(more)
+        if not codes:
+            return 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if large:
+            codes.append(np.fromiter(large.keys(), np.int64, len(large)))
+            times.append(np.fromiter(large.values(), np.int64, len(large)))
+        found, n = (codes[0], times[0]) if len(codes) == 1 else _summed(np.concatenate(codes), np.concatenate(times))
+        return n_a, tokens - n_a, groups, int(n.sum()), digest.hexdigest(), found, n
 
 
 def _summed(codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(codes, kind="stable")
-    codes, times = codes[order], times[order]
-    starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
-    return codes[starts], np.add.reduceat(times, starts) if len(starts) else times
+    distinct, place = np.unique(codes, return_inverse=True)
+    out = np.zeros(len(distinct), np.int64)
+    np.add.at(out, place, times)
+    return distinct, out
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -190,19 +253,19 @@ def documents_aligned(docs: DataFrame, path_a: str, path_b: str, id_column: str
     def run(tables):
         aligner = _aligner(path_a, path_b)
         for table in tables:
-            done, size = [], 0
-            for doc_id, key, text in zip(table["doc_id"], table["key"], table["text"], strict=True):
-                done.append((doc_id, key, *aligner.document(text)))
-                size += len(text or "")
-                if size >= PART:
-                    yield packed(done, table)
-                    done, size = [], 0
-            if done:
-                yield packed(done, table)
-
-    def packed(done, table):
-        out = pd.DataFrame(done, columns=names)
-        return out.astype({"doc_id": table["doc_id"].dtype})
+            texts = table["text"].tolist()
+            start = 0
+            while start < len(texts):
+                stop, size = start, 0
+                while stop < len(texts) and size < GATHER:
+                    size += len(texts[stop] or "")
+                    stop += 1
+                done = aligner.documents(texts[start:stop])
+                yield packed([(i, k, *x) for i, k, x in zip(table["doc_id"][start:stop], table["key"][start:stop], done, strict=True)])
+                start = stop
+
+    def packed(done):
+        return pd.DataFrame(done, columns=names)
 
     # Ids travel as text: pandas would read whole numbers with nulls among them as floats.
     rows = docs.select(F.col(id_column).cast("string").alias("doc_id"), F.monotonically_increasing_id().alias("key"), F.col(text_column).alias("text"))
