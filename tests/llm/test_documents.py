@@ -284,13 +284,64 @@ def test_decontamination(spark, docs):
     own = spark.createDataFrame([(i, t, "k", 0) for i, t in table], "doc_id long, text string, item_id string, key int")
     bench = spark.createDataFrame([(10, " ".join(item)), (11, " ".join(short)), (12, "too short"), (13, None)], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(own, bench).collect()}
-    assert got == {(1, 10), (2, 10), (3, 10), (5, 11), (None, 10)}
+    assert got == {(1, 10), (2, 10), (3, 10), (5, 11), (6, 11), (None, 10)}  # of seven words six are enough
     left = decontaminate.clean(own, bench)
-    assert left.columns == own.columns and sorted(r["doc_id"] for r in left.collect()) == [4, 6, 7, 8]
+    assert left.columns == own.columns and sorted(r["doc_id"] for r in left.collect()) == [4, 7, 8]
+    assert sorted(r["doc_id"] for r in decontaminate.clean(own, bench, shortest=8).collect()) == [4, 5, 6, 7, 8]
     assert decontaminate.contaminated(own, bench.where("false")).count() == 0
     assert decontaminate.contaminated(docs, bench).count() == 0
 
 
+def plain_overlaps(texts, items):
+    """(text, item): (words matched, window), every place of every item against every place of every text."""
+    out = {}
+    for i, text in texts:
+        w = [x for x in re.split(r"[\W_]+", (text or "").lower()) if x]
+        for k, item in items:
+            v = [x for x in re.split(r"[\W_]+", (item or "").lower()) if x]
+            n = min(len(v), 13)
+            best = max((sum(w[at + x] == v[own + x] for x in range(n)) for at in range(len(w) - n + 1) for own in range(len(v) - n + 1)), default=-1) if n else -1
+            if n and 100 * best >= 80 * n:
+                out[i, k] = (best, n)
+    return out
+
+
+@pytest.mark.parametrize("block", [1_000_000, 60])
+def test_decontamination_of_all_lengths(spark, monkeypatch, block):
+    """Items of 1 to 20 words, some with words changed, repeated words, and items within items, against every place of every text."""
+    monkeypatch.setattr(decontaminate, "BLOCK_SEEDS", block)
+    rng = random.Random(12)
+    say = lambda n: [rng.choice("abcdefghijklmnop") + str(rng.randrange(30)) for _ in range(n)]
+    items = [(n, " ".join(say(n))) for n in range(1, 21)] + [(30, "la " * 40), (31, "la la la"), (32, "do re mi " * 9)]
+    texts = [(1, None), (2, ""), (3, "la " * 60), (4, "do re mi do re mi fa " * 8), (5, "la")]
+    for n, item in items[:20]:
+        for changes in range(4):
+            w = item.split()
+            for at in rng.sample(range(n), min(n, changes)):
+                w[at] = "changed"
+            texts.append((100 * n + changes, " ".join(say(5) + w + say(5)) if changes % 2 else " ".join(w)))
+    bench, own = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string")
+    want = plain_overlaps(texts, items)
+    got = {(r["doc_id"], r["item_id"]): (r["matched_words"], r["window_words"]) for r in decontaminate.contaminated(own, bench).collect()}
+    assert got == want and (400, 4) in got and (1002, 10) in got
+    assert {r["doc_id"] for r in decontaminate.clean(own, bench).collect()} == {i for i, _ in texts} - {i for i, _ in want}
+
+
+def test_decontamination_of_one_word_repeated(spark):
+    """Twenty thousand equal words on both sides: places of an item that look alike are one."""
+    import time
+
+    table = [(1, "la " * 20_000), (2, "la " * 9 + "x"), (3, "other words"), (4, "do re " * 10_000)]
+    own, bench = spark.createDataFrame(table, "doc_id long, text string"), spark.createDataFrame([(1, "la " * 20_000), (2, "do re " * 9_000)], "item_id long, text string")
+    began = time.time()
+    got = {(r["doc_id"], r["item_id"]): r["matched_words"] for r in decontaminate.contaminated(own, bench).collect()}
+    assert got == {(1, 1): 13, (4, 2): 13} and time.time() - began < 60
+    phrase = "one phrase of six small words"
+    many = spark.createDataFrame([(k, f"{phrase} item {k} has others {k * 7} {k * 11} {k * 13} and {k * 17} besides {k * 19}") for k in range(300)], "item_id long, text string")
+    texts = spark.createDataFrame([(k, phrase + f" text {k}") for k in range(50)], "doc_id long, text string")
+    assert decontaminate.clean(texts, many).count() == 50
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     rng = random.Random(2)
     items = [(i, " ".join(str(rng.randrange(10**6)) for _ in range(25))) for i in range(12)]

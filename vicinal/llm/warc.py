@@ -9,9 +9,9 @@ archive counts only if the manifest, which Spark commits, names it: lost executo
 
 Defined cases: a null payload counts as empty; rows with a null id are archived like others but never the response
 others refer to unless all ids of the payload are null, and then each is a response; rows that repeat an id and
-payload repeat the record type; of records with one page_id in a task the first has a WARC-Record-ID made of the page_id,
-all others and those without page_id one made of their archive and place; an empty table makes no archive and no rows;
-other columns are ignored. Archives that the manifest does not name are removed once it is written.
+payload repeat the record type; a record has a WARC-Record-ID made of its page_id if no other row has that page_id, else, as without page_id, one
+made of its archive and place, and revisits of a page_id that several rows have name the page alone, not a record; an empty table makes no
+archive and no rows; other columns are ignored. Archives that the manifest does not name are removed once it is written.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ MAGIC = 0x184D2A5D
 #: Bytes of a dictionary, of the sample it is built from, and of one sampled record.
 DICTIONARY, SAMPLE, SAMPLED_RECORD = 64 << 10, 2 << 20, 32 << 10
 LEVEL, ARCHIVE_BYTES, SALTS = 3, 512 << 20, 16
+#: Repeated page_ids that are broadcast to the rows; more are joined.
+BROADCAST_IDS = 500_000
 DATE = "2000-01-01T00:00:00Z"
 
 
@@ -45,9 +47,9 @@ def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(uri: str, page_id, payload: bytes | None, size: int, digest: str, refers_to=None, name_of: str | None = None) -> bytes:
+def record(uri: str, page_id, payload: bytes | None, size: int, digest: str, refers_to=None, name_of: str | None = None, named: bool = True) -> bytes:
     """A WARC/1.1 record: a response, or a revisit if refers_to is given, which holds the HTTP header alone. Its id is made
-    of page_id, so that revisits can tell that of their response, or of name_of, if given."""
+    of page_id, so that revisits can tell that of their response, or of name_of, if given. named: whether refers_to names one record."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http + payload if refers_to is None else http
     name = lambda x: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, str(x))}>"
@@ -59,7 +61,9 @@ def record(uri: str, page_id, payload: bytes | None, size: int, digest: str, ref
     if page_id is not None:
         lines.append(f"X-Page-ID: {page_id}")
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers_to)}", f"X-Refers-To-Page-ID: {refers_to}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}"]
+        if named:
+            lines.append(f"WARC-Refers-To: {name(refers_to)}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -147,22 +151,30 @@ def _open(uri: str):
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = 0, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html") -> DataFrame:
-    """page_id, url, payload (null in revisits), payload_bytes, sha1 (hex), refers_to.
+    """page_id, url, payload (null in revisits), payload_bytes, sha1 (hex), refers_to, repeated and first_repeated (whether several rows have
+    this page_id, or that of refers_to).
 
-    Payload groups are summed to their smallest id before they move, and only groups of two or more come back to the
+    Page ids are counted over narrow rows; only repeated ones come back. Payload groups are summed to their smallest id before they move, and only groups of two or more come back to the
     rows, each in SALTS copies, so that one payload shared by a third of all pages is spread over many tasks.
     """
     payload = F.coalesce(F.col(payload_column), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_column).alias("page_id"), F.coalesce(F.col(url_column), F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
+    repeated = written(rows.groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1 AND page_id IS NOT NULL").select("page_id"), "repeated-ids")
+    sent = F.broadcast(repeated) if repeated.count() <= BROADCAST_IDS else repeated
+    often = lambda table, key: table.join(sent.select(F.col("page_id").alias(key), F.lit(True).alias("_r")), key, "left")
     narrow = rows.where(F.col("payload_bytes") >= min_bytes).select("sha1", "page_id")
     groups = narrow.groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    groups = often(groups, "first_id").withColumn("first_repeated", F.coalesce("_r", F.lit(False))).drop("_r")
     groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    salted = often(rows, "page_id").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     joined = salted.join(groups.hint("merge"), ["sha1", "salt"], "left")
     revisit = (F.col("payload_bytes") >= min_bytes) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     refers = F.when(revisit, F.col("first_id"))
-    return joined.select("page_id", "url", F.when(refers.isNull(), F.col("payload")).alias("payload"), "payload_bytes", "sha1", refers.alias("refers_to"))
+    return joined.select(
+        "page_id", "url", F.when(refers.isNull(), F.col("payload")).alias("payload"), "payload_bytes", "sha1", refers.alias("refers_to"),
+        (F.coalesce("_r", F.lit(False)) | F.col("page_id").isNull()).alias("repeated"), F.coalesce("first_repeated", F.lit(False)).alias("first_repeated"),
+    )
 
 
 def write_archives(pages: DataFrame, folder: str, **columns) -> DataFrame:
@@ -170,7 +182,7 @@ def write_archives(pages: DataFrame, folder: str, **columns) -> DataFrame:
 
     def run(batches):
         writer = stream = system = uri = None
-        done, seen = [], set()
+        done = []
 
         def close():
             writer.close()
@@ -178,7 +190,7 @@ def write_archives(pages: DataFrame, folder: str, **columns) -> DataFrame:
             done.append((uri, writer.count, writer.bytes))
 
         for batch in batches:
-            for page_id, url, payload, size, sha1, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, payload, size, sha1, refers, repeated, first_repeated in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if writer is None:
                     uri = f"{folder}/{uuid.uuid4().hex}.warc.zst"
                     system, path = _open(uri)
@@ -186,9 +198,7 @@ def write_archives(pages: DataFrame, folder: str, **columns) -> DataFrame:
                     stream = system.open_output_stream(path, compression=None)
                     writer = ArchiveWriter(stream)
                 digest = base64.b32encode(bytes.fromhex(sha1)).decode()
-                again = page_id is None or page_id in seen
-                seen.add(page_id)
-                writer.add(record(url, page_id, payload, size, digest, refers, f"{uri}#{writer.count}" if again else None))
+                writer.add(record(url, page_id, payload, size, digest, refers, f"{uri}#{writer.count}" if repeated else None, not first_repeated))
                 if writer.bytes >= ARCHIVE_BYTES:
                     close()
                     writer = None
