@@ -428,7 +428,8 @@ def sql_functions(spark, d):
     pair_bg_all(spark, d).createOrReplaceTempView("vicinal_counts")
     _found_once(spark, d).createOrReplaceTempView("vicinal_distances")
     return spark.sql("""
-WITH m AS (SELECT gene_A, gene_B, kde_mode(distance) AS mode FROM vicinal_distances GROUP BY gene_A, gene_B HAVING count(*) >= 20)
+WITH e AS (SELECT gene_A, gene_B FROM vicinal_distances GROUP BY gene_A, gene_B HAVING count(*) >= 20),
+m AS (SELECT gene_A, gene_B, kde_mode(distance) AS mode FROM vicinal_distances LEFT SEMI JOIN e USING (gene_A, gene_B) GROUP BY gene_A, gene_B)
 SELECT c.gene_A, c.gene_B, round(log10(hypergeom_sf(gene_B_around, gene_slice, gene_B_slice, gene_around)), 6) + 0.0D AS log_p,
   round(mode, 6) AS mode, round(random_density(mode, 5.0D), 6) AS density, round(random_share(mode, 5.0D), 6) AS share
 FROM vicinal_counts c LEFT JOIN m ON m.gene_A = c.gene_A AND m.gene_B = c.gene_B""")
