@@ -203,6 +203,9 @@ def test_lines():
         ('<main><article>Post.</article><article class="comment">me too</article></main>', ["Post."]),
         ('<aside><article>teaser</article></aside><div class="cookie-notice">ok?</div><p>Real text.</p>', ["Real text."]),
         ('<body class="has-menu login"><p>Real text.</p><p class="ad">buy</p></body>', ["Real text."]),
+        ('<main><div class="related-work"><p>Real text.</p></div><p>x</p></main>', ["Real text.", "x"]),
+        ('<main><section id="search"><p>How search engines work</p></section><p>b</p></main>', ["How search engines work", "b"]),
+        ('<article><p>a</p><div class="post ad">buy</div><section class="comments" id="c"><p>me too</p></section></article>', ["a"]),
         ("<svg><p>Real text.</p>", ["Real text."]),
         ("<p hidden>x<div>Real text.</div>", ["Real text."]),
         ("<p>&#" + "1" * 9000 + ";a&#00000000065;</p>", ["\ufffdaA"]),
@@ -256,6 +259,22 @@ def test_differencing(spark):
     assert htmltext.extracted(table(spark, rows).where("false")).count() == 0
 
 
+def test_differencing_runs_where_it_decides(spark, monkeypatch):
+    """Without it pages that name no article come out with their frame; where every page names one it isn't run."""
+    frame = "<div>Home of news</div><div>{}</div><div>Contact us today</div>"
+    rows = [(i, f"http://h/{i:03d}", frame.format(f"story {i}")) for i in range(6)]
+    rows += [(10 + i, f"http://named/{i}", f"<nav>go</nav><article><p>Shared opening</p><p>story {i}</p></article>") for i in range(4)]
+    asked = []
+    plain = htmltext.shared_lines
+    monkeypatch.setattr(htmltext, "shared_lines", lambda pages: asked.append(pages) or plain(pages))
+    text = {r["page_id"]: r["text"] for r in htmltext.extracted(table(spark, rows)).collect()}
+    assert [text[i] for i in (0, 3, 10, 13)] == ["story 0", "story 3", "Shared opening\nstory 0", "Shared opening\nstory 3"]
+    assert {r["host"] for r in asked[0].select("host").distinct().collect()} == {"h"}
+    assert htmltext.extracted(table(spark, rows[6:])).count() == 4 and len(asked) == 1
+    monkeypatch.setattr(htmltext, "shared_lines", lambda pages: plain(pages.where("false")))
+    assert htmltext.extracted(table(spark, rows)).where("page_id = 3").first()["text"] == "Home of news\nstory 3\nContact us today"
+
+
 def test_neighbours_across_partitions(spark):
     rows = [(i, f"http://h/{i:02d}", f"<p>{i}</p>") for i in range(23)]
     got = {r["path"]: (r["path_before"], r["path_after"]) for r in htmltext.neighbours(htmltext.parsed(table(spark, rows).repartition(5))).collect()}
