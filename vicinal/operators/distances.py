@@ -104,15 +104,17 @@ def sampled(found: DataFrame, most: int | None, bucket_rows: int = BUCKET_ROWS)
     return own.where(F.col("count") <= most).unionByName(chosen.select(own.columns))
 
 
-def shapes(found: DataFrame, least: int = 100, most: int | None = 10_000, mode: bool = True, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def shapes(found: DataFrame, least: int = 100, most: int | None = 10_000, mode: bool = True, bucket_rows: int = BUCKET_ROWS, keep=_kept) -> DataFrame:
     """gene_A, gene_B, shape_count, mode, skewness, kurtosis (population), median, q25, q75, iqr of pairs with enough distances.
 
     Moments are partial aggregates. Quantiles are an aggregate of their own for pairs of at most ``bucket_rows`` distances and are selected
     by rank for the others (quantiles()); modes come from kernel sums (modes()). So no task holds a pair. found is read several times
-    and should be a written table.
+    and should be a written table; what modes read several times, keep (table, name) -> table writes.
     """
     own = sampled(found, most).where(F.col("count") >= least)
     some_large = most is None or most > bucket_rows
+    if mode:
+        own = keep(own, "shape-distances")
     small = F.when(F.col("count") <= bucket_rows, F.col("distance")) if some_large else F.col("distance")
     q = F.percentile(small, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     out = own.groupBy(*PAIR).agg(F.max("count").alias("shape_count"), F.skewness("distance").alias("skewness"), F.kurtosis("distance").alias("kurtosis"), q.alias("_q"))

@@ -71,7 +71,7 @@ def shape_result(points: DataFrame, raw: DataFrame, config: RunConfig, stage=lam
     the shapes read them many times, ``stage`` should write them."""
     wanted = raw.where(F.col("qvalue_BH") < config.shape_qvalue_threshold).select("gene_A", "gene_B")
     found = stage(distances.distances(prepared(points, config), config.r_dist, wanted), "distances")
-    shape = stage(distances.shapes(found, config.around_count_threshold, config.shape_max_distance_count), "undirected-shape")
+    shape = stage(distances.shapes(found, config.around_count_threshold, config.shape_max_distance_count, keep=stage), "undirected-shape")
     return distances.relative(distances.directed(shape), config.r_dist).join(wanted, ["gene_A", "gene_B"], "left_semi")
 
 
