@@ -19,7 +19,7 @@ def plain_sums(spots, bandwidth, points):
     return total
 
 
-@pytest.mark.parametrize("bandwidth", [8.0, 11.5, 40.0, 300.0])
+@pytest.mark.parametrize("bandwidth", [4.0, 8.0, 11.5, 40.0, 300.0])
 @pytest.mark.parametrize("points", [60, 600])
 def test_convolution(bandwidth, points):
     rng = np.random.default_rng(3)
@@ -108,6 +108,16 @@ def test_curves(found):
             assert [y for _, y in sorted(got["_".join(pair)])] == pytest.approx((sums / area).tolist(), abs=1e-10), pair
 
 
+def test_a_curve_far_from_its_grid(spark):
+    """Two close distances between two points of a coarse grid: the curve is that of the definition, however small before it is scaled."""
+    values = [1.057, 1.061]
+    own = spark.createDataFrame([("p", v) for v in values], "pair string, distance double")
+    got = sorted((r["distance"], r["density"]) for r in figures.distance_curves(own, 5.0, 60).where("pair = 'p'").collect())
+    sums = plain_sums(np.array(values) / (5 / 59), np.std(values, ddof=1) * 2**-0.2 / (5 / 59), 60)
+    assert 0 < sums.max() < 1e-10
+    assert [y for _, y in got] == pytest.approx((sums / ((sums[:-1] + sums[1:]).sum() / 2 * (5 / 59))).tolist(), rel=1e-9)
+
+
 def test_no_plan_crosses_distances_with_a_grid(found):
     own = found[0].select(F.concat_ws("_", "gene_A", "gene_B").alias("pair"), "distance")
     for table in (figures.distance_curves(own, 5.0), distances.modes(found[0])):

@@ -6,9 +6,10 @@ with the kernel's Hermite expansion. For t steps of bandwidth from a step's midd
 
     exp(-(t - v)^2 / 2) = exp(-t^2 / 2) * sum over k of He_k(t) v^k / k!
 
-and as |v| is at most 1 / (2 SMOOTH), the terms left out come to less than (1 / 16)^9 / sqrt(9!) < 3e-14 a row. Narrower kernels touch
-few points of the grid: each row is joined with the points in REACH bandwidths, at most 2 * REACH * SMOOTH + 1, and these are summed.
-Either way no task holds a group, and what is left out beyond REACH bandwidths is below 3e-18 a row.
+and as |v| is at most 1 / (2 SMOOTH), the terms left out come to less than (1 / 8)^11 / sqrt(11!) < 2e-14 a row, and what lies beyond REACH
+bandwidths to less than 3e-18. Narrower kernels touch few points of the grid: each row is dealt to those at which its kernel isn't zero as a
+number, in UNDERFLOW bandwidths, and these are summed; so a curve is told even where all points lie far from all rows.
+Either way no task holds a group.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Least bandwidth, in steps, of the expansion; its highest power; bandwidths after which a kernel ends.
-SMOOTH, MOMENTS, REACH = 8.0, 8, 9.0
+#: Least bandwidth, in steps, of the expansion; its highest power; bandwidths after which a kernel is left out there, and after which it is zero as a number.
+SMOOTH, MOMENTS, REACH, UNDERFLOW = 4.0, 10, 9.0, 38.7
 
 
 def convolved(steps: np.ndarray, moments: np.ndarray, bandwidth: float, points: int) -> np.ndarray:
@@ -50,7 +51,7 @@ def _powers(offset: Column) -> list[Column]:
 def kernel_sums(rows: DataFrame, keys: list[str], points: int, result, schema: str) -> DataFrame:
     """result(sums, facts) of each group of rows (keys, spot, bandwidth, times, facts): sums are those of the Gaussian kernels, at their full height, at
     0 .. points - 1; facts is the group's struct column, the same in all its rows. ``times`` counts equal rows; spots are in [0, points - 1].
-    result returns a pandas table of ``schema``, to which the keys are added. Groups without bandwidth (0 or null) have no kernels."""
+    result returns a pandas table of ``schema``, to which the keys are added. Groups without bandwidth (0 or null), or all of whose points are zero, have no result."""
     names = [f"m{k}" for k in range(MOMENTS + 1)]
     kinds = dict(rows.dtypes)
     own = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
@@ -74,7 +75,7 @@ def kernel_sums(rows: DataFrame, keys: list[str], points: int, result, schema: s
     step = F.least(F.floor("spot"), F.lit(points - 1)).cast("int").alias("step")
     steps = wide.select("*", step).groupBy(*keys, "step").agg(F.first("bandwidth").alias("bandwidth"), F.first("facts").alias("facts"), *_powers(F.col("spot") - F.col("step") - 0.5))
     tight = rows.where((F.col("bandwidth") > 0) & (F.col("bandwidth") < SMOOTH))
-    low, high = F.ceil(F.col("spot") - REACH * F.col("bandwidth")), F.floor(F.col("spot") + REACH * F.col("bandwidth"))
+    low, high = F.ceil(F.col("spot") - UNDERFLOW * F.col("bandwidth")), F.floor(F.col("spot") + UNDERFLOW * F.col("bandwidth"))
     near = F.explode(F.when(low <= high, F.sequence(F.greatest(low, F.lit(0)), F.least(high, F.lit(points - 1)))))
     touched = tight.select("*", near.alias("at"))
     bell = F.exp(-0.5 * F.pow((F.col("at") - F.col("spot")) / F.col("bandwidth"), 2)) * F.col("times")

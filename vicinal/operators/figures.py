@@ -26,7 +26,7 @@ def distance_curves(found: DataFrame, reach: float, points: int = 600) -> DataFr
     bandwidth by Scott's rule, scaled to area 1 on the grid; and the density of random points in a disk.
 
     The sums are those of kernels.kernel_sums: distances are added up by step of the grid before anything moves, and a group is a
-    pair's steps. Pairs with fewer than two different distances have no curve. found is read twice and should be a written table.
+    pair's steps. Pairs with fewer than two different distances, or with kernels that are zero at all points, have no curve. found is read twice and should be a written table.
     """
     own = found.where((F.col("distance") >= 0) & (F.col("distance") <= reach))
     facts = own.groupBy("pair").agg(F.count("*").alias("n"), F.stddev_samp("distance").alias("s")).where("n > 1 AND s > 0")
@@ -37,6 +37,8 @@ def distance_curves(found: DataFrame, reach: float, points: int = 600) -> DataFr
 
     def scaled(sums: np.ndarray, _) -> pd.DataFrame:
         area = (sums[:-1] + sums[1:]).sum() / 2 * step
+        if not area > 0:
+            return pd.DataFrame({"distance": np.zeros(0), "density": np.zeros(0)})
         return pd.DataFrame({"distance": np.arange(points) * step, "density": sums / area})
 
     curves = kernel_sums(rows, ["pair"], points, scaled, "distance double, density double")
