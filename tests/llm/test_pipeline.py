@@ -1,4 +1,4 @@
-"""The pipeline's stages on driver tables against brute force, and its contract."""
+"""The pipeline's contract on driver tables (test_pipeline_rows.py holds its rows against plain Python), and the queries' SQL."""
 
 import os
 
@@ -36,7 +36,7 @@ def test_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     got, want = queries.queries()[name](spark, DATA), con.sql(queries.oracle_sql()[name])
     columns = sorted(got.columns)
