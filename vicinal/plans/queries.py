@@ -489,7 +489,7 @@ bg AS (SELECT kk.gene_A, kk.gene_B, k AS gene_B_around, gb.n AS gene_B_slice, nn
   FROM kk JOIN nn ON nn.ag = gene_A JOIN gc ga ON ga.g = gene_A JOIN gc gb ON gb.g = gene_B)"""
 
 
-_BG_WITH = _BG_ALL.replace("pts AS (", "base AS (", 1).replace("pix AS (", "pts AS (SELECT * FROM base UNION ALL SELECT x + 0.5, y, z, 'with ' || g, c FROM base WHERE z = 7),\npix AS (", 1)
+_BG_WITH = _BG_ALL.replace("pts AS (", "base AS (", 1).replace("pix AS (", "every AS (SELECT * FROM base UNION ALL SELECT x + 0.5, y, z, 'with ' || g, c FROM base WHERE z = 7),\npts AS (SELECT * FROM every WHERE g IN (SELECT g FROM every GROUP BY g HAVING count(*) >= 5)),\npix AS (", 1)
 
 
 def _bg_together(source: str, reach: float, metric: str, weight: str, continuous: bool = False) -> str:
