@@ -45,6 +45,26 @@ def test_pairs(spark, tmp_path):
         transcripts.read_pairs(spark, write(tmp_path, "gene_A,gene_B\n"))
 
 
+def test_pair_lists_above_the_list_bound(spark, tmp_path, monkeypatch):
+    """A file with more rows than a list may have is numbered on the executors, in the order of the file, as a list would be."""
+    from vicinal.plans import queries
+
+    rows = [(f"g{i * 7919 % 1013}", f" h{i * 31 % 977}\u2003") for i in range(20_000)] + [("h1", "g0"), ("g0", "h1")]
+    path = write(tmp_path, "gene_A,gene_B\n" + "".join(f"{a},{b}\n" for a, b in rows))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        found = transcripts.read_pair_table(spark, path)
+        assert found.schema == transcripts.pair_table(spark, [("a", "b")]).schema
+        assert [tuple(r) for r in found.orderBy("ordinal").collect()] == [tuple(r) for r in transcripts.pair_table(spark, rows).orderBy("ordinal").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for bad in ("gene_A,gene_B\n", "gene_A,gene_B\na,a\n", "gene_A,gene_B\na,\n"):
+        with pytest.raises(ValueError):
+            transcripts.read_pair_table(spark, write(tmp_path, bad))
+    monkeypatch.setattr(transcripts.read_pairs, "__defaults__", (10,))  # the query took the bounded list before
+    assert queries.scan_pairs(spark, "/root/testdata/sf0.001").count() > 10
+
+
 def test_options():
     assert check_radii([2, 0.5]) == [0.5, 2.0]
     for bad in ([1, 1], [0], [-1], [float("inf")], None, []):

@@ -21,10 +21,10 @@ def session(name: str = "vicinal") -> SparkSession:
     return SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
-def _pairs(spark: SparkSession, args) -> list[tuple[str, str]]:
+def _pairs(spark: SparkSession, args) -> DataFrame:
     if bool(args.pair) == bool(args.pairs_file):
         raise ValueError("give either --pair or --pairs_file")
-    return [tuple(p) for p in args.pair] if args.pair else transcripts.read_pairs(spark, args.pairs_file)
+    return transcripts.pair_table(spark, [tuple(p) for p in args.pair]) if args.pair else transcripts.read_pair_table(spark, args.pairs_file)
 
 
 def _config(args, r_check) -> RunConfig:
@@ -71,7 +71,7 @@ def run(args, spark: SparkSession) -> list[str]:
 
 
 def run_events(args, spark: SparkSession) -> str:
-    pairs = transcripts.pair_table(spark, _pairs(spark, args))
+    pairs = _pairs(spark, args)
     (radius,) = check_radii(args.r_check)
     points = transcripts.read_points(spark, args.data_path, args.column_name, finite=True)
     absent = [r[0] for r in transcripts.missing_genes(points, pairs).collect()]
@@ -85,7 +85,7 @@ def run_events(args, spark: SparkSession) -> str:
 
 def run_distances(args, spark: SparkSession) -> str:
     """Export from retained distances, or from points."""
-    pairs = transcripts.pair_table(spark, _pairs(spark, args))
+    pairs = _pairs(spark, args)
     if args.max_distance_count is not None and args.max_distance_count < max(1, args.min_distance_count):
         raise ValueError("max_distance_count is below min_distance_count")
     wanted = pairs.select(F.col("gene_1").alias("gene_A"), F.col("gene_2").alias("gene_B"))

@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 from . import sinks
 
 SEGMENTED = ("x", "y", "z", "geneID", "cell")
+#: What str.strip() takes from a name.
+WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 #: Columns of a raw result, in order.
 RESULT = [
     ("gene_A", "string"), ("gene_B", "string"), ("pvalue", "double"), ("qvalue_BH", "double"), ("qvalue_BO", "double"),
@@ -96,18 +98,39 @@ def pair_table(spark: SparkSession, pairs: list[tuple[str, str]]) -> DataFrame:
     return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(seen)], "ordinal int, gene_1 string, gene_2 string")
 
 
-def read_pairs(spark: SparkSession, path: str, limit: int = 1_000_000) -> list[tuple[str, str]]:
-    """Pairs of a CSV with gene_A, gene_B or gene_1, gene_2; a request list, so at most ``limit`` rows."""
+def _pair_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The two names of each row of a CSV with gene_A, gene_B or gene_1, gene_2, as a and b, with _metadata."""
     raw = spark.read.csv(path, header=True, nullValue="")
     names = next((n for n in (("gene_A", "gene_B"), ("gene_1", "gene_2")) if set(n) <= set(raw.columns)), None)
     if names is None:
         raise ValueError("a pair list needs gene_A and gene_B, or gene_1 and gene_2")
-    rows = raw.select(*names).limit(limit + 1).collect()
+    return raw.select(F.col(names[0]).alias("a"), F.col(names[1]).alias("b"), "_metadata")
+
+
+def read_pairs(spark: SparkSession, path: str, limit: int = 1_000_000) -> list[tuple[str, str]]:
+    """Pairs of a CSV with gene_A, gene_B or gene_1, gene_2 as a list, so at most ``limit`` rows; read_pair_table() has no bound."""
+    rows = _pair_rows(spark, path).select("a", "b").limit(limit + 1).collect()
     if not rows or len(rows) > limit:
         raise ValueError("the pair list is empty" if not rows else f"the pair list has over {limit} rows")
     return [(a or "", b or "") for a, b in rows]
 
 
+def read_pair_table(spark: SparkSession, path: str) -> DataFrame:
+    """pair_table() of a CSV of any length: rows are made canonical, each pair's first place in the file is found and the pairs are numbered in
+    that order without coming to the driver."""
+    first, second = (F.btrim(F.coalesce(c, F.lit("")), F.lit(WHITE)) for c in ("a", "b"))
+    # Where a row stands: its file, its split's start in it, its number within what a task reads.
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    rows = _pair_rows(spark, path).select(first.alias("a"), second.alias("b"), place.alias("_place"))
+    row = rows.agg(F.count("*").alias("n"), F.count_if((F.col("a") == "") | (F.col("b") == "")).alias("empty"), F.count_if(F.col("a") == F.col("b")).alias("same")).first()
+    if not row["n"]:
+        raise ValueError("the pair list is empty")
+    if row["empty"] or row["same"]:
+        raise ValueError("a gene name is empty" if row["empty"] else "a pair of a gene with itself")
+    pairs = rows.groupBy(F.least("a", "b").alias("gene_1"), F.greatest("a", "b").alias("gene_2")).agg(F.min("_place").alias("_place"))
+    return sinks.numbered(pairs.orderBy("_place").drop("_place")).select(F.col("place").cast("int").alias("ordinal"), "gene_1", "gene_2")
+
+
 def missing_genes(points: DataFrame, pairs: DataFrame) -> DataFrame:
     """Requested genes that no point has."""
     wanted = pairs.select(F.col("gene_1").alias("geneID")).union(pairs.select("gene_2")).distinct()
