@@ -89,6 +89,42 @@ def test_cuts_change_no_count(crowd, monkeypatch):
         assert sorted(neighbors.pair_counts(neighbors.near_genes(crowd, 0.25)).collect()) == want
 
 
+def shuffles(frame):
+    """(shuffles that Spark adds, shuffles asked for) in the plan of a frame."""
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return plan.count("ENSURE_REQUIREMENTS"), plan.count("REPARTITION_BY_COL")
+
+
+def test_points_move_once_to_their_buckets(spark, monkeypatch):
+    """Points and centres meet, and are grouped by point, where one shuffle by bucket brought them; only counts and copies of centres move besides."""
+    monkeypatch.setattr(neighbors, "CROWD", 10**9)
+    rows = [((i * 7 % 13) / 3, (i * 5 % 11) / 3, float(i % 2), "ABCD"[i % 4], f"c{i % 3}") for i in range(120)]
+    points = spark.createDataFrame(rows, "x double, y double, z double, geneID string, cell string")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for mode in ("discrete", "continuous"):
+            near = neighbors.near_genes(points, 0.5, z_mode=mode)
+            assert shuffles(near.groupBy("A", "geneID").agg(F.sum("m")))[0] == 1
+            near.groupBy("A").count().collect()
+            sums = near.groupBy("A").count()
+            sums.collect()
+            assert sums._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") >= 2  # at its end the plan has read one shuffle three times
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
+def test_sums_come_from_one_search(spark):
+    """Pairs and points around are read from written sums, not from a search each."""
+    rows = [((i * 7 % 13) / 3, (i * 5 % 11) / 3, float(i % 2), "ABCD"[i % 4], f"c{i % 3}") for i in range(120)]
+    near = neighbors.near_genes(spark.createDataFrame(rows, "x double, y double, z double, geneID string, cell string"), 0.5)
+    for by_cell in (False, True):
+        pairs, n = neighbors.pairs_and_around(near, "row", by_cell)
+        assert sorted(pairs.collect()) == sorted(neighbors.pair_counts(near).collect())
+        assert sorted(n.collect()) == sorted(neighbors.around(near, "row", by_cell).collect())
+        assert all("Join" not in f._jdf.queryExecution().executedPlan().toString() for f in (pairs, n))
+
+
 def test_boundary_bucket(spark):
     rows = [(i * 0.1, 0.0, 0.0, "A" if i % 2 else "B", "c") for i in range(60)]
     k = {(r["A"], r["B"]): r["k"] for r in neighbors.pair_counts(neighbors.near_genes(spark.createDataFrame(rows, "x double, y double, z double, geneID string, cell string"), 0.1)).collect()}
