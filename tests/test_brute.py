@@ -118,10 +118,10 @@ def test_sums_come_from_one_search(spark):
     """Pairs and points around are read from written sums, not from a search each."""
     rows = [((i * 7 % 13) / 3, (i * 5 % 11) / 3, float(i % 2), "ABCD"[i % 4], f"c{i % 3}") for i in range(120)]
     near = neighbors.near_genes(spark.createDataFrame(rows, "x double, y double, z double, geneID string, cell string"), 0.5)
-    for by_cell in (False, True):
-        pairs, n = neighbors.pairs_and_around(near, "row", by_cell)
-        assert sorted(pairs.collect()) == sorted(neighbors.pair_counts(near).collect())
-        assert sorted(n.collect()) == sorted(neighbors.around(near, "row", by_cell).collect())
+    for identity, by_cell in (("row", False), ("row", True), ("pixel", False), ("pixel", True)):
+        pairs, n = neighbors.pairs_and_around(near, identity, by_cell)
+        assert sorted(pairs.collect()) == sorted(neighbors.pair_counts(near, identity).collect())
+        assert sorted(n.collect()) == sorted(neighbors.around(near, identity, by_cell).collect())
         assert all("Join" not in f._jdf.queryExecution().executedPlan().toString() for f in (pairs, n))
 
 
