@@ -141,3 +141,26 @@ def test_monotone_and_bounded(spark, reach):
     wider = {(r["A"], r["B"]): r["k"] for r in neighbors.pair_counts(neighbors.near_genes(points, reach * 1.5)).collect()}
     for r in neighbors.pair_counts(near).collect():
         assert r["k"] <= n[r["A"]] and r["k"] <= 30 and r["k"] <= wider[r["A"], r["B"]]
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(POINT, min_size=1, max_size=40), st.sampled_from([0.5, 1.0, 1.5]))
+def test_squares_find_what_the_search_finds(spark, rows, reach):
+    points = spark.createDataFrame([(x, y, 0.0, g, c) for x, y, _, g, c in rows], "x double, y double, z double, geneID string, cell string")
+    centres = points.where("x <= 1")
+    near = neighbors.near_genes(points, reach, centres=centres)
+    pairs, n = neighbors.pairs_and_around_by_squares(points, centres, reach)
+    assert sorted(pairs.collect()) == sorted(neighbors.pair_counts(near, "value").collect())
+    assert sorted(n.collect()) == sorted(neighbors.around(near, "value").collect())
+
+
+def test_flat_points_are_not_crossed_with_genes(spark, monkeypatch):
+    """Without cells no row is made for each point and gene in reach."""
+    from vicinal.config import RunConfig
+    from vicinal.plans import analysis
+
+    monkeypatch.setattr(neighbors, "near_genes", None)
+    rows = [((i * 7 % 13) / 3, (i * 5 % 11) / 3, 0.0, "ABCD"[i % 4]) for i in range(120)]
+    points = spark.createDataFrame(rows, "x double, y double, z double, geneID string")
+    found = analysis.raw_result(points, RunConfig(r_check=(0.5, 1.0), unsegmented=True, rect_length=2.0))
+    assert {r["r_check"] for r in found.collect()} == {0.5, 1.0}
