@@ -1,9 +1,11 @@
 """Steps whose work grows with the points alone."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vicinal.operators import prep
+from vicinal.functions import kernels
+from vicinal.operators import figures, prep
 from vicinal.plans import queries as own
 from vicinal.sources import sinks
 
@@ -41,3 +43,18 @@ def test_genes_that_are_frequent_are_looked_up(spark, monkeypatch, few):
         assert sorted(r["geneID"] for r in out.collect()) == list("aaaabbb")
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("width", [0.13, 0.5, 1.0, 2.9, 3.99])
+def test_narrow_kernels_are_not_dealt_to_the_grid(spark, monkeypatch, width):
+    """Kernels of an eighth of a step and more are summed by parts of steps: no row is made for a distance and a point of the grid."""
+    monkeypatch.setattr(kernels, "UNDERFLOW", 0.0)
+    rng, points = np.random.default_rng(5), 60
+    step = 5.0 / (points - 1)
+    values = np.clip(2.5 + rng.normal(0, 1, 3000) * width * step * 3000**0.2, 0, 5)
+    found = spark.createDataFrame([("p", float(v)) for v in values], "pair string, distance double")
+    got = [r["density"] for r in sorted(figures.distance_curves(found, 5.0, points).where("pair = 'p'").collect(), key=lambda r: r["distance"])]
+    bandwidth = np.std(values, ddof=1) * len(values) ** -0.2 / step
+    assert 0.125 <= bandwidth < kernels.SMOOTH
+    sums = np.exp(-0.5 * ((np.arange(points)[:, None] - values[None, :] / step) / bandwidth) ** 2).sum(axis=1)
+    assert got == pytest.approx((sums / ((sums[:-1] + sums[1:]).sum() / 2 * step)).tolist(), abs=1e-9)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import kernel_sums
 from ..functions.stats import random_density
+from ..sources import sinks
 
 RANDOM = "Random expectation"
 
@@ -29,7 +30,7 @@ def distance_curves(found: DataFrame, reach: float, points: int = 600) -> DataFr
     pair's steps. Pairs with fewer than two different distances, or with kernels that are zero at all points, have no curve. found is read twice and should be a written table.
     """
     own = found.where((F.col("distance") >= 0) & (F.col("distance") <= reach))
-    facts = own.groupBy("pair").agg(F.count("*").alias("n"), F.stddev_samp("distance").alias("s")).where("n > 1 AND s > 0")
+    facts = sinks.lookup(own.groupBy("pair").agg(F.count("*").alias("n"), F.stddev_samp("distance").alias("s")).where("n > 1 AND s > 0"), "curve-facts")
     step = reach / (points - 1)
     bandwidth = (F.col("s") * F.pow(F.col("n"), F.lit(-0.2)) / step).alias("bandwidth")
     none = F.array().cast("array<double>").alias("facts")
