@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vicinal.functions import kernels
-from vicinal.operators import figures, prep
+from vicinal.operators import distances, figures, prep
 from vicinal.plans import queries as own
 from vicinal.sources import sinks
 
@@ -58,3 +58,13 @@ def test_narrow_kernels_are_not_dealt_to_the_grid(spark, monkeypatch, width):
     assert 0.125 <= bandwidth < kernels.SMOOTH
     sums = np.exp(-0.5 * ((np.arange(points)[:, None] - values[None, :] / step) / bandwidth) ** 2).sum(axis=1)
     assert got == pytest.approx((sums / ((sums[:-1] + sums[1:]).sum() / 2 * step)).tolist(), abs=1e-9)
+
+
+def test_quantiles_of_a_pair_just_over_the_bound_keep_few_rows(spark, monkeypatch):
+    kept = []
+    plain = distances._kept
+    monkeypatch.setattr(distances, "_kept", lambda table, name: (name == "rank-rows" and kept.append(plain(table, name))) or (kept[-1] if name == "rank-rows" else plain(table, name)))
+    table = spark.range(24_000).select(F.lit("a").alias("gene_A"), F.lit("b").alias("gene_B"), (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30)).alias("distance"))
+    q = distances.quantiles(table, distances.PAIR, (0.25, 0.5, 0.75), 20_000).first()["q"]
+    assert q == pytest.approx(np.quantile([r["distance"] for r in table.select("distance").collect()], (0.25, 0.5, 0.75)).tolist(), abs=1e-15)
+    assert 0 < kept[-1].count() < 6 * 200
