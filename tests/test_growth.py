@@ -68,3 +68,12 @@ def test_quantiles_of_a_pair_just_over_the_bound_keep_few_rows(spark, monkeypatc
     q = distances.quantiles(table, distances.PAIR, (0.25, 0.5, 0.75), 20_000).first()["q"]
     assert q == pytest.approx(np.quantile([r["distance"] for r in table.select("distance").collect()], (0.25, 0.5, 0.75)).tolist(), abs=1e-15)
     assert 0 < kept[-1].count() < 6 * 200
+
+
+@pytest.mark.parametrize("name", ["shape_join", "final_shapes", "sql_functions"])
+def test_two_searches_share_their_points(spark, tables, monkeypatch, name):
+    written = []
+    plain = sinks.clustered
+    monkeypatch.setattr(sinks, "clustered", lambda table, *named: written.append(named) or plain(table, *named))
+    own.queries()[name](spark, tables)
+    assert len(written) == 1
