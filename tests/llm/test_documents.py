@@ -459,6 +459,25 @@ def test_bpe_parts():
         assert bpe.merge(token, ranks) == [ranks[p] for p in parts]
 
 
+def test_bpe_splits_with_the_standard_library_and_remembers_in_generations(monkeypatch):
+    """The faster matcher splits like the other two; what is met again outlives the bound."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 8)
+    codec = bpe.Codec(bpe.PerfectHash({bytes([b]): b for b in range(256)}), public_tokenizers.PATTERN)
+    every = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    text = "".join(f"a{c}1 {c}. " for c in every) + "it's  we'll\x1c x\n \n"
+    assert codec.pattern(text) is codec.narrow and codec.narrow.findall(text) == codec.strict.findall(text)
+    assert codec.pattern("a\U00010000") is codec.plain and codec.pattern("a\U00010940") is codec.strict
+    assert bpe.narrow(r"\p{Lu}+|\s") is None and bpe.narrow(r"[\S]+") is None and bpe.narrow("(?i:a)") is None
+    made = []
+    known = bpe._Remembered(lambda piece: made.append(piece) or (len(piece),))
+    for k in range(40):
+        assert known["often"] == (5,) and known[f"{k}"] == (len(f"{k}"),) and known["x" * 65] == (65,)
+        assert len(known) + len(known.old) <= 8
+    assert made.count("often") == 1 and made.count("x" * 65) == 40
+    text = "often a word, a wörd \u4e2d 12"
+    assert codec.digest(text) == (len(text.encode()), hashlib.sha256(",".join(map(str, text.encode())).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
 def test_language(spark, docs):
     import public_tokenizers  # noqa: F401
 

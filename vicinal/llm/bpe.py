@@ -14,7 +14,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator, Sequence
 from itertools import chain, islice
 
 import numpy as np
@@ -24,8 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens handled at once, and pre-tokens that a worker remembers before it starts afresh.
-BLOCK, REMEMBERED = 1 << 16, 400_000
+#: Pre-tokens handled at once, and pre-tokens that a worker remembers at most.
+BLOCK, REMEMBERED = 1 << 16, 800_000
 #: Letters, numbers and marks that Unicode has had since version 17 or later. The rank files' own splitter follows version
 #: 16, in which they are unassigned. First and last code points.
 LATER = """
@@ -70,8 +71,9 @@ class PerfectHash:
 
     def _place(self, base, step, taken):
         """The first displacement that puts a bucket's tokens on free slots, no two on one."""
-        for first in range(0, 1 << 40, 4096):
-            d = np.arange(first, first + 4096, dtype=np.uint64)[:, None]
+        first, tried = 0, 32
+        while True:
+            d = np.arange(first, first + tried, dtype=np.uint64)[:, None]
             slots = ((base + (d // np.uint64(self.n)) * step + d) % np.uint64(self.n)).astype(np.int64)
             free = ~taken[slots].any(axis=1)
             if len(base) > 1:
@@ -81,8 +83,8 @@ class PerfectHash:
                 k = int(free.argmax())
                 return first + k, slots[k]
             if first > 64 * self.n:
-                break
-        raise ValueError("no displacement found")
+                raise ValueError("no displacement found")
+            first, tried = first + tried, min(2 * tried, 4096)
 
     def get(self, token: bytes) -> int | None:
         if not self.n:
@@ -120,27 +122,26 @@ def merge(token: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class _Known(dict):
-    """Ids by pre-token; unknown ones are resolved on demand and remembered up to a bound."""
+class _Remembered(dict):
+    """What made() gives for a pre-token: made on demand and remembered, half of the bound in each of two generations; what is met again moves on to the next."""
 
-    def __init__(self, hashed: PerfectHash):
+    def __init__(self, made: Callable[[str], tuple]):
         super().__init__()
-        self.hashed = hashed
-        self.by_token = dict(zip(hashed.tokens, hashed.ranks, strict=True))
+        self.made, self.old = made, {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode("utf-8")
-        whole = self.hashed.get(raw)
-        ids = (whole,) if whole is not None else tuple(merge(raw, self.by_token))
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if len(raw) <= 256:
-            self[piece] = ids
-        return ids
+    def __missing__(self, piece: str) -> tuple:
+        out = self.old.get(piece) or self.made(piece)
+        if len(piece) <= 64:
+            if len(self) >= REMEMBERED // 2:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = out
+        return out
 
 
 _LATER_SET = "[" + "".join("-".join(rf"\U{int(x, 16):08X}" for x in span.split("-")) for span in LATER) + "]"
 _LATER_FOUND = regex.compile(_LATER_SET)
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
 
 
 def splitters(pattern: str) -> tuple[regex.Pattern, regex.Pattern]:
@@ -155,35 +156,77 @@ def splitters(pattern: str) -> tuple[regex.Pattern, regex.Pattern]:
     return regex.compile(plain, regex.V1), regex.compile(strict, regex.V1)
 
 
+def narrow(pattern: str) -> re.Pattern | None:
+    """The pattern for texts of the first 65,536 code points, with its classes written out for the standard library's faster matcher; the same for texts with LATER code points
+    and for those without. None where the pattern names other classes than \\s, \\S, \\p{L} and \\p{N}."""
+    if "\\" in regex.sub(r"\\(?:[sS]|p\{[LN]\})", "", pattern) or "(?i" in pattern:
+        return None
+    every = "".join(map(chr, range(0x10000)))
+    spans = {}
+    for name, members in ((r"\s", r"\p{White_Space}"), (r"\p{L}", rf"[\p{{L}}--{_LATER_SET}]"), (r"\p{N}", rf"[\p{{N}}--{_LATER_SET}]")):
+        found = regex.finditer(members + "+", every, regex.V1)
+        spans[name] = "".join(rf"\u{m.start():04x}-\u{m.end() - 1:04x}" for m in found)
+    out = []
+    for part in regex.split(r"(\[[^\]]*\])", pattern):
+        inside = part.startswith("[")
+        if inside and r"\S" in part:
+            return None
+        for name, members in spans.items():
+            part = part.replace(name, members if inside else f"[{members}]")
+        out.append(part.replace(r"\S", f"[^{spans[r'\s']}]"))
+    return re.compile("".join(out))
+
+
 class Codec:
     """Encodes whole texts and decodes ids."""
 
     def __init__(self, hashed: PerfectHash, pattern: str):
-        self.known = _Known(hashed)
+        self.hashed = hashed
+        self.by_token = dict(zip(hashed.tokens, hashed.ranks, strict=True))
+        self.known, self.shown = _Remembered(self._ids), _Remembered(self._shown)
         self.plain, self.strict = splitters(pattern)
+        self.narrow = narrow(pattern)
         self.token = dict(zip(hashed.ranks, hashed.tokens, strict=True))
-        self.name = {rank: str(rank) for rank in hashed.ranks}
+        self.name = {rank: b",%d" % rank for rank in hashed.ranks}
 
-    def blocks(self, text: str) -> Iterator[list[int]]:
-        """The ids of a text, block by block."""
-        pattern = self.strict if not text.isascii() and _LATER_FOUND.search(text) else self.plain
+    def _ids(self, piece: str) -> tuple[int, ...]:
+        raw = piece.encode("utf-8")
+        whole = self.hashed.get(raw)
+        return (whole,) if whole is not None else tuple(merge(raw, self.by_token))
+
+    def _shown(self, piece: str) -> tuple[bytes, bytes]:
+        """A pre-token's ids as decimals, each after a comma, and the bytes that they decode to."""
+        ids = self._ids(piece)
+        return b"".join(map(self.name.__getitem__, ids)), self.decode(ids)
+
+    def pattern(self, text: str) -> re.Pattern | regex.Pattern:
+        """What splits a text fastest."""
+        if self.narrow and (text.isascii() or not _ASTRAL.search(text)):
+            return self.narrow
+        return self.strict if not text.isascii() and _LATER_FOUND.search(text) else self.plain
+
+    def blocks(self, text: str) -> Iterator[list[str]]:
+        """The pre-tokens of a text, block by block."""
+        pattern = self.pattern(text)
         pieces = iter(pattern.findall(text)) if len(text) < 1 << 20 else (m[0] for m in pattern.finditer(text))
         while block := list(islice(pieces, BLOCK)):
-            yield list(chain.from_iterable(map(self.known.__getitem__, block)))
+            yield block
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.blocks(text)))
+        return list(chain.from_iterable(chain.from_iterable(map(self.known.__getitem__, block) for block in self.blocks(text))))
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: Sequence[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids as decimals joined by commas, SHA-256 of the ids decoded again."""
         n, ids_hash, bytes_hash = 0, hashlib.sha256(), hashlib.sha256()
-        for ids in self.blocks(text):
-            ids_hash.update((("," if n else "") + ",".join(map(self.name.__getitem__, ids))).encode())
-            bytes_hash.update(self.decode(ids))
-            n += len(ids)
+        for block in self.blocks(text):
+            named, raw = zip(*map(self.shown.__getitem__, block), strict=True)
+            ids = b"".join(named)
+            ids_hash.update(ids if n else ids[1:])
+            bytes_hash.update(b"".join(raw))
+            n += ids.count(b",")
         return n, ids_hash.hexdigest(), bytes_hash.hexdigest()
 
 
