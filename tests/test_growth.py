@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vicinal.functions import kernels
-from vicinal.operators import distances, figures, prep
+from vicinal.operators import distances, figures, neighbors, prep
 from vicinal.plans import queries as own
 from vicinal.sources import sinks
 
@@ -77,3 +77,21 @@ def test_two_searches_share_their_points(spark, tables, monkeypatch, name):
     monkeypatch.setattr(sinks, "clustered", lambda table, *named: written.append(named) or plain(table, *named))
     own.queries()[name](spark, tables)
     assert len(written) == 1
+
+
+def test_tasks_of_a_search_hold_few_points(spark, monkeypatch):
+    """However few partitions a session's shuffles have, points of a large table are dealt over as many tasks as they need; the pairs are the same."""
+    points = spark.range(3000).selectExpr("double(id % 50) x", "double(id % 7) y", "1.0D z", "concat('g', id % 5) geneID", "concat('c', id % 300) cell")
+    wide = sorted(neighbors.met(points, 1.5).collect(), key=str)
+    monkeypatch.setattr(neighbors, "TASK_POINTS", 25)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        met = neighbors.met(points, 1.5)
+        parts = met.withColumn("part", F.spark_partition_id()).groupBy("part").count()
+        assert parts.count() > 60
+        assert sorted(met.collect(), key=str) == wide and len(wide) > 3000
+        plan = met._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(", 120") >= 2, plan
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
