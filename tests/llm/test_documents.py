@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import pytest
@@ -478,6 +479,22 @@ def test_bpe_splits_with_the_standard_library_and_remembers_in_generations(monke
     assert codec.digest(text) == (len(text.encode()), hashlib.sha256(",".join(map(str, text.encode())).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
 
 
+def test_bpe_worker_remembers_little(monkeypatch):
+    """What a worker remembers stays beside the stages that follow, so at its bound it takes less than 100 MB."""
+    bound = bpe.REMEMBERED
+    monkeypatch.setattr(bpe, "REMEMBERED", 40_000)
+    codec = bpe.Codec(bpe.PerfectHash({bytes([b]): b for b in range(256)}), public_tokenizers.PATTERN)
+    text = "".join(f" word{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(15_000))
+    tracemalloc.start()
+    try:
+        codec.digest(text)
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert len(codec.named) == 15_000
+    assert held / 15_000 * bound < 100e6
+
+
 def test_language(spark, docs):
     import public_tokenizers  # noqa: F401
 

@@ -25,8 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens handled at once, and pre-tokens that a worker remembers at most.
-BLOCK, REMEMBERED = 1 << 16, 800_000
+#: Pre-tokens handled at once, and pre-tokens that a worker remembers at most: few, as an idle worker stays for a while beside the next stage.
+BLOCK, REMEMBERED = 1 << 16, 400_000
 #: Letters, numbers and marks that Unicode has had since version 17 or later. The rank files' own splitter follows version
 #: 16, in which they are unassigned. First and last code points.
 LATER = """
@@ -125,11 +125,11 @@ def merge(token: bytes, ranks: dict[bytes, int]) -> list[int]:
 class _Remembered(dict):
     """What made() gives for a pre-token: made on demand and remembered, half of the bound in each of two generations; what is met again moves on to the next."""
 
-    def __init__(self, made: Callable[[str], tuple]):
+    def __init__(self, made: Callable[[str], Sequence[int]]):
         super().__init__()
         self.made, self.old = made, {}
 
-    def __missing__(self, piece: str) -> tuple:
+    def __missing__(self, piece: str) -> Sequence[int]:
         out = self.old.get(piece) or self.made(piece)
         if len(piece) <= 64:
             if len(self) >= REMEMBERED // 2:
@@ -183,21 +183,21 @@ class Codec:
     def __init__(self, hashed: PerfectHash, pattern: str):
         self.hashed = hashed
         self.by_token = dict(zip(hashed.tokens, hashed.ranks, strict=True))
-        self.known, self.shown = _Remembered(self._ids), _Remembered(self._shown)
+        self.known, self.named = _Remembered(self._ids), _Remembered(self._named)
         self.plain, self.strict = splitters(pattern)
         self.narrow = narrow(pattern)
         self.token = dict(zip(hashed.ranks, hashed.tokens, strict=True))
         self.name = {rank: b",%d" % rank for rank in hashed.ranks}
+        self.by_name = {b"": b""} | {b"%d" % rank: token for rank, token in self.token.items()}
 
     def _ids(self, piece: str) -> tuple[int, ...]:
         raw = piece.encode("utf-8")
         whole = self.hashed.get(raw)
         return (whole,) if whole is not None else tuple(merge(raw, self.by_token))
 
-    def _shown(self, piece: str) -> tuple[bytes, bytes]:
-        """A pre-token's ids as decimals, each after a comma, and the bytes that they decode to."""
-        ids = self._ids(piece)
-        return b"".join(map(self.name.__getitem__, ids)), self.decode(ids)
+    def _named(self, piece: str) -> bytes:
+        """A pre-token's ids as decimals, each after a comma."""
+        return b"".join(map(self.name.__getitem__, self._ids(piece)))
 
     def pattern(self, text: str) -> re.Pattern | regex.Pattern:
         """What splits a text fastest."""
@@ -222,10 +222,9 @@ class Codec:
         """Number of ids, SHA-256 of the ids as decimals joined by commas, SHA-256 of the ids decoded again."""
         n, ids_hash, bytes_hash = 0, hashlib.sha256(), hashlib.sha256()
         for block in self.blocks(text):
-            named, raw = zip(*map(self.shown.__getitem__, block), strict=True)
-            ids = b"".join(named)
+            ids = b"".join(map(self.named.__getitem__, block))
             ids_hash.update(ids if n else ids[1:])
-            bytes_hash.update(b"".join(raw))
+            bytes_hash.update(b"".join(map(self.by_name.__getitem__, ids.split(b","))))
             n += ids.count(b",")
         return n, ids_hash.hexdigest(), bytes_hash.hexdigest()
 
