@@ -164,3 +164,33 @@ def test_flat_points_are_not_crossed_with_genes(spark, monkeypatch):
     points = spark.createDataFrame(rows, "x double, y double, z double, geneID string")
     found = analysis.raw_result(points, RunConfig(r_check=(0.5, 1.0), unsegmented=True, rect_length=2.0))
     assert {r["r_check"] for r in found.collect()} == {0.5, 1.0}
+
+
+@pytest.mark.parametrize("full, genes, spread", [(0, 4, 5), (2, 150, 9), (1000, 90, 5)])  # the shortest squares, some between, the longest
+def test_squares_of_several_radii_against_brute_force(spark, monkeypatch, full, genes, spread):
+    """Squares of any side, with settled and open genes, over 64 genes, points at exactly a radius, repeated and null ones."""
+    monkeypatch.setattr(neighbors, "FULL", full)
+    monkeypatch.setattr(neighbors, "LEAST_POINTS", 100)
+    rng, radii = random.Random(full + genes), (0.3, 0.5, 0.9)
+    rows = []
+    for i in range(500):
+        at = (rng.randrange(-10 * spread, 10 * spread) / 20, rng.randrange(30) / 20) if i % 2 else (rng.random() * spread, rng.random())
+        rows.append((*at, f"g{int(genes * rng.random() ** 2)}", f"c{i % 3 // 2}", rng.choice([1, 2, 3, 3])))
+    rows += rows[:40] + [(0.1, 0.2, None, "c0", 3), (None, 0.2, "g0", "c0", 3), (-0.0, 0.0, "g1", "c1", 1)]
+    placed = spark.createDataFrame(rows, "x double, y double, geneID string, cell string, kind int")
+    kinds = {}
+    for *at, kind in rows:
+        kinds[tuple(at)] = kinds.get(tuple(at), 0) | kind
+    want = {}
+    for x, y, g, c in (k for k, kind in kinds.items() if kind & 1 and k[0] is not None):
+        near = {}
+        for ax, ay, a, ac in (k for k, kind in kinds.items() if kind & 2 and k[0] is not None and k[2]):
+            if ac == c:
+                d = (x - ax) * (x - ax) + (y - ay) * (y - ay)
+                near[a] = min(d, near.get(a, d))
+        for a, d in near.items():
+            for k, r in enumerate(radii):
+                if d <= r * r:
+                    want.setdefault((a, g), [0, 0, 0])[k] += 1
+    got = {(r["A"], r["geneID"]): [r["n0"], r["n1"], r["n2"]] for r in neighbors.sums_by_squares(placed, radii).collect()}
+    assert {k: n for k, n in got.items() if any(n)} == want

@@ -95,3 +95,19 @@ def test_tasks_of_a_search_hold_few_points(spark, monkeypatch):
         assert plan.count(", 120") >= 2, plan
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("radii, searches", [((0.4, 0.6, 0.8), 1), ((0.4, 0.8, 2.0), 2), ((0.4, 1.7, 7.0), 3)])
+def test_radii_near_one_another_share_a_search_without_cells(spark, monkeypatch, radii, searches):
+    """Points without cells are dealt and compared once for radii close to one another, not once for each, and their genes are counted once."""
+    from vicinal.config import RunConfig
+    from vicinal.plans import analysis
+
+    written = []
+    plain = sinks.shared_path
+    monkeypatch.setattr(sinks, "shared_path", lambda session, label: written.append(label) or plain(session, label))
+    rows = [(i * 0.37 % 9, i * 0.91 % 7, 0.0, "ABCD"[i * i % 7 % 4]) for i in range(400)]
+    flat = spark.createDataFrame(rows, "x double, y double, z double, geneID string")
+    found = analysis.raw_result(flat, RunConfig(r_check=radii, unsegmented=True, rect_length=3.0))
+    assert {r["r_check"] for r in found.collect()} == set(radii)
+    assert written.count("sums") == searches and written.count("genes") == 1
